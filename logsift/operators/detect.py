@@ -1,16 +1,18 @@
 """Ensemble detection: fit, score, threshold, label.
 
-``Detector.fit(logs)`` learns, from the unified log table:
+``Detector.fit(logs)`` learns from the unified log table:
   1. the TF-IDF vocabulary (bounded by ``max_features``),
   2. the robust scaler (median and IQR per feature; IQR 0 -> 1),
-  3. an isolation forest (``iforest``) and an approximate one-class SVM
-     (``ocsvm``) on the scaled features,
-  4. min/max of each raw score (for the [0, 1] normalisation) and the flag
-     threshold: the ``1 - fpr_target`` quantile of the ensemble score, or the
-     0.90 quantile when that equals the maximum.
-``DetectorModel.transform(logs)`` is row-local: it adds ``anomaly_score``
-(rounded to 4 dp) and ``is_anomaly``.  All learned state is small (vocabulary,
-scaler vectors, forest node table, SVM weights) and is inlined or broadcast.
+  3. a training pool (bounded uniform sample) for the isolation forest and
+     the approximate one-class SVM, with ``gamma`` from the full-data variance,
+  4. min/max of each raw score over all lines and the flag threshold: the
+     ``1 - fpr_target`` quantile of the ensemble score, or its 0.90 quantile
+     when that equals the maximum.
+All learned state is small (vocabulary, scaler vectors, forest node arrays,
+SVM weights); it is inlined as literals or broadcast.
+
+Scoring is one Arrow-batched ``mapInPandas`` pass over the lines that carries
+the line's own columns through, so labelling never needs a join back.
 
 ``fpr_target`` is the flagged fraction, not a false-positive rate: with
 distinct scores ``floor((n-1) * fpr) + 1`` lines are flagged.
@@ -19,30 +21,33 @@ distinct scores ``floor((n-1) * fpr) + 1`` lines are flagged.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import materialize, ship_package
 from .features import STRUCTURED, structured_columns
-from .stats import quantiles
+from .iforest import Forest, fit_forest, training_pool
+from .ocsvm import OneClassSVM, fit_ocsvm, scale_gamma
+from .stats import minmax_norm, quantiles
 from .tfidf import Vocabulary, fit_vocabulary, with_tfidf
 
 
 def flag_threshold(df: DataFrame, score_col: str, fpr_target: float, exact: bool = True) -> tuple[float, float]:
     """(threshold, max score).  Scores >= threshold are flagged."""
-    row = df.agg(
-        (F.percentile(score_col, [1.0 - fpr_target, 0.90]) if exact
-         else F.percentile_approx(score_col, [1.0 - fpr_target, 0.90], 100_000)).alias("q"),
-        F.max(score_col).alias("mx"),
-    ).first()
+    probs = [1.0 - fpr_target, 0.90]
+    q = (F.percentile(score_col, probs) if exact else F.percentile_approx(score_col, probs, 100_000))
+    row = df.agg(q.alias("q"), F.max(score_col).alias("mx")).first()
     if row["mx"] is None:
         raise ValueError("Feature matrix is empty. Cannot train anomaly detector.")
-    q, mx = row["q"], float(row["mx"])
-    th = float(q[0])
+    mx = float(row["mx"])
+    th = float(row["q"][0])
     if th == mx:
-        th = float(q[1])
+        th = float(row["q"][1])
     return th, mx
 
 
@@ -53,37 +58,64 @@ def validate_rate(name: str, v: float) -> float:
     return float(v)
 
 
-def feature_matrix(logs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """M0 + J2: ``line_no`` and ``x`` = 7 structured features followed by the TF-IDF weights."""
-    base = logs.select("line_no", "message", *structured_columns())
+def with_feature_vector(logs: DataFrame, vocab: Vocabulary, out: str = "x") -> DataFrame:
+    """M0 + J2: ``out`` = the 7 structured features followed by the TF-IDF weights."""
+    cols = logs.columns
+    base = logs.select(*cols, *[c.alias(f"_{n}") for c, n in zip(structured_columns(), STRUCTURED)])
     t = with_tfidf(base, "message", vocab, "_tfidf")
-    return t.select("line_no", F.concat(F.array(*[F.col(c) for c in STRUCTURED]), F.col("_tfidf")).alias("x"))
+    return t.select(*cols, F.concat(F.array(*[F.col(f"_{n}") for n in STRUCTURED]), F.col("_tfidf")).alias(out))
 
 
 @dataclass
 class Scaler:
-    center: list[float]
-    scale: list[float]
+    center: list
+    scale: list
 
     def expr(self, col: str = "x"):
-        c = F.array(*[F.lit(v) for v in self.center])
-        s = F.array(*[F.lit(v) for v in self.scale])
+        c = F.array(*[F.lit(float(v)) for v in self.center])
+        s = F.array(*[F.lit(float(v)) for v in self.scale])
         return F.zip_with(F.zip_with(F.col(col), c, lambda x, m: x - m), s, lambda d, k: d / k)
 
 
 def fit_scaler(x: DataFrame, dim: int, exact: bool = True) -> Scaler:
-    """M1 + A13: per-feature median and IQR in one aggregate pass."""
-    cols = [F.col("x")[i].alias(f"f{i}") for i in range(dim)]
-    q = quantiles(x.select(*cols), [f"f{i}" for i in range(dim)], [0.25, 0.5, 0.75], exact)
+    """M1 + A13: per-feature median and IQR, one aggregate pass."""
+    names = [f"f{i}" for i in range(dim)]
+    q = quantiles(x.select(*[F.col("x")[i].alias(n) for i, n in enumerate(names)]), names, [0.25, 0.5, 0.75], exact)
     center, scale = [], []
-    for i in range(dim):
-        a, m, b = q[f"f{i}"]
+    for n in names:
+        a, m, b = q[n]
         center.append(float(m or 0.0))
         iqr = float((b or 0.0) - (a or 0.0))
         scale.append(iqr if iqr != 0.0 else 1.0)
     return Scaler(center, scale)
 
 
+def _scorer(forest_bc, svm_bc, keep: list[str]):
+    def score(batches):
+        forest, svm = forest_bc.value, svm_bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = np.vstack(pdf["x"].to_numpy()).astype(float)
+            out = pdf[keep].copy()
+            out["iso"] = forest.score(X)
+            out["svm"] = svm.score(X)
+            yield out
+    return score
+
+
+def raw_scores(logs: DataFrame, vocab: Vocabulary, scaler: Scaler, forest: Forest, svm: OneClassSVM) -> DataFrame:
+    """Every column of ``logs`` plus raw ``iso`` and ``svm`` scores (one Python pass)."""
+    spark = logs.sparkSession
+    ship_package(spark)
+    x = with_feature_vector(logs, vocab, "_x0")
+    x = x.select(*logs.columns, scaler.expr("_x0").alias("x"))
+    fb, sb = spark.sparkContext.broadcast(forest), spark.sparkContext.broadcast(svm)
+    schema = T.StructType([f for f in logs.schema.fields] +
+                          [T.StructField("iso", T.DoubleType()), T.StructField("svm", T.DoubleType())])
+    return x.mapInPandas(_scorer(fb, sb, list(logs.columns)), schema)
+
+
 @dataclass
 class Detector:
     fpr_target: float = 0.05
@@ -93,39 +125,37 @@ class Detector:
     max_samples: int = 256
     pool_size: int = 16_384
     svm_features: int = 256
-    svm_iters: int = 60
+    svm_iters: int = 300
     max_features: int = 50
-    weights: tuple[float, float] = (0.5, 0.5)
+    weights: tuple = (0.5, 0.5)
     exact_quantiles: bool = True
 
-    def fit(self, logs: DataFrame) -> "DetectorModel":
-        from .iforest import fit_forest, forest_scores
-        from .ocsvm import fit_ocsvm, ocsvm_scores
-
+    def fit_score(self, logs: DataFrame) -> tuple["DetectorModel", DataFrame]:
+        """Fit on ``logs`` and return the model with the materialised raw-scored table."""
         validate_rate("fpr_target", self.fpr_target)
         validate_rate("contamination", self.contamination)
         vocab = fit_vocabulary(logs, "message", self.max_features)
-        x = feature_matrix(logs, vocab)
+        x = with_feature_vector(logs.select("line_no", "level", "http_status", "response_size",
+                                            "response_time", "timestamp", "message"), vocab)
         dim = len(STRUCTURED) + max(vocab.size, 1)
         scaler = fit_scaler(x, dim, self.exact_quantiles)
-        xs = x.select("line_no", scaler.expr("x").alias("x")).persist()
-        try:
-            forest = fit_forest(xs, dim, n_trees=self.n_trees, max_samples=self.max_samples,
-                                pool_size=self.pool_size, seed=self.seed)
-            svm = fit_ocsvm(xs, dim, nu=self.contamination, n_features=self.svm_features,
-                            iters=self.svm_iters, seed=self.seed)
-            raw = forest_scores(svm_scores_frame := ocsvm_scores(xs, svm), forest)
-            b = raw.agg(F.min("iso").alias("ilo"), F.max("iso").alias("ihi"),
-                        F.min("svm").alias("slo"), F.max("svm").alias("shi")).first()
-            model = DetectorModel(self, vocab, scaler, forest, svm,
-                                  (b["ilo"], b["ihi"]), (b["slo"], b["shi"]), 0.0, 0.0)
-            ens = model._ensemble(raw)
-            th, mx = flag_threshold(ens, "score", self.fpr_target, self.exact_quantiles)
-            model.threshold, model.max_score = th, mx
-            del svm_scores_frame
-        finally:
-            xs.unpersist()
-        return model
+        xs = x.select("line_no", scaler.expr("x").alias("x"))
+        pool = training_pool(xs, self.pool_size, self.seed)
+        if pool.shape[0] == 0:
+            raise ValueError("Feature matrix is empty. Cannot train anomaly detector.")
+        forest = fit_forest(xs, dim, n_trees=self.n_trees, max_samples=self.max_samples, seed=self.seed, pool=pool)
+        svm = fit_ocsvm(pool, scale_gamma(xs, dim), nu=self.contamination, n_features=self.svm_features,
+                        iters=self.svm_iters, seed=self.seed)
+        scored = materialize(raw_scores(logs, vocab, scaler, forest, svm), "raw-scores")
+        b = scored.agg(F.min("iso").alias("ilo"), F.max("iso").alias("ihi"),
+                       F.min("svm").alias("slo"), F.max("svm").alias("shi")).first()
+        model = DetectorModel(self, vocab, scaler, forest, svm, (b["ilo"], b["ihi"]), (b["slo"], b["shi"]), 0.0, 0.0)
+        th, mx = flag_threshold(model.ensemble(scored), "score", self.fpr_target, self.exact_quantiles)
+        model.threshold, model.max_score = th, mx
+        return model, scored
+
+    def fit(self, logs: DataFrame) -> "DetectorModel":
+        return self.fit_score(logs)[0]
 
 
 @dataclass
@@ -133,42 +163,46 @@ class DetectorModel:
     params: Detector
     vocab: Vocabulary
     scaler: Scaler
-    forest: object
-    svm: object
+    forest: Forest
+    svm: OneClassSVM
     iso_bounds: tuple
     svm_bounds: tuple
     threshold: float
     max_score: float
 
-    def _ensemble(self, raw: DataFrame) -> DataFrame:
-        from .stats import minmax_norm
+    def ensemble(self, raw: DataFrame) -> DataFrame:
+        """M5: equal-weight mean of the min-max normalised raw scores (column ``score``)."""
         wi, ws = self.params.weights
-        return raw.withColumn("score", F.lit(wi) * minmax_norm("iso", *self.iso_bounds)
-                              + F.lit(ws) * minmax_norm("svm", *self.svm_bounds))
+        return raw.withColumn("score", F.lit(float(wi)) * minmax_norm("iso", *self.iso_bounds)
+                              + F.lit(float(ws)) * minmax_norm("svm", *self.svm_bounds))
 
-    def raw_scores(self, logs: DataFrame) -> DataFrame:
-        from .iforest import forest_scores
-        from .ocsvm import ocsvm_scores
-        x = feature_matrix(logs, self.vocab)
-        xs = x.select("line_no", self.scaler.expr("x").alias("x"))
-        return forest_scores(ocsvm_scores(xs, self.svm), self.forest)
+    def label(self, raw: DataFrame) -> DataFrame:
+        """M6: ``anomaly_score`` (4 dp) and ``is_anomaly`` from raw scores."""
+        e = self.ensemble(raw)
+        return e.select(*[c for c in raw.columns if c not in ("iso", "svm")],
+                        F.round("score", 4).alias("anomaly_score"),
+                        F.when(F.col("score") >= F.lit(self.threshold), 1).otherwise(0).alias("is_anomaly"))
 
     def transform(self, logs: DataFrame) -> DataFrame:
-        """Adds ``anomaly_score`` (4 dp) and ``is_anomaly`` to every line."""
-        s = self._ensemble(self.raw_scores(logs)).select(
-            "line_no", F.round("score", 4).alias("anomaly_score"),
-            F.when(F.col("score") >= F.lit(self.threshold), 1).otherwise(0).alias("is_anomaly"))
-        return logs.join(s, "line_no")
-
-    def save(self, path: str, spark) -> None:
-        """M7: the model as JSON metadata plus the forest node table in Parquet."""
-        meta = {
-            "params": {k: v for k, v in asdict(self.params).items()},
+        """Score new lines with the fitted model (row-local, streaming-safe)."""
+        return self.label(raw_scores(logs, self.vocab, self.scaler, self.forest, self.svm))
+
+    def to_json(self) -> str:
+        """M7: everything but the forest arrays, as JSON."""
+        return json.dumps({
+            "params": asdict(self.params),
             "vocab": {"terms": list(self.vocab.terms), "idf": list(self.vocab.idf), "n_docs": self.vocab.n_docs},
             "scaler": asdict(self.scaler), "svm": self.svm.to_dict(),
             "iso_bounds": list(self.iso_bounds), "svm_bounds": list(self.svm_bounds),
             "threshold": self.threshold, "max_score": self.max_score,
-        }
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite") \
-            .text(f"{path}/meta")
+        })
+
+    def save(self, path: str) -> None:
+        spark = _active()
+        spark.createDataFrame([(self.to_json(),)], "meta string").write.mode("overwrite").text(f"{path}/meta")
         self.forest.to_frame(spark).write.mode("overwrite").parquet(f"{path}/forest")
+
+
+def _active():
+    from pyspark.sql import SparkSession
+    return SparkSession.getActiveSession()

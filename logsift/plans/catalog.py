@@ -318,3 +318,30 @@ def failed_logins(spark, sf):
 @query("failure_tags")
 def failure_tags(spark, sf):
     return SIG.failure_tags(fx1_logs(spark, sf))
+
+
+# --- models (rows-only checks) ----------------------------------------------------------------
+
+def _fx3_logs(spark, sf):
+    return FX.fx3(spark, sf).drop("anomaly_score", "is_anomaly")
+
+
+@query("iforest_score")
+def iforest_score(spark, sf):
+    from ..operators.detect import Detector
+    model, raw = Detector().fit_score(_fx3_logs(spark, sf))
+    return raw.select("line_no", F.round("iso", 6).alias("iso_score"))
+
+
+@query("ocsvm_score")
+def ocsvm_score(spark, sf):
+    from ..operators.detect import Detector
+    model, raw = Detector().fit_score(_fx3_logs(spark, sf))
+    return raw.select("line_no", F.round("svm", 6).alias("svm_score"))
+
+
+@query("detect_pipeline")
+def detect_pipeline(spark, sf):
+    from .pipeline import run
+    path = FX.write_lines(spark, FX.fx1(spark, sf), "event_id", "fx1")
+    return run(spark, path).table.select("line_no", "level", "message", "anomaly_score", "is_anomaly")

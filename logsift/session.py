@@ -79,3 +79,15 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
     sc._logsift_shipped = True
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Cuts the lineage (a lost executor recomputes nothing upstream) and lets
+    later passes prune columns at the scan.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
