@@ -108,29 +108,42 @@ def _vocab_arrays(vocab: Vocabulary):
     return F.array(*[F.lit(t) for t in vocab.terms]), F.array(*[F.lit(w) for w in vocab.idf])
 
 
-def with_tfidf(df: DataFrame, text_col: str, vocab: Vocabulary, out: str = "tfidf", stop_words=None) -> DataFrame:
-    """Append a dense array<double> column of length ``vocab.size`` (one 0.0 if empty).
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and bind it for ``body`` (a one-element ``transform``).
+
+    Separate projections are not enough: the optimizer may collapse them and
+    inline an expensive column into each of its uses.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    Three projections, each evaluating its expensive input once: vocabulary
-    grams of the row; counts per vocabulary term in one fold over those grams;
-    weights and their L2 norm.
+
+def tfidf_vector(text: Column, vocab: Vocabulary, stop_words=None) -> Column:
+    """Dense array<double> of length ``vocab.size`` (one 0.0 if the vocabulary is empty).
+
+    The row's vocabulary grams are computed once; each term's count is
+    ``size(g) - size(array_remove(g, term))`` (native array code, linear in the
+    row); then weights and the L2 norm.
     """
     if vocab.size == 0:
-        return df.withColumn(out, F.array(F.lit(0.0)))
+        return F.array(F.lit(0.0))
     terms, idf = _vocab_arrays(vocab)
-    zeros = F.array(*[F.lit(0) for _ in vocab.terms])
-    cols = df.columns
-    step = df.select(*cols, F.filter(grams(F.col(text_col), stop_words),
-                                     lambda t: F.array_contains(terms, t)).alias("_g"))
-    step = step.select(*cols, F.zip_with(
-        F.aggregate("_g", zeros, lambda acc, t: F.zip_with(acc, terms, lambda a, term: a + F.when(t == term, 1)
-                                                           .otherwise(0))),
-        idf, lambda c, w: F.when(c > 0, (F.lit(1.0) + F.log(c.cast("double"))) * w).otherwise(F.lit(0.0)))
-        .alias("_raw"))
-    step = step.select(*cols, "_raw", F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x * x))
-                       .alias("_norm"))
-    return step.select(*cols, F.transform("_raw", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm"))
-                                          .otherwise(F.lit(0.0))).alias(out))
+    vg = F.filter(grams(text, stop_words), lambda t: F.array_contains(terms, t))
+
+    def weights(g):
+        counts = F.array(*[F.size(g) - F.size(F.array_remove(g, F.lit(t))) for t in vocab.terms])
+        return F.zip_with(counts, idf, lambda c, w: F.when(c > 0, (F.lit(1.0) + F.log(c.cast("double"))) * w)
+                          .otherwise(F.lit(0.0)))
+
+    def normalise(raw):
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
+        return let(norm, lambda n: F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+
+    return let(let(vg, weights), normalise)
+
+
+def with_tfidf(df: DataFrame, text_col: str, vocab: Vocabulary, out: str = "tfidf", stop_words=None) -> DataFrame:
+    """Append the TF-IDF vector of ``text_col`` as ``out``."""
+    return df.withColumn(out, tfidf_vector(F.col(text_col), vocab, stop_words))
 
 
 def tfidf_long(df: DataFrame, key_col: str, text_col: str, vocab: Vocabulary, stop_words=None) -> DataFrame:

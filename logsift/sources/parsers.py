@@ -60,8 +60,12 @@ def raw_text_columns(line: Column) -> Column:
 
 
 def parse_raw(lines: DataFrame) -> DataFrame:
-    """Raw text: input (_path, _block, line) non-blank stripped lines."""
-    return lines.select(PATH, BLOCK, raw_text_columns(F.col("line")).alias("r")).select(PATH, BLOCK, "r.*")
+    """Raw text: input (_path, _block, line) non-blank stripped lines.
+
+    The row struct is unpacked by ``inline`` (a Generate), which the optimizer
+    does not collapse into the consumers, so each regex runs once per line.
+    """
+    return lines.select(PATH, BLOCK, F.inline(F.array(raw_text_columns(F.col("line")))))
 
 
 # --- NDJSON -----------------------------------------------------------------------
@@ -77,12 +81,12 @@ def _first_key(m: Column, keys: list[str], default: Column) -> Column:
 
 def parse_json_lines(lines: DataFrame) -> DataFrame:
     """One JSON object per line; malformed lines are dropped."""
-    parsed = lines.select(
-        PATH, BLOCK, F.col("line"),
+    # parse once (Generate barrier), then filter on the parsed map
+    parsed = lines.select(PATH, BLOCK, F.inline(F.array(F.struct(
+        F.col("line").alias("line"),
         F.when(F.col("line").startswith("{") & F.col("line").endswith("}"),
-               F.from_json("line", "map<string,string>", {"allowSingleQuotes": "false"}))
-        .alias("m"),
-    ).where(F.col("m").isNotNull())
+               F.from_json("line", "map<string,string>", {"allowSingleQuotes": "false"})).alias("m"),
+    )))).where(F.col("m").isNotNull())
     m = F.col("m")
     A = P.JSON_ALIASES
     level_present = None
@@ -102,7 +106,7 @@ def parse_json_lines(lines: DataFrame) -> DataFrame:
         S.safe_float(_first_key(m, A["time"], _null())),
         _null(), _null(),
     )
-    return parsed.select(PATH, BLOCK, row.alias("r")).select(PATH, BLOCK, "r.*")
+    return parsed.select(PATH, BLOCK, F.inline(F.array(row)))
 
 
 # --- CSV ---------------------------------------------------------------------------
@@ -151,7 +155,7 @@ def parse_csv_frame(df: DataFrame) -> DataFrame:
         S.safe_float(col("time")) if pick["time"] else _null(),
         _null(), _null(),
     )
-    return df.select(PATH, BLOCK, row.alias("r")).select(PATH, BLOCK, "r.*")
+    return df.select(PATH, BLOCK, F.inline(F.array(row)))
 
 
 def read_csv_files(spark, files: list[str], *, multiline: bool = True) -> DataFrame:
