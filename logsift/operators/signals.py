@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .stats import quantiles
-from .tfidf import grams, term_stats
+from .tfidf import grams, spread, term_stats
 
 
 def latency_spikes(logs: DataFrame, factor: float = 10.0) -> DataFrame:
@@ -63,7 +63,8 @@ def rare_vocabulary(docs: DataFrame, key_col: str, text_col: str, k: int = 20, s
     n = docs.count()
     stats = term_stats(docs, text_col, stop_words).select(
         "term", (F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    terms = docs.select(key_col, F.explode(F.array_distinct(grams(F.col(text_col), stop_words))).alias("term"))
+    terms = spread(docs.select(key_col, text_col)).select(
+        key_col, F.explode(F.array_distinct(grams(F.col(text_col), stop_words))).alias("term"))
     per_doc = (terms.join(stats, "term").groupBy(key_col)
                .agg(F.avg("idf").alias("mean_idf"), F.count(F.lit(1)).alias("n_terms")))
     return (per_doc.select(key_col, F.round("mean_idf", 6).alias("mean_idf"), "n_terms")

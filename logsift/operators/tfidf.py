@@ -43,35 +43,53 @@ def spark_stop_words(language: str = "english") -> tuple[str, ...]:
     raise FileNotFoundError("Spark's stop-word list was not found")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and bind it for ``body`` (a one-element ``transform``).
+
+    Separate projections are not enough: the optimizer may collapse them and
+    inline an expensive column into each of its uses.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin CPU-heavy text rows over the cluster when the input has fewer
+    partitions than cores (small files); at scale the input is already split
+    finer than the cluster and this is a no-op."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RE), F.lit(0))
 
 
 def grams(text: Column, stop_words=None) -> Column:
     """Unigrams (stop words removed) followed by bigrams of the remaining tokens."""
-    stop = F.array(*[F.lit(w) for w in (spark_stop_words() if stop_words is None else stop_words)])
+    stop = F.lit(list(spark_stop_words() if stop_words is None else stop_words)).cast("array<string>")
     uni = F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
-    return _with_bigrams(uni)
+    return let(uni, _with_bigrams)
+
+
+# Every "token token" pair of a space-joined token list, in order: each token
+# start (input start or after a space) captures itself and the next token.
+_BIGRAM_RE = r"(?:^| )(?=([^ ]+ [^ ]+))"
 
 
 def _with_bigrams(uni: Column) -> Column:
-    n = F.size(uni)
-    left = F.slice(uni, 1, F.greatest(n - 1, F.lit(0)))
-    right = F.slice(uni, 2, F.greatest(n - 1, F.lit(0)))
-    bi = F.when(n >= 2, F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))) \
-        .otherwise(F.array().cast("array<string>"))
+    """Tokens never contain spaces, so bigrams come from one native regex pass."""
+    bi = F.regexp_extract_all(F.array_join(uni, " "), F.lit(_BIGRAM_RE), F.lit(1))
     return F.concat(uni, bi)
 
 
 def term_stats(df: DataFrame, text_col: str, stop_words=None) -> DataFrame:
     """(term, tf = total count, df = rows containing it) over all rows."""
-    g = df.select(grams(F.col(text_col), stop_words).alias("g"))
-    entries = F.concat(
-        F.transform("g", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
-        F.transform(F.array_distinct("g"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"),
-                                                             F.lit(1).alias("d"))),
-    )
-    return (g.select(F.explode(entries).alias("e"))
+    def entries(g):
+        return F.concat(
+            F.transform(g, lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
+            F.transform(F.array_distinct(g), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"),
+                                                               F.lit(1).alias("d"))))
+    return (spread(df.select(text_col)).select(F.explode(let(grams(F.col(text_col), stop_words), entries)).alias("e"))
             .groupBy(F.col("e.term").alias("term"))
             .agg(F.sum("e.c").cast("long").alias("tf"), F.sum("e.d").cast("long").alias("df")))
 
@@ -108,15 +126,6 @@ def _vocab_arrays(vocab: Vocabulary):
     return F.array(*[F.lit(t) for t in vocab.terms]), F.array(*[F.lit(w) for w in vocab.idf])
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and bind it for ``body`` (a one-element ``transform``).
-
-    Separate projections are not enough: the optimizer may collapse them and
-    inline an expensive column into each of its uses.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def tfidf_vector(text: Column, vocab: Vocabulary, stop_words=None) -> Column:
     """Dense array<double> of length ``vocab.size`` (one 0.0 if the vocabulary is empty).
 
@@ -149,7 +158,9 @@ def with_tfidf(df: DataFrame, text_col: str, vocab: Vocabulary, out: str = "tfid
 def tfidf_long(df: DataFrame, key_col: str, text_col: str, vocab: Vocabulary, stop_words=None) -> DataFrame:
     """J2/J6 in long form: (key, term, weight) for every non-zero weight."""
     terms = F.array(*[F.lit(t) for t in vocab.terms]) if vocab.size else F.array().cast("array<string>")
-    v = with_tfidf(df.select(key_col, text_col), text_col, vocab, "v", stop_words)
+    v = with_tfidf(spread(df.select(key_col, text_col)), text_col, vocab, "v", stop_words)
+    # Generate barrier: the vector is computed once, not again in inferred filters
+    v = v.select(F.inline(F.array(F.struct(F.col(key_col).alias(key_col), F.col("v").alias("v")))))
     return (v.select(key_col, F.posexplode("v").alias("pos", "weight"))
             .where(F.col("weight") > 0)
             .select(key_col, F.element_at(terms, F.col("pos") + 1).alias("term"), "weight"))
