@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference has no streaming operators (no watermarks, windows or state), so
+none are built here.  A fitted ``DetectorModel.transform`` is row-local and can
+be applied to a ``readStream`` DataFrame of parsed lines.
+"""
