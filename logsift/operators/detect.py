@@ -33,21 +33,28 @@ from ..session import materialize, ship_package
 from .features import STRUCTURED, structured_columns
 from .iforest import Forest, fit_forest, training_pool
 from .ocsvm import OneClassSVM, fit_ocsvm, scale_gamma
-from .stats import minmax_norm, quantiles
+from .stats import exact_quantiles_ranked, minmax_norm, quantiles
 from .tfidf import Vocabulary, fit_vocabulary, with_tfidf
 
 
 def flag_threshold(df: DataFrame, score_col: str, fpr_target: float, exact: bool = True) -> tuple[float, float]:
-    """(threshold, max score).  Scores >= threshold are flagged."""
+    """(threshold, max score).  Scores >= threshold are flagged.
+
+    Exact quantiles come from ``exact_quantiles_ranked`` (bracket + rank walk),
+    so continuous scores never build one global map of every distinct value.
+    """
     probs = [1.0 - fpr_target, 0.90]
-    q = (F.percentile(score_col, probs) if exact else F.percentile_approx(score_col, probs, 100_000))
-    row = df.agg(q.alias("q"), F.max(score_col).alias("mx")).first()
-    if row["mx"] is None:
+    mx = df.agg(F.max(score_col).alias("mx")).first()["mx"]
+    if mx is None:
         raise ValueError("Feature matrix is empty. Cannot train anomaly detector.")
-    mx = float(row["mx"])
-    th = float(row["q"][0])
+    if exact:
+        q = exact_quantiles_ranked(df, score_col, probs)
+    else:
+        q = df.agg(F.percentile_approx(score_col, probs, 100_000).alias("q")).first()["q"]
+    mx = float(mx)
+    th = float(q[0])
     if th == mx:
-        th = float(row["q"][1])
+        th = float(q[1])
     return th, mx
 
 

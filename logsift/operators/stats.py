@@ -50,3 +50,55 @@ def minmax_norm(c, lo, hi) -> Column:
     if lo is None or hi is None or hi == lo:
         return F.lit(0.0)
     return (col - F.lit(float(lo))) / F.lit(float(hi) - float(lo))
+
+
+def exact_quantiles_ranked(df: DataFrame, col: str, probs: list[float], accuracy: int = 10_000,
+                           max_candidates: int = 2_000_000) -> list:
+    """Exact linear-interpolation quantiles without one global value map.
+
+    1. ``percentile_approx`` brackets each target rank (error <= n / accuracy);
+    2. one pass counts the values below each bracket;
+    3. the values inside the brackets are reduced to (value, count) pairs -- a
+       value shared by a third of all rows is one pair -- and walked in order
+       to the exact ranks ``floor((n-1)p)`` and the next one.
+    The bracket is verified; if it misses, or holds more than ``max_candidates``
+    distinct values, Spark's exact ``percentile`` is used instead.
+    """
+    v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    n = v.count()
+    if n == 0:
+        return [None] * len(probs)
+    eps = 3.0 / accuracy
+    lows = [max(0.0, p - eps) for p in probs]
+    highs = [min(1.0, p + eps) for p in probs]
+    q = v.agg(F.percentile_approx("v", lows + highs, accuracy).alias("q")).first()["q"]
+    windows = [(q[i], q[len(probs) + i]) for i in range(len(probs))]
+    below = v.agg(*[F.count_if(F.col("v") < F.lit(a)).alias(f"b{i}") for i, (a, _) in enumerate(windows)]).first()
+    inside = None
+    for a, b in windows:
+        c = (F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))
+        inside = c if inside is None else (inside | c)
+    cand = v.where(inside).groupBy("v").count().limit(max_candidates + 1).collect()
+    if len(cand) > max_candidates:
+        return quantiles(df, [col], probs, exact=True)[col]
+    cand = sorted((r["v"], r["count"]) for r in cand)
+    out = []
+    for i, p in enumerate(probs):
+        a, b = windows[i]
+        pos = (n - 1) * p
+        lo = int(pos // 1)
+        hi = min(lo + 1, n - 1)
+        vals = {}
+        rank = below[f"b{i}"]
+        for value, cnt in cand:
+            if value < a or value > b:
+                continue
+            for k in (lo, hi):
+                if k not in vals and rank <= k < rank + cnt:
+                    vals[k] = value
+            rank += cnt
+        if lo not in vals or hi not in vals:
+            return quantiles(df, [col], probs, exact=True)[col]
+        x_lo, x_hi = vals[lo], vals[hi]
+        out.append(x_lo + (pos - lo) * (x_hi - x_lo) if hi != lo else x_lo)
+    return out

@@ -46,3 +46,13 @@ def test_flag_rate_monotone(spark):
     a = detect(logs, fpr_target=0.05, n_trees=50).table.agg(F.sum("is_anomaly")).first()[0]
     b = detect(logs, fpr_target=0.10, n_trees=50).table.agg(F.sum("is_anomaly")).first()[0]
     assert 50 <= a <= b
+
+
+def test_exact_quantiles_ranked_matches_numpy_with_hot_value(spark):
+    from logsift.operators.stats import exact_quantiles_ranked
+    rng = np.random.default_rng(3)
+    vals = np.r_[np.zeros(7000), rng.normal(size=13000)]       # one value holds a third of the rows
+    df = spark.createDataFrame([(float(x),) for x in vals], "x double")
+    probs = [0.95, 0.9, 0.5, 0.0, 1.0]
+    got = exact_quantiles_ranked(df, "x", probs, accuracy=100)
+    assert np.allclose(got, [np.quantile(vals, p) for p in probs], rtol=0, atol=1e-12)
