@@ -65,13 +65,13 @@ def exact_quantiles_ranked(df: DataFrame, col: str, probs: list[float], accuracy
     distinct values, Spark's exact ``percentile`` is used instead.
     """
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = v.count()
-    if n == 0:
-        return [None] * len(probs)
     eps = 3.0 / accuracy
     lows = [max(0.0, p - eps) for p in probs]
     highs = [min(1.0, p + eps) for p in probs]
-    q = v.agg(F.percentile_approx("v", lows + highs, accuracy).alias("q")).first()["q"]
+    head = v.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", lows + highs, accuracy).alias("q")).first()
+    n, q = head["n"], head["q"]
+    if n == 0:
+        return [None] * len(probs)
     windows = [(q[i], q[len(probs) + i]) for i in range(len(probs))]
     below = v.agg(*[F.count_if(F.col("v") < F.lit(a)).alias(f"b{i}") for i, (a, _) in enumerate(windows)]).first()
     inside = None
