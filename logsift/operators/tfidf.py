@@ -16,33 +16,17 @@ weighting needs no join at all.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import ENGLISH_STOP_WORDS
+
 # Token pattern, portable between Java regex and RE2.
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
 
-@functools.lru_cache(maxsize=None)
-def spark_stop_words(language: str = "english") -> tuple[str, ...]:
-    """The stop-word list shipped inside Spark's MLlib jar (read without a JVM)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in z.namelist():
-                words = z.read(name).decode("utf-8").split()
-                return tuple(w for w in words if w)
-    raise FileNotFoundError("Spark's stop-word list was not found")
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and bind it for ``body`` (a one-element ``transform``).
 
@@ -66,7 +50,7 @@ def tokens(text: Column) -> Column:
 
 def grams(text: Column, stop_words=None) -> Column:
     """Unigrams (stop words removed) followed by bigrams of the remaining tokens."""
-    stop = F.lit(list(spark_stop_words() if stop_words is None else stop_words)).cast("array<string>")
+    stop = F.lit(list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)).cast("array<string>")
     uni = F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
     return let(uni, _with_bigrams)
 

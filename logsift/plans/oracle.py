@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from ..operators.signals import FAILED_LOGIN_RE, FAILURE_TAGS, USER_RE
-from ..operators.tfidf import TOKEN_RE, spark_stop_words
+
+# Token pattern of the text features, stated here on its own.
+TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
 MSG = """case event_type
   when 'error'    then 'Connection refused for user '||user_id||' after '||k||'ms'
@@ -140,7 +142,7 @@ def free_rt(c: str) -> str:
 
 
 def grams_ctes(src: str = "fx7") -> str:
-    stop = "[" + ", ".join(q(w) for w in spark_stop_words()) + "]"
+    stop = "[" + ", ".join(q(w) for w in P.ENGLISH_STOP_WORDS) + "]"
     return f"""toks AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), {q(TOKEN_RE)}),
       lambda t: NOT list_contains({stop}, t)) AS u FROM {src}),
 grams AS (SELECT doc_id, list_concat(u, list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])) AS g
