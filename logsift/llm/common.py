@@ -117,7 +117,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def sequence_hash(words: np.ndarray) -> np.ndarray:
     """One hash of a whole short sequence, unlike that of any run of another length."""
-    total = _U(len(words)) * _SEQ[15]
-    for i, w in enumerate(words):
-        total = mix64(np.array([total ^ (w * _SEQ[i % 15])], dtype=np.uint64))[0]
-    return np.array([total], dtype=np.uint64)
+    total = np.array([len(words)], dtype=np.uint64) * _SEQ[15]
+    for i in range(len(words)):
+        total = mix64(total ^ (words[i: i + 1] * _SEQ[i % 15]))
+    return total

@@ -4,16 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import decontaminate, near_dedup, neighbours, pieces, pii, quality, secrets, tokens, warc
 from .common import read_table
 
 
+def _documents(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents", "doc_id", "text")
+
+
 def op1_near_dedup(spark, sf_dir):
-    from .near_dedup import near_duplicates
-    return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {
-    "op1_near_dedup": op1_near_dedup,
-}
+def op3_token_counts(spark, sf_dir):
+    counts = tokens.token_counts(_documents(spark, sf_dir))
+    return counts.withColumn("over_limit", F.col("n_tokens") > tokens.LIMIT)
+
+
+def op4_pieces(spark, sf_dir):
+    return pieces.round_trip(_documents(spark, sf_dir))
+
+
+def op5_secrets(spark, sf_dir):
+    return secrets.digest(secrets.secrets(_documents(spark, sf_dir)))
+
+
+def op6_neighbours(spark, sf_dir):
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 100 == 0)
+
 
-ORACLE_SQL: dict[str, str] = {}
+def op7_quality(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    weights = quality.fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"), ~quality.held_out())
+    scored = quality.scores(docs, weights)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op10_pii(spark, sf_dir):
+    return pii.digest(pii.personal_data(_documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_near_dedup, op3_token_counts, op4_pieces, op5_secrets, op6_neighbours, op7_quality,
+    op8_decontaminate, op9_warc, op10_pii)}
+
+ORACLE_SQL = {
+    "op6_neighbours": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, e.vec_id,
+    sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(generate_series(1, len(e.v)),
+         lambda i: (e.v[i] - q.v[i]) * (e.v[i] - q.v[i]))), lambda a, x: a + x)) AS score
+  FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10""",
+    "op9_warc": """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+    sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p),
+k AS (SELECT *, payload_bytes >= 1000 AND page_id <> last AS again FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN last END AS refers_to, true AS valid FROM k""",
+}
