@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, neighbours, pieces, pii, quality, secrets, tokens, warc
+from . import decontaminate, licenses, near_dedup, neighbours, pieces, pii, quality, secrets, tokens, warc
 from .common import read_table
 
 
@@ -16,6 +16,10 @@ def op1_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_licenses(spark, sf_dir):
+    return licenses.digest(licenses.license_notices(_documents(spark, sf_dir)))
+
+
 def op3_token_counts(spark, sf_dir):
     counts = tokens.token_counts(_documents(spark, sf_dir))
     return counts.withColumn("over_limit", F.col("n_tokens") > tokens.LIMIT)
@@ -54,7 +58,7 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_dedup, op3_token_counts, op4_pieces, op5_secrets, op6_neighbours, op7_quality,
+    op1_near_dedup, op2_licenses, op3_token_counts, op4_pieces, op5_secrets, op6_neighbours, op7_quality,
     op8_decontaminate, op9_warc, op10_pii)}
 
 ORACLE_SQL = {
