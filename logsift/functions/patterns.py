@@ -37,7 +37,8 @@ ERROR_KEYWORDS = [
 ERROR_KEYWORD_RE = r'(?i)\b(' + "|".join(ERROR_KEYWORDS) + r')\b'
 
 # Apache time without its zone (first 20 characters), for hour-of-day.
-APACHE_TIME_FORMAT = "dd/MMM/yyyy:HH:mm:ss"
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+APACHE_TIME_RE = r"^[0-9]{2}/(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2}"
 
 # Line separators that Python's str.splitlines honours beyond \n, \r, \r\n.
 EXTRA_LINE_BREAKS_RE = "[\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
@@ -94,11 +95,11 @@ PROFILE_FEATURES = ["severity_score", "http_status_sev", "f_response_size",
 HIST_BINS_NORMAL = 40
 HIST_BINS_ANOMALY = 20
 TOP_ANOMALIES = 12
-EXPLAIN_DEFAULT, EXPLAIN_MAX = 5, 20
+EXPLAIN_DEFAULT = 5
 EXPLAIN_MAX_CHARS = 1200
 LABEL_MSG_CHARS, CARD_MSG_CHARS, PREVIEW_CHARS = 40, 70, 80
 SCORE_BANDS = [(0.75, "high"), (0.5, "medium")]  # else "low"
-BLANK_EXPLANATION = "_No log content provided._"
+BLANK_EXPLANATION = "(blank line)"
 
 # Spark's English stop words, in the order Spark ships them.
 ENGLISH_STOP_WORDS = tuple("""

@@ -108,8 +108,13 @@ def http_code(status) -> Column:
     return F.coalesce(_c(status), F.lit(200)).cast("double")
 
 
+MAX_DOUBLE = 1.7976931348623157e308
+
+
 def log1p0(c) -> Column:
-    return F.log1p(F.coalesce(_c(c).cast("double"), F.lit(0.0)))
+    """log1p with a value for every input: null, NaN and negatives count as 0, infinity as the largest double."""
+    v = F.nanvl(F.coalesce(_c(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.log1p(F.least(F.greatest(v, F.lit(0.0)), F.lit(MAX_DOUBLE)))
 
 
 def error_keyword(message) -> Column:
@@ -134,9 +139,24 @@ def parse_ts(ts) -> Column:
     An ISO offset is dropped, never applied: the hour is the hour written in the line.
     """
     t = _c(ts)
-    iso = t.try_cast("timestamp_ntz")
-    apache = F.try_to_timestamp(F.substring(t, 1, 20), F.lit(P.APACHE_TIME_FORMAT)).cast("timestamp_ntz")
-    return F.coalesce(iso, apache)
+    # Apache times become ISO text first, so that no value passes through the session's zone
+    month = F.ceil(F.instr(F.lit(P.MONTHS), F.substring(t, 4, 3)) / 3).cast("string")
+    apache = F.when(t.rlike(P.APACHE_TIME_RE), F.concat(
+        F.substring(t, 8, 4), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.substring(t, 1, 2), F.lit(" "),
+        F.substring(t, 13, 8)))
+    return F.coalesce(apache, t).try_cast("timestamp_ntz")
+
+
+def seconds(ts_parsed) -> Column:
+    """Seconds of a wall-clock time since 1970-01-01 00:00, without any zone."""
+    t = _c(ts_parsed)
+    return (F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+            + F.second(t)).cast("long")
+
+
+def time_text(ts_parsed) -> Column:
+    """'yyyy-MM-dd HH:mm:ss' of a wall-clock time."""
+    return F.substring(_c(ts_parsed).cast("string"), 1, 19)
 
 
 def hour_of_day(ts) -> Column:
@@ -144,17 +164,17 @@ def hour_of_day(ts) -> Column:
 
 
 def floor_minute(ts_parsed) -> Column:
-    return F.date_trunc("minute", _c(ts_parsed)).cast("timestamp_ntz")
+    return minute_text(ts_parsed).cast("timestamp_ntz")
 
 
 def minute_text(ts_parsed) -> Column:
     """Minute key as text 'yyyy-MM-dd HH:mm:ss' (portable across engines)."""
-    return F.date_format(floor_minute(ts_parsed), "yyyy-MM-dd HH:mm:ss")
+    return F.concat(F.substring(_c(ts_parsed).cast("string"), 1, 16), F.lit(":00"))
 
 
 def clock_minute(ts_parsed) -> Column:
     """'HH:mm' — the date is dropped, so days fold together."""
-    return F.date_format(_c(ts_parsed), "HH:mm")
+    return F.substring(_c(ts_parsed).cast("string"), 12, 5)
 
 
 # --- display helpers (F21-F24) -------------------------------------------------------

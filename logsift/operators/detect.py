@@ -187,7 +187,7 @@ class DetectorModel:
         """M6: ``anomaly_score`` (4 dp) and ``is_anomaly`` from raw scores."""
         e = self.ensemble(raw)
         return e.select(*[c for c in raw.columns if c not in ("iso", "svm")],
-                        F.round("score", 4).alias("anomaly_score"),
+                        F.bround("score", 4).alias("anomaly_score"),
                         F.when(F.col("score") >= F.lit(self.threshold), 1).otherwise(0).alias("is_anomaly"))
 
     def transform(self, logs: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 The reference sends each selected anomaly's text to an external explainer and
 caches answers by text.  Here the function is any ``str -> str`` callable that
-runs on the executors: texts are trimmed, cut to 1,200 characters and made
-distinct first (one call per distinct text), the function runs in Arrow
+runs on the executors: texts are trimmed and made distinct first (one call per distinct text), the function runs in Arrow
 batches via ``mapInPandas``, and the answers are joined back.  A blank text
 gets a fixed answer and a failing call returns its error text, the row kept.
 """
@@ -22,7 +21,7 @@ from ..session import ship_package
 from .reports import top_n
 
 
-def _apply(fn: Callable[[str], str]):
+def _apply(fn: Callable[[str], str], max_chars: int | None):
     def run(batches):
         for pdf in batches:
             out = []
@@ -31,7 +30,7 @@ def _apply(fn: Callable[[str], str]):
                     out.append(P.BLANK_EXPLANATION)
                     continue
                 try:
-                    out.append(str(fn(text)))
+                    out.append(str(fn(text if max_chars is None else text[:max_chars])))
                 except Exception as exc:  # noqa: BLE001 - the row is kept with the error text
                     out.append(f"Error: {exc}")
             yield pd.DataFrame({"_key": pdf["_key"], "explanation": out})
@@ -39,14 +38,19 @@ def _apply(fn: Callable[[str], str]):
 
 
 def enrich_distinct(df: DataFrame, col: str, fn: Callable[[str], str], out: str = "explanation",
-                    max_chars: int = P.EXPLAIN_MAX_CHARS) -> DataFrame:
-    """Adds ``out`` = fn(trimmed text cut to ``max_chars``), one call per distinct text."""
+                    max_chars: int | None = None) -> DataFrame:
+    """Adds ``out`` = fn(trimmed text), one call per distinct whole text; ``max_chars`` cuts only what ``fn`` sees.
+
+    Blank texts get their answer without a join; a text that many rows share is a skewed join key, which
+    adaptive execution splits on the side of the rows (an answer is one row).
+    """
     ship_package(df.sparkSession)
-    keyed = df.withColumn("_key", F.substring(S.strip_unicode(F.coalesce(F.col(col), F.lit(""))), 1, max_chars))
-    answers = (keyed.select("_key").distinct()
-               .mapInPandas(_apply(fn), "_key string, explanation string")
-               .withColumnRenamed("explanation", out))
-    return keyed.join(answers, "_key", "left").drop("_key")
+    keyed = df.withColumn("_key", F.nullif(S.strip_unicode(F.coalesce(F.col(col), F.lit(""))), F.lit("")))
+    answers = (keyed.select("_key").where("_key is not null").distinct()
+               .mapInPandas(_apply(fn, max_chars), "_key string, explanation string"))
+    return (keyed.join(answers, "_key", "left")
+            .withColumn(out, F.when(F.col("_key").isNull(), F.lit(P.BLANK_EXPLANATION)).otherwise(F.col("explanation")))
+            .drop("_key", *(["explanation"] if out != "explanation" else [])))
 
 
 def explain_top(scored: DataFrame, fn: Callable[[str], str], n: int = P.EXPLAIN_DEFAULT,

@@ -34,7 +34,7 @@ def with_ground_truth(df: DataFrame, p95: float | None = None) -> DataFrame:
         F.when(S.is_error_level("level"), F.lit(RULES[0])),
         F.when(F.coalesce(F.col("http_status") >= 500, F.lit(False)), F.lit(RULES[1])),
         F.when(S.has_error_keyword("message"), F.lit(RULES[2])),
-        F.when(F.coalesce(F.col("response_time") > F.lit(p95), F.lit(False)), F.lit(RULES[3])),
+        F.when(F.coalesce((F.col("response_time") > F.lit(p95)) & ~F.isnan("response_time"), F.lit(False)), F.lit(RULES[3])),
     ]
     reasons = F.filter(F.array(*fired), lambda x: x.isNotNull())
     return (df.withColumn("reasons", reasons)
@@ -59,7 +59,7 @@ def metrics(df: DataFrame, label_col: str = "is_anomaly", gt_col: str = "gt") ->
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
     fpr = F.when(fp + tn > 0, fp / (fp + tn)).otherwise(F.lit(0.0))
     acc = F.when(n > 0, (tp + tn) / n).otherwise(F.lit(0.0))
-    pct = lambda c: F.round(c * 100, 1)
+    pct = lambda c: F.bround(c * 100, 1)
     return step.select(
         "tp", "fp", "fn", "tn",
         pct(p).alias("precision"), pct(r).alias("recall"), pct(f1).alias("f1"),

@@ -6,7 +6,7 @@ report is an independent DataFrame over that (persisted) table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -27,7 +27,7 @@ def kpi_summary(scored: DataFrame) -> DataFrame:
                    F.coalesce(F.sum("is_anomaly"), F.lit(0)).cast("long").alias("anomalies"))
     return a.select("total_lines", "anomalies",
                     F.when(F.col("total_lines") > 0,
-                           F.round(100.0 * F.col("anomalies") / F.col("total_lines"), 1))
+                           F.bround(100.0 * F.col("anomalies") / F.col("total_lines"), 1))
                     .otherwise(F.lit(0.0)).alias("pct"))
 
 
@@ -38,14 +38,14 @@ def _timed(scored: DataFrame) -> DataFrame:
 
 def minute_volume(scored: DataFrame) -> DataFrame:
     """A1: lines per minute."""
-    return (_timed(scored).groupBy(F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"))
+    return (_timed(scored).groupBy(S.time_text("minute").alias("minute"))
             .agg(F.count(F.lit(1)).alias("count")))
 
 
 def minute_anomalies(scored: DataFrame) -> DataFrame:
     """A2: anomalous lines per minute (minutes without anomalies are absent)."""
     return (_timed(scored).where(F.col("is_anomaly") == 1)
-            .groupBy(F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"))
+            .groupBy(S.time_text("minute").alias("minute"))
             .agg(F.count(F.lit(1)).alias("anom_count")))
 
 
@@ -56,8 +56,8 @@ def anomaly_events(scored: DataFrame) -> DataFrame:
     """
     vol = minute_volume(scored)
     anoms = _timed(scored).where(F.col("is_anomaly") == 1).select(
-        "line_no", F.date_format("ts_parsed", "yyyy-MM-dd HH:mm:ss").alias("ts"),
-        F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"), "anomaly_score")
+        "line_no", S.time_text("ts_parsed").alias("ts"),
+        S.time_text("minute").alias("minute"), "anomaly_score")
     return (anoms.join(vol, "minute", "left")
             .select("line_no", "ts", "minute", "anomaly_score",
                     F.coalesce(F.col("count"), F.lit(1)).cast("long").alias("minute_count")))
@@ -77,9 +77,10 @@ def score_histogram(scored: DataFrame, normal_bins: int = P.HIST_BINS_NORMAL,
 
 def level_breakdown(logs: DataFrame) -> DataFrame:
     """A3: lines per level with their share of all lines, largest first."""
-    total = logs.count()
-    return (logs.groupBy("level").agg(F.count(F.lit(1)).alias("count"))
-            .select("level", "count", F.round(F.col("count") / F.lit(max(total, 1)), 6).alias("share"))
+    counts = logs.groupBy("level").agg(F.count(F.lit(1)).alias("count"))
+    # one row per level: its sum over all levels is the total, without another pass over the lines
+    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
+    return (counts.select("level", "count", F.round(F.col("count") / total, 6).alias("share"))
             .orderBy(F.desc("count"), "level"))
 
 
@@ -146,17 +147,24 @@ def top_anomalies(scored: DataFrame, k: int = P.TOP_ANOMALIES) -> DataFrame:
 
 
 def top_n(scored: DataFrame, n: int = P.EXPLAIN_DEFAULT) -> DataFrame:
-    """T4: top-N anomalies, 1 <= N <= 20."""
-    n = max(1, min(int(n), P.EXPLAIN_MAX))
+    """T4: the N highest-scoring anomalies."""
+    if int(n) < 1:
+        raise ValueError(f"n must be at least 1, got {n}")
     return scored.where(F.col("is_anomaly") == 1).orderBy(F.desc("anomaly_score"), "line_no").limit(n)
 
 
+def _padded(c: str, width: int):
+    """The number as text, blanks in front up to ``width``; longer numbers stay whole."""
+    text = F.col(c).cast("string")
+    return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(text), F.lit(0))), text)
+
+
 def explain_cards(scored: DataFrame, n: int = P.EXPLAIN_DEFAULT, text_col: str = "raw_line") -> DataFrame:
     """U4: context card per top-N anomaly (header line, context line, text sent for explanation)."""
     t = top_n(scored, n)
     text = F.col(text_col) if text_col in t.columns else F.col("message")
     header = F.concat(
-        F.lit("Line "), F.lpad(F.col("line_no").cast("string"), 4, " "), F.lit("  |  ["), F.col("level"),
+        F.lit("Line "), _padded("line_no", 4), F.lit("  |  ["), F.col("level"),
         F.lit("]  |  Score "), F.format_string("%.4f", "anomaly_score"), F.lit("  |  "),
         S.ellipsize(F.coalesce("message", F.lit("")), P.CARD_MSG_CHARS))
     context = F.concat(F.coalesce("timestamp", F.lit("None")), F.lit(" · Line "), F.col("line_no").cast("string"),

@@ -65,10 +65,10 @@ def syslog_parse(spark, sf):
 
 @query("apache_parse")
 def apache_parse(spark, sf):
-    from ..functions.scalars import parse_ts
+    from ..functions.scalars import parse_ts, time_text
     return fx2_logs(spark, sf).select(
         "line_no", "client_ip", "timestamp", "message", "level", "http_status", "response_size",
-        F.date_format(parse_ts("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts_parsed"))
+        time_text(parse_ts("timestamp")).alias("ts_parsed"))
 
 
 @query("fallback_parse")
@@ -239,6 +239,11 @@ def all_lines_table(spark, sf):
     return R.all_lines_table(FX.fx3(spark, sf))
 
 
+@query("normal_table")
+def normal_table(spark, sf):
+    return R.normal_table(FX.fx3(spark, sf))
+
+
 @query("top_anomalies")
 def top_anomalies(spark, sf):
     return R.top_anomalies(FX.fx3(spark, sf))
@@ -255,6 +260,11 @@ def enrich_distinct(spark, sf):
     return EN.enrich_distinct(anoms, "message", EN.summarize_text).select("line_no", "explanation")
 
 
+@query("explain_top")
+def explain_top(spark, sf):
+    return EN.explain_top(FX.fx3(spark, sf), EN.summarize_text, 50, text_col="message")
+
+
 @query("csv_sink_roundtrip")
 def csv_sink_roundtrip(spark, sf):
     s = FX.fx3(spark, sf).withColumn("raw_line", F.col("message"))
@@ -312,7 +322,7 @@ def volume_bursts(spark, sf):
 
 @query("failed_logins")
 def failed_logins(spark, sf):
-    return SIG.failed_logins(fx1_logs(spark, sf))
+    return SIG.failed_logins(ingest(spark, FX.write_lines(spark, FX.fx8(spark, sf), "event_id", "fx8")))
 
 
 @query("failure_tags")

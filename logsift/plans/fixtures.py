@@ -120,8 +120,21 @@ def fx6(spark, sf_dir) -> DataFrame:
 
 
 def fx7(spark, sf_dir) -> DataFrame:
-    """English documents as a text corpus (doc_id, text)."""
-    return _table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+    """All documents as a text corpus (doc_id, text)."""
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def fx8(spark, sf_dir) -> DataFrame:
+    """Login lines of an authentication service; failures name the address, and every other one the user too."""
+    e = ev(spark, sf_dir)
+    ip = F.concat(F.lit("198.51."), (F.col("user_id") % 3).cast("string"), F.lit("."), (F.col("user_id") % 40).cast("string"))
+    message = (F.when(F.col("event_type").isin("error", "click"),
+                      F.concat(F.lit("Failed login from "), ip,
+                               F.when(F.col("k") % 2 == 0, F.concat(F.lit(" user "), F.col("user_id").cast("string")))
+                               .otherwise(F.lit(""))))
+               .when(F.col("event_type") == "purchase", F.concat(F.lit("Connection refused for "), ip))
+               .otherwise(F.concat(F.lit("Accepted login from "), ip)))
+    return e.select("event_id", F.concat("t", F.lit(" ["), "lvl", F.lit("] auth: "), message).alias("line"))
 
 
 # --- writers -------------------------------------------------------------------

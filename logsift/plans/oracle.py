@@ -8,7 +8,7 @@ either from the same rule in SQL or from the fields the fixture was built from.
 from __future__ import annotations
 
 from ..functions import patterns as P
-from ..operators.signals import FAILED_LOGIN_RE, FAILURE_TAGS, USER_RE
+from ..operators.signals import FAILURE_TAGS
 
 # Token pattern of the text features, stated here on its own.
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
@@ -62,7 +62,10 @@ FX6 = """fx6 AS (SELECT event_id, 'worker '||user_id||case event_type when 'erro
   ||' took '||k||case when k%3=0 then ' sec' else 'ms' end AS line
 FROM ev)"""
 
-FX7 = "fx7 AS (SELECT doc_id, text FROM documents WHERE lang='en')"
+FX7 = "fx7 AS (SELECT doc_id, text FROM documents)"
+
+
+FX8 = """fx8 AS (SELECT event_id, t, lvl, event_type, k, '198.51.'||(user_id%3)||'.'||(user_id%40) AS ip FROM ev)"""
 
 
 def with_(*ctes: str) -> str:
@@ -273,14 +276,14 @@ gt AS (SELECT fx3.*, concat_ws(',',
   count(*) FILTER (WHERE is_anomaly <> 1 AND reasons = '') AS tn, count(*) AS n FROM gt),
 r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p,
   CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
-SELECT tp, fp, fn, tn, round(p * 100, 1) AS precision, round(r * 100, 1) AS recall,
-  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END * 100, 1) AS f1,
-  round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END * 100, 1) AS fpr,
-  round(CASE WHEN n > 0 THEN (tp + tn) / n ELSE 0.0 END * 100, 1) AS estimated_accuracy,
+SELECT tp, fp, fn, tn, round_even(p * 100, 1) AS precision, round_even(r * 100, 1) AS recall,
+  round_even(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END * 100, 1) AS f1,
+  round_even(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END * 100, 1) AS fpr,
+  round_even(CASE WHEN n > 0 THEN (tp + tn) / n ELSE 0.0 END * 100, 1) AS estimated_accuracy,
   tp + fn AS gt_anomalies FROM r"""
 
     S["kpi_summary"] = F3 + """SELECT count(*) AS total_lines, cast(coalesce(sum(is_anomaly), 0) as bigint) AS anomalies,
-  CASE WHEN count(*) > 0 THEN round(100.0 * sum(is_anomaly) / count(*), 1) ELSE 0.0 END AS pct FROM fx3"""
+  CASE WHEN count(*) > 0 THEN round_even(100.0 * sum(is_anomaly) / count(*), 1) ELSE 0.0 END AS pct FROM fx3"""
 
     S["minute_volume"] = F3 + f"""SELECT {minute_text('timestamp')} AS minute, count(*) AS count FROM fx3
 WHERE {ts_parse('timestamp')} IS NOT NULL GROUP BY 1"""
@@ -334,13 +337,13 @@ FROM top, (SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi FROM top) b
     S["explain_cards"] = F3 + f""", top AS (SELECT * FROM fx3 WHERE is_anomaly = 1
   ORDER BY anomaly_score DESC, line_no LIMIT {P.EXPLAIN_DEFAULT})
 SELECT line_no,
-  'Line '||lpad(cast(line_no as varchar), 4, ' ')||'  |  ['||level||']  |  Score '||printf('%.4f', anomaly_score)
+  'Line '||repeat(' ', greatest(4 - length(cast(line_no as varchar)), 0))||line_no||'  |  ['||level||']  |  Score '||printf('%.4f', anomaly_score)
     ||'  |  '||substring(coalesce(message, ''), 1, {P.CARD_MSG_CHARS})
     ||CASE WHEN length(coalesce(message, '')) > {P.CARD_MSG_CHARS} THEN '…' ELSE '' END AS header,
   coalesce(timestamp, 'None')||' · Line '||line_no||' · '||level AS context,
   coalesce(message, '') AS text FROM top"""
 
-    S["enrich_distinct"] = F3 + f""", a AS (SELECT line_no, substring(trim(coalesce(message, '')), 1, {P.EXPLAIN_MAX_CHARS}) AS x
+    S["enrich_distinct"] = F3 + f""", a AS (SELECT line_no, trim(coalesce(message, '')) AS x
   FROM fx3 WHERE is_anomaly = 1)
 SELECT line_no, CASE WHEN x = '' THEN {q(P.BLANK_EXPLANATION)}
   ELSE upper(substring(x, 1, 30))||' ('||length(x)||' chars)' END AS explanation FROM a"""
@@ -388,16 +391,21 @@ st AS (SELECT avg(count) AS mu, stddev_pop(count) AS sd FROM pm)
 SELECT minute, count, round(CASE WHEN sd > 0 THEN (count - mu) / sd ELSE 0.0 END, 6) AS z,
   CASE WHEN sd > 0 AND (count - mu) / sd > 3 THEN 1 ELSE 0 END AS is_burst FROM pm, st"""
 
-    S["failed_logins"] = with_(EV, FX1, syslog_cte()) + f""", f AS (
-  SELECT regexp_extract(message, {q(USER_RE)}, 1) AS user, {ts_parse('timestamp')} AS ts FROM sys
-  WHERE regexp_matches(message, {q(FAILED_LOGIN_RE)})),
-g AS (SELECT user, ts, CASE WHEN lag(ts) OVER (PARTITION BY user ORDER BY ts) IS NULL
-    OR ts - lag(ts) OVER (PARTITION BY user ORDER BY ts) >= INTERVAL 60 SECOND THEN 1 ELSE 0 END AS new_s
-  FROM f WHERE user <> '' AND ts IS NOT NULL),
-s AS (SELECT user, ts, sum(new_s) OVER (PARTITION BY user ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-SELECT user, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start,
+    S["failed_logins"] = with_(EV, FX8) + f""", f AS (
+  SELECT ip, {ts_parse('t')} AS ts FROM fx8 WHERE event_type IN ('error', 'click') AND {ts_parse('t')} IS NOT NULL),
+g AS (SELECT ip, ts, CASE WHEN lag(ts) OVER (PARTITION BY ip ORDER BY ts) IS NULL
+    OR ts - lag(ts) OVER (PARTITION BY ip ORDER BY ts) >= INTERVAL 60 SECOND THEN 1 ELSE 0 END AS new_s FROM f),
+s AS (SELECT ip, ts, sum(new_s) OVER (PARTITION BY ip ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT ip, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start,
   strftime(max(ts) + INTERVAL 60 SECOND, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS attempts,
-  CASE WHEN count(*) >= 3 THEN 1 ELSE 0 END AS is_attack FROM s GROUP BY user, sid"""
+  CASE WHEN count(*) >= 3 THEN 1 ELSE 0 END AS is_attack FROM s GROUP BY ip, sid"""
+
+    S["normal_table"] = F3 + f"SELECT {disp} FROM fx3 WHERE is_anomaly = 0"
+    S["explain_top"] = F3 + f""", top AS (SELECT * FROM fx3 WHERE is_anomaly = 1 ORDER BY anomaly_score DESC, line_no LIMIT 50),
+a AS (SELECT *, trim(coalesce(message, '')) AS x FROM top)
+SELECT line_no, anomaly_score, substring(coalesce(message, ''), 1, {P.PREVIEW_CHARS}) AS preview,
+  CASE WHEN x = '' THEN {q(P.BLANK_EXPLANATION)} ELSE upper(substring(x, 1, 30))||' ('||length(x)||' chars)' END
+    AS explanation FROM a"""
 
     tags = ", ".join(f"CASE WHEN regexp_matches(message, {q(p)}) THEN '{n}' END" for n, p in FAILURE_TAGS.items())
     S["failure_tags"] = with_(EV, FX1, syslog_cte()) + f"""SELECT line_no, tags FROM (
