@@ -1,56 +1,54 @@
 """Ensemble detection: fit, score, threshold, label.
 
 ``Detector.fit(logs)`` learns from the unified log table:
-  1. the TF-IDF vocabulary (bounded by ``max_features``),
+  1. the TF-IDF vocabulary (bounded by ``max_features``); the lines with their
+     feature vectors are then written once, and all else reads that table,
   2. the robust scaler (median and IQR per feature; IQR 0 -> 1),
-  3. a training pool (bounded uniform sample) for the isolation forest and
-     the approximate one-class SVM, with ``gamma`` from the full-data variance,
+  3. the isolation forest, whose trees draw from the whole table, and the
+     approximate one-class SVM, fitted on all rows,
   4. min/max of each raw score over all lines and the flag threshold: the
      ``1 - fpr_target`` quantile of the ensemble score, or its 0.90 quantile
      when that equals the maximum.
 All learned state is small (vocabulary, scaler vectors, forest node arrays,
 SVM weights); it is inlined as literals or broadcast.
 
-Scoring is one Arrow-batched ``mapInPandas`` pass over the lines that carries
-the line's own columns through, so labelling never needs a join back.
+Scoring is one Arrow-batched pandas function of the feature vector; the line's
+other columns never leave the JVM, and labelling needs no join back.
 
 ``fpr_target`` is the flagged fraction, not a false-positive rate: with
-distinct scores ``floor((n-1) * fpr) + 1`` lines are flagged.
+distinct scores ``floor((n-1) * fpr) + 1`` lines are flagged.  It can be changed
+afterwards on the kept raw scores (``DetectorModel.rethreshold``).
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import materialize, ship_package
 from .features import STRUCTURED, structured_columns
-from .iforest import Forest, fit_forest, training_pool
+from .iforest import NODE_SCHEMA, Forest, fit_forest
 from .ocsvm import OneClassSVM, fit_ocsvm, scale_gamma
-from .stats import exact_quantiles_ranked, minmax_norm, quantiles
+from .stats import minmax_norm, quantiles
 from .tfidf import Vocabulary, fit_vocabulary, with_tfidf
 
 
 def flag_threshold(df: DataFrame, score_col: str, fpr_target: float, exact: bool = True) -> tuple[float, float]:
     """(threshold, max score).  Scores >= threshold are flagged.
 
-    Exact quantiles come from ``exact_quantiles_ranked`` (bracket + rank walk),
-    so continuous scores never build one global map of every distinct value.
+    Exact quantiles narrow value brackets, so continuous scores never build one
+    global map of every distinct value.
     """
     probs = [1.0 - fpr_target, 0.90]
     mx = df.agg(F.max(score_col).alias("mx")).first()["mx"]
     if mx is None:
-        raise ValueError("Feature matrix is empty. Cannot train anomaly detector.")
-    if exact:
-        q = exact_quantiles_ranked(df, score_col, probs)
-    else:
-        q = df.agg(F.percentile_approx(score_col, probs, 100_000).alias("q")).first()["q"]
+        raise ValueError("there is no score to take a threshold from")
+    q = quantiles(df, [score_col], probs, exact)[score_col]
     mx = float(mx)
     th = float(q[0])
     if th == mx:
@@ -97,30 +95,22 @@ def fit_scaler(x: DataFrame, dim: int, exact: bool = True) -> Scaler:
     return Scaler(center, scale)
 
 
-def _scorer(forest_bc, svm_bc, keep: list[str]):
-    def score(batches):
-        forest, svm = forest_bc.value, svm_bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.vstack(pdf["x"].to_numpy()).astype(float)
-            out = pdf[keep].copy()
-            out["iso"] = forest.score(X)
-            out["svm"] = svm.score(X)
-            yield out
-    return score
+def raw_scores(featured: DataFrame, keep: list[str], scaler: Scaler, forest: Forest, svm: OneClassSVM) -> DataFrame:
+    """``keep`` columns of ``featured`` plus raw ``iso`` and ``svm`` scores of its vector ``x``."""
+    spark = featured.sparkSession
+    ship_package(spark)
+    model = spark.sparkContext.broadcast((forest, svm))
 
+    @F.pandas_udf("iso double, svm double")
+    def score(x: pd.Series) -> pd.DataFrame:
+        forest, svm = model.value
+        X = np.vstack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, svm.W.shape[0]))
+        return pd.DataFrame({"iso": forest.score(X), "svm": svm.score(X)})
 
-def raw_scores(logs: DataFrame, vocab: Vocabulary, scaler: Scaler, forest: Forest, svm: OneClassSVM) -> DataFrame:
-    """Every column of ``logs`` plus raw ``iso`` and ``svm`` scores (one Python pass)."""
-    spark = logs.sparkSession
-    ship_package(spark)
-    x = with_feature_vector(logs, vocab, "_x0")
-    x = x.select(*logs.columns, scaler.expr("_x0").alias("x"))
-    fb, sb = spark.sparkContext.broadcast(forest), spark.sparkContext.broadcast(svm)
-    schema = T.StructType([f for f in logs.schema.fields] +
-                          [T.StructField("iso", T.DoubleType()), T.StructField("svm", T.DoubleType())])
-    return x.mapInPandas(_scorer(fb, sb, list(logs.columns)), schema)
+    # Generate barrier: the vector is a plain column when the function is planned
+    vectors = featured.select(*keep, F.inline(F.array(F.struct(scaler.expr("x").alias("_v")))))
+    scored = vectors.select(*keep, score("_v").alias("_s"))
+    return scored.select(*keep, F.col("_s.iso").alias("iso"), F.col("_s.svm").alias("svm"))
 
 
 @dataclass
@@ -130,9 +120,8 @@ class Detector:
     seed: int = 42
     n_trees: int = 300
     max_samples: int = 256
-    pool_size: int = 16_384
     svm_features: int = 256
-    svm_iters: int = 300
+    svm_rounds: int = 6
     max_features: int = 50
     weights: tuple = (0.5, 0.5)
     exact_quantiles: bool = True
@@ -142,18 +131,17 @@ class Detector:
         validate_rate("fpr_target", self.fpr_target)
         validate_rate("contamination", self.contamination)
         vocab = fit_vocabulary(logs, "message", self.max_features)
-        x = with_feature_vector(logs.select("line_no", "level", "http_status", "response_size",
-                                            "response_time", "timestamp", "message"), vocab)
+        featured = materialize(with_feature_vector(logs, vocab), "features")
         dim = len(STRUCTURED) + max(vocab.size, 1)
-        scaler = fit_scaler(x, dim, self.exact_quantiles)
-        xs = x.select("line_no", scaler.expr("x").alias("x"))
-        pool = training_pool(xs, self.pool_size, self.seed)
-        if pool.shape[0] == 0:
-            raise ValueError("Feature matrix is empty. Cannot train anomaly detector.")
-        forest = fit_forest(xs, dim, n_trees=self.n_trees, max_samples=self.max_samples, seed=self.seed, pool=pool)
-        svm = fit_ocsvm(pool, scale_gamma(xs, dim), nu=self.contamination, n_features=self.svm_features,
-                        iters=self.svm_iters, seed=self.seed)
-        scored = materialize(raw_scores(logs, vocab, scaler, forest, svm), "raw-scores")
+        n = featured.count()
+        if n == 0:
+            raise ValueError("there is no line to learn from")
+        scaler = fit_scaler(featured, dim, self.exact_quantiles)
+        xs = featured.select("line_no", scaler.expr("x").alias("x"))
+        forest = fit_forest(xs, n, n_trees=self.n_trees, max_samples=self.max_samples, seed=self.seed)
+        svm = fit_ocsvm(xs, dim, scale_gamma(xs, dim), nu=self.contamination, n_features=self.svm_features,
+                        rounds=self.svm_rounds, seed=self.seed)
+        scored = materialize(raw_scores(featured, logs.columns, scaler, forest, svm), "raw-scores")
         b = scored.agg(F.min("iso").alias("ilo"), F.max("iso").alias("ihi"),
                        F.min("svm").alias("slo"), F.max("svm").alias("shi")).first()
         model = DetectorModel(self, vocab, scaler, forest, svm, (b["ilo"], b["ihi"]), (b["slo"], b["shi"]), 0.0, 0.0)
@@ -184,32 +172,45 @@ class DetectorModel:
                               + F.lit(float(ws)) * minmax_norm("svm", *self.svm_bounds))
 
     def label(self, raw: DataFrame) -> DataFrame:
-        """M6: ``anomaly_score`` (4 dp) and ``is_anomaly`` from raw scores."""
+        """M6: ``score`` (unrounded), ``anomaly_score`` (4 dp) and ``is_anomaly`` from raw scores."""
         e = self.ensemble(raw)
         return e.select(*[c for c in raw.columns if c not in ("iso", "svm")],
-                        F.bround("score", 4).alias("anomaly_score"),
+                        "score", F.bround("score", 4).alias("anomaly_score"),
                         F.when(F.col("score") >= F.lit(self.threshold), 1).otherwise(0).alias("is_anomaly"))
 
     def transform(self, logs: DataFrame) -> DataFrame:
         """Score new lines with the fitted model (row-local, streaming-safe)."""
-        return self.label(raw_scores(logs, self.vocab, self.scaler, self.forest, self.svm))
+        featured = with_feature_vector(logs, self.vocab)
+        return self.label(raw_scores(featured, logs.columns, self.scaler, self.forest, self.svm))
+
+    def rethreshold(self, scored: DataFrame, fpr_target: float) -> "DetectorModel":
+        """The same model with the threshold of another flag rate, from the kept raw scores; nothing is refitted."""
+        params = replace(self.params, fpr_target=validate_rate("fpr_target", fpr_target))
+        th, mx = flag_threshold(self.ensemble(scored), "score", fpr_target, params.exact_quantiles)
+        return replace(self, params=params, threshold=th, max_score=mx)
 
     def to_json(self) -> str:
-        """M7: everything but the forest arrays, as JSON."""
+        """M7: everything but the forest's nodes, as JSON."""
         return json.dumps({
             "params": asdict(self.params),
             "vocab": {"terms": list(self.vocab.terms), "idf": list(self.vocab.idf), "n_docs": self.vocab.n_docs},
             "scaler": asdict(self.scaler), "svm": self.svm.to_dict(),
+            "forest": {"psi": self.forest.psi, "max_depth": self.forest.max_depth},
             "iso_bounds": list(self.iso_bounds), "svm_bounds": list(self.svm_bounds),
             "threshold": self.threshold, "max_score": self.max_score,
         })
 
-    def save(self, path: str) -> None:
-        spark = _active()
-        spark.createDataFrame([(self.to_json(),)], "meta string").write.mode("overwrite").text(f"{path}/meta")
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(self.to_json(),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         self.forest.to_frame(spark).write.mode("overwrite").parquet(f"{path}/forest")
 
-
-def _active():
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "DetectorModel":
+        """The model that ``save`` wrote."""
+        d = json.loads(spark.read.text(f"{path}/meta", wholetext=True).first()[0])
+        params = Detector(**(d["params"] | {"weights": tuple(d["params"]["weights"])}))
+        vocab = Vocabulary(tuple(d["vocab"]["terms"]), tuple(d["vocab"]["idf"]), d["vocab"]["n_docs"])
+        nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/forest").toPandas()
+        return cls(params, vocab, Scaler(**d["scaler"]), Forest.from_nodes(nodes, **d["forest"]),
+                   OneClassSVM.from_dict(d["svm"]), tuple(d["iso_bounds"]), tuple(d["svm_bounds"]),
+                   d["threshold"], d["max_score"])

@@ -12,17 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .stats import exact_quantiles_ranked, quantile
+from .stats import quantile
 
 RULES = ["error_level", "server_error", "error_keyword", "slow_response"]
 
 
 def response_time_p95(df: DataFrame, exact: bool = True) -> float:
-    """Exact p95 of response times (bracket + rank walk), +inf when there is none."""
-    if exact:
-        q = exact_quantiles_ranked(df, "response_time", [0.95])[0]
-    else:
-        q = quantile(df.where(F.col("response_time").isNotNull()), "response_time", 0.95, exact)
+    """Exact p95 of response times, +inf when there is none."""
+    q = quantile(df, "response_time", 0.95, exact)
     return float("inf") if q is None else float(q)
 
 

@@ -1,16 +1,16 @@
 """Isolation forest (M3): Liu, Ting & Zhou (2008), "Isolation Forest".
 
-Training cost does not grow with the data: each tree isolates ``psi`` =
-min(max_samples, n) rows drawn without replacement from a training pool, and
-the pool itself is a fixed-size, partition-independent uniform sample of the
-whole table (the rows with the smallest ``xxhash64(line_no, seed)``, taken by a
-distributed top-k).  Trees are built in parallel by ``mapInPandas`` over
-``spark.range(n_trees)`` with the pool broadcast; the forest is a node table of
-at most ``n_trees * (2 * psi - 1)`` rows.
-
-Scoring is distributed (see ``score_frame``): every line walks every tree in a
-vectorised NumPy loop over Arrow batches; the score is
-``2 ** (-mean path length / c(psi))`` in (0, 1), higher = more isolated.
+Each tree isolates its own ``psi`` = min(max_samples, n) rows, drawn without
+replacement from the whole table by a hash of (line number, tree): rows go to
+trees by a threshold on that hash, a little over ``psi`` for each, and the tree's
+task keeps the ``psi`` smallest.  Only drawn rows are shuffled, one small group a
+tree, and no row is collected.  With far more rows than all trees can use, a
+row is a candidate of one tree only, so the pass hashes each row once.  The
+forest is a node table of at most ``n_trees * (2 * psi - 1)`` rows.
+
+Scoring is distributed: every line walks every tree in a vectorised NumPy loop
+over Arrow batches; the score is ``2 ** (-mean path length / c(psi))`` in (0, 1),
+higher = more isolated.
 """
 
 from __future__ import annotations
@@ -70,23 +70,16 @@ def _build_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
     return feat, thr, left, right, leaf
 
 
-def _tree_builder(pool_bc, psi: int, max_depth: int, seed: int):
-    def build(batches):
-        pool = pool_bc.value
-        for pdf in batches:
-            rows = []
-            for tree in pdf["id"].tolist():
-                rng = np.random.default_rng([seed, int(tree)])
-                sample = rng.choice(pool.shape[0], size=psi, replace=False)
-                feat, thr, left, right, leaf = _build_tree(pool[sample], rng, max_depth)
-                rows.append(pd.DataFrame({"tree": int(tree), "node": np.arange(len(feat), dtype=np.int32),
-                                          "feature": np.asarray(feat, dtype=np.int32),
-                                          "threshold": np.asarray(thr, dtype=float),
-                                          "left": np.asarray(left, dtype=np.int32),
-                                          "right": np.asarray(right, dtype=np.int32),
-                                          "leaf": np.asarray(leaf, dtype=float)}))
-            if rows:
-                yield pd.concat(rows, ignore_index=True)
+def _tree_builder(psi: int, max_depth: int, seed: int):
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        rows = pdf.sort_values(["h", "line_no"]).head(psi)
+        feat, thr, left, right, leaf = _build_tree(np.vstack(rows["x"].to_numpy()).astype(float),
+                                                   np.random.default_rng([seed, tree]), max_depth)
+        return pd.DataFrame({"tree": np.full(len(feat), tree, dtype=np.int32), "node": np.arange(len(feat), dtype=np.int32),
+                             "feature": np.asarray(feat, dtype=np.int32), "threshold": np.asarray(thr, dtype=float),
+                             "left": np.asarray(left, dtype=np.int32), "right": np.asarray(right, dtype=np.int32),
+                             "leaf": np.asarray(leaf, dtype=float)})
     return build
 
 
@@ -142,27 +135,28 @@ class Forest:
         return np.power(2.0, -self.path_lengths(X) / c)
 
 
-def training_pool(xs: DataFrame, pool_size: int, seed: int) -> np.ndarray:
-    """A uniform, partition-independent sample of at most ``pool_size`` rows (distributed top-k)."""
-    rows = (xs.select("x", F.xxhash64("line_no", F.lit(seed)).alias("_h"))
-            .orderBy("_h").limit(pool_size).select("x").collect())
-    return np.asarray([r["x"] for r in rows], dtype=float)
-
-
-def fit_forest(xs: DataFrame, dim: int, *, n_trees: int = 300, max_samples: int = 256,
-               pool_size: int = 16_384, seed: int = 42, pool: np.ndarray | None = None) -> Forest:
-    spark = xs.sparkSession
-    ship_package(spark)
-    if pool is None:
-        pool = training_pool(xs, pool_size, seed)
-    if pool.shape[0] == 0:
-        raise ValueError("Feature matrix is empty. Cannot train anomaly detector.")
-    psi = min(max_samples, pool.shape[0])
+def tree_samples(xs: DataFrame, n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
+    """(tree, h, line_no, x): for each tree a few more than ``psi`` rows (all of them, if there are no more)."""
+    extra = psi + 8 * math.sqrt(psi) + 8        # the count is about Poisson: fewer than psi is out of reach
+    top = float(2 ** 62)
+    if n >= 4 * n_trees * extra:
+        h = F.shiftrightunsigned(F.xxhash64("line_no", F.lit(seed)), 2)
+        share = n_trees * extra / n
+        return (xs.select("line_no", "x", h.alias("h")).where(F.col("h") < F.lit(int(share * top)))
+                .withColumn("tree", F.pmod(F.xxhash64("line_no", F.lit(seed + 1)), F.lit(n_trees)).cast("int")))
+    limit = int(min(1.0, extra / max(n, 1)) * top)
+    drawn = xs.select("line_no", "x", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    return (drawn.withColumn("h", F.shiftrightunsigned(F.xxhash64("line_no", "tree", F.lit(seed)), 2))
+            .where(F.col("h") <= F.lit(limit)))
+
+
+def fit_forest(xs: DataFrame, n: int, *, n_trees: int = 300, max_samples: int = 256, seed: int = 42) -> Forest:
+    """A forest over all ``n`` rows (line_no, x) of ``xs``."""
+    ship_package(xs.sparkSession)
+    if n <= 0:
+        raise ValueError("no line to learn from")
+    psi = min(max_samples, n)
     max_depth = max(int(math.ceil(math.log2(max(psi, 2)))), 1)
-    bc = spark.sparkContext.broadcast(pool)
-    parts = max(1, min(n_trees, spark.sparkContext.defaultParallelism))
-    nodes = (spark.range(n_trees).repartition(parts)
-             .mapInPandas(_tree_builder(bc, psi, max_depth, seed), NODE_SCHEMA)
-             .toPandas())
-    bc.unpersist()
+    nodes = (tree_samples(xs, n, n_trees, psi, seed).groupBy("tree")
+             .applyInPandas(_tree_builder(psi, max_depth, seed), NODE_SCHEMA).toPandas())
     return Forest.from_nodes(nodes, psi, max_depth)

@@ -3,12 +3,16 @@
 The RBF kernel ``exp(-gamma * |x - y|^2)`` is approximated by
 ``z(x) = sqrt(2 / D) * cos(x W + b)`` with ``W ~ N(0, 2 gamma)`` and
 ``b ~ U(0, 2 pi)`` (Rahimi & Recht, 2007).  The one-class problem is then linear:
-minimise ``1/2 |w|^2 - rho + 1/(nu m) * sum max(0, rho - w.z_i)`` (Schoelkopf et
-al., 2001), solved by averaged subgradient descent on the bounded training pool
-shared with the forest.  ``gamma = 1 / (d * var(X))`` uses the variance of all
-cells of the full scaled matrix (one aggregate pass).  The raw anomaly score of
-a line is ``rho - w.z(x)`` (higher = further outside); the exact kernel solver
-is quadratic in the number of lines and is not used.
+minimise ``1/2 |w|^2 - rho + 1/(nu n) * sum max(0, rho - w.z_i)`` (Schoelkopf et
+al., 2001).  It is solved on all rows by parallel stochastic subgradients with
+averaging (Zinkevich et al., 2010): in a round each partition takes steps over its
+own rows in batches, starting from the common weights, and the partitions'
+averaged weights, weighted by their rows, are the next common weights.  A round
+is one pass whose result is one row of ``D + 2`` numbers per partition, summed by
+Spark; no row is collected.  ``gamma = 1 / (d * var(X))`` uses the variance of all
+cells of the full scaled matrix.  The raw anomaly score of a line is
+``rho - w.z(x)`` (higher = further outside); the exact kernel solver is quadratic
+in the number of lines and is not used.
 """
 
 from __future__ import annotations
@@ -16,9 +20,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 @dataclass
 class OneClassSVM:
@@ -39,6 +46,10 @@ class OneClassSVM:
         return {"W": self.W.tolist(), "b": self.b.tolist(), "w": self.w.tolist(), "rho": self.rho,
                 "gamma": self.gamma}
 
+    @classmethod
+    def from_dict(cls, d: dict) -> "OneClassSVM":
+        return cls(np.array(d["W"]), np.array(d["b"]), np.array(d["w"]), d["rho"], d["gamma"])
+
 
 def scale_gamma(xs: DataFrame, dim: int) -> float:
     """gamma = 1 / (d * population variance of every cell of X)."""
@@ -54,28 +65,45 @@ def scale_gamma(xs: DataFrame, dim: int) -> float:
     return 1.0 / (dim * var) if var > 0 else 1.0
 
 
-def fit_ocsvm(pool: np.ndarray, gamma: float, *, nu: float = 0.05, n_features: int = 256,
-              iters: int = 300, seed: int = 42) -> OneClassSVM:
+def _round(model: OneClassSVM, nu: float, done: int, batch_rows: int):
+    """One partition's steps: (i, s) rows of the n-weighted averaged weights, rho (at D) and n (at D + 1)."""
+    def run(batches):
+        w, rho, t = model.w.copy(), model.rho, 0
+        total, total_rho, rows = np.zeros_like(w), 0.0, 0
+        for pdf in batches:
+            X = np.vstack(pdf["x"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, model.W.shape[0]))
+            for at in range(0, len(X), batch_rows):
+                Z = model.features(X[at: at + batch_rows])
+                eta = 1.0 / (done + t + 1)      # the problem is 1-strongly convex in w
+                s = Z @ w
+                # for given weights the best rho is the nu-quantile of the products
+                rho = rho + eta * (float(np.quantile(s, nu)) - rho)
+                w = w - eta * (w - Z[s < rho].sum(axis=0) / (nu * len(Z))) if done else w + eta * (Z.mean(axis=0) - w)
+                t += 1
+                total += w * len(Z)
+                total_rho += rho * len(Z)
+                rows += len(Z)
+        yield pd.DataFrame({"i": np.arange(len(w) + 2, dtype=np.int32), "s": np.concatenate([total, [total_rho, rows]])})
+    return run
+
+
+def fit_ocsvm(xs: DataFrame, dim: int, gamma: float, *, nu: float = 0.05, n_features: int = 256,
+              rounds: int = 6, batch_rows: int = 128, seed: int = 42) -> OneClassSVM:
+    """Fit on all rows of ``xs`` (column x, ``dim`` numbers)."""
+    ship_package(xs.sparkSession)
     rng = np.random.default_rng([seed, 7919])
-    d = pool.shape[1]
-    W = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(d, n_features))
+    W = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dim, n_features))
     b = rng.uniform(0.0, 2.0 * np.pi, size=n_features)
-    model = OneClassSVM(W, b, np.zeros(n_features), 0.0, gamma)
-    Z = model.features(pool)
-    m = Z.shape[0]
-    w = Z.mean(axis=0)
-    rho = float(np.quantile(Z @ w, nu))
-    w_avg, rho_avg = np.zeros_like(w), 0.0
-    for t in range(1, iters + 1):
-        s = Z @ w
-        viol = s < rho
-        gw = w - Z[viol].sum(axis=0) / (nu * m)
-        grho = -1.0 + viol.sum() / (nu * m)
-        eta = 1.0 / np.sqrt(t)
-        w = w - eta * gw
-        rho = rho - eta * grho
-        w_avg += (w - w_avg) / t
-        rho_avg += (rho - rho_avg) / t
-    model.w = w_avg
-    model.rho = float(np.quantile(Z @ w_avg, nu))
+    model, done = OneClassSVM(W, b, np.zeros(n_features), 0.0, gamma), 0
+    rows = xs.select("x")
+    for _ in range(rounds):
+        sums = np.zeros(n_features + 2)
+        for r in (rows.mapInPandas(_round(model, nu, done, batch_rows), "i int, s double")
+                  .groupBy("i").agg(F.sum("s").alias("s")).collect()):
+            sums[r["i"]] = r["s"]
+        n = sums[-1]
+        if n == 0:
+            break
+        model = OneClassSVM(W, b, sums[:-2] / n, float(sums[-2] / n), gamma)
+        done += 16      # the first round finds the mean; later ones start from small steps
     return model

@@ -20,10 +20,10 @@ from ..operators import reports as R
 from ..operators import signals as SIG
 from ..operators import tfidf as TF
 from ..operators.features import STRUCTURED, feature_view, with_structured_features
-from ..operators.stats import min_max, minmax_norm, quantile_expr
-from ..sources.ingest import ingest
+from ..operators.stats import min_max, minmax_norm, quantiles
+from ..sources.ingest import ingest, list_files
 from ..sources.sinks import RESULT_COLUMNS, write_csv
-from ..sources.sniff import sniff_files
+from ..sources.sniff import sniff
 from ..sources.text import nonblank_lines, number_rows, read_lines
 from ..session import scratch_path
 from . import fixtures as FX
@@ -106,12 +106,9 @@ def format_sniff(spark, sf):
         "fx4": FX.write_lines(spark, FX.fx4(spark, sf), "event_id", "fx4"),
         "fx5": FX.write_csv_lines(spark, FX.fx5(spark, sf), "event_id", "fx5"),
     }
-    rows = []
-    for name, d in dirs.items():
-        files = sorted(spark.read.text(d).inputFiles())
-        for fmt in sorted({fmt for fmt, _ in sniff_files(spark, files).values()}):
-            rows.append((name, fmt))
-    return spark.createDataFrame(rows, "fixture string, format string")
+    frames = [sniff(spark, list_files(spark, d)).select(F.lit(name).alias("fixture"), "format").distinct()
+              for name, d in dirs.items()]
+    return frames[0].union(frames[1]).union(frames[2])
 
 
 @query("line_numbers")
@@ -149,13 +146,10 @@ def tfidf_weights(spark, sf):
 @query("robust_scale")
 def robust_scale(spark, sf):
     f = with_structured_features(FX.fx3(spark, sf))
-    agg = f.agg(*[quantile_expr(c, [0.25, 0.5, 0.75]).alias(c) for c in STRUCTURED])
-    stack = ", ".join(f"'{c}', `{c}`" for c in STRUCTURED)
-    long = agg.selectExpr(f"stack({len(STRUCTURED)}, {stack}) as (feature, q)")
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return long.select("feature", F.round(F.col("q")[0], 6).alias("q25"), F.round(F.col("q")[1], 6).alias("median"),
-                       F.round(F.col("q")[2], 6).alias("q75"), F.round(iqr, 6).alias("iqr"),
-                       F.round(F.when(iqr == 0, F.lit(1.0)).otherwise(iqr), 6).alias("scale"))
+    found = quantiles(f, STRUCTURED, [0.25, 0.5, 0.75])
+    return spark.createDataFrame(
+        [(c, round(a, 6), round(m, 6), round(b, 6), round(b - a, 6), round(b - a, 6) or 1.0) for c, (a, m, b) in found.items()],
+        "feature string, q25 double, median double, q75 double, iqr double, scale double")
 
 
 @query("minmax_score")

@@ -16,7 +16,17 @@ from ..sources.ingest import ingest
 class Result:
     table: DataFrame          # unified log table + anomaly_score + is_anomaly
     model: DetectorModel
-    metrics: DataFrame        # one row (A8-A10)
+    raw: DataFrame            # the kept raw scores, for another flag rate
+
+    @property
+    def metrics(self) -> DataFrame:
+        """One row (A8-A10), computed when asked for."""
+        return evaluate(self.table)
+
+    def rethreshold(self, fpr_target: float) -> "Result":
+        """Labels for another flag rate, without refitting."""
+        model = self.model.rethreshold(self.raw, fpr_target)
+        return Result(model.label(self.raw), model, self.raw)
 
     @property
     def threshold(self) -> float:
@@ -28,7 +38,7 @@ def detect(logs: DataFrame, fpr_target: float = 0.05, contamination: float = 0.0
     """Fit the ensemble on a log table and label every line."""
     model, raw = Detector(fpr_target=fpr_target, contamination=contamination, seed=seed, **params).fit_score(logs)
     table = model.label(raw)
-    return Result(table, model, evaluate(table))
+    return Result(table, model, raw)
 
 
 def run(spark: SparkSession, paths, fpr_target: float = 0.05, contamination: float = 0.05,

@@ -41,14 +41,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when the session leaves it unset
-    (local tests) do we create a private folder and set it on the session.
+    Read from ``spark.checkpoint.dir``, else the folder set on the context.
+    Only a local session may leave both unset (tests): it gets a private folder.
     """
-    conf = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    conf = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="logsift-ckpt-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, conf)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(conf)
     return conf.rstrip("/")

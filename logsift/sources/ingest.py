@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .parsers import UNIFIED, parse_csv_frame, parse_json_lines, parse_raw, read_csv_files
+from .parsers import (UNIFIED, bad_csv_lines, bad_json_lines, csv_header, parse_csv_frame, parse_json_lines, parse_raw,
+                      parse_unnamed_csv, read_csv_files, resolves)
 from .sniff import sniff_files
 from .text import nonblank_lines, number_rows, read_lines
 
@@ -25,54 +26,72 @@ def list_files(spark: SparkSession, paths) -> list[str]:
     return sorted(spark.read.text(list(paths)).inputFiles())
 
 
-def parsed_frames(spark: SparkSession, paths, format: str = "auto", *,
-                  csv_multiline: bool = True) -> list[DataFrame]:
-    """One parsed (unnumbered) frame per format group, all in scan order."""
+def grouped_files(spark: SparkSession, paths, format: str) -> tuple[dict[str, list[str]], dict[tuple, list[str]], list[str]]:
+    """Raw and JSON files; CSV files by their header where it names a known column; all other CSV files."""
     if format not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     files = list_files(spark, paths)
-    if not files:
-        return []
-    groups: dict[str, list[str]] = {"raw": [], "json": []}
-    csv_groups: dict[str, list[str]] = {}
-    if format == "auto":
-        for f, (fmt, first) in sniff_files(spark, files).items():
-            if fmt == "csv":
-                csv_groups.setdefault(first or "", []).append(f)
+    plain: dict[str, list[str]] = {"raw": [], "json": []}
+    named: dict[tuple, list[str]] = {}
+    unnamed: list[str] = []
+    if format in plain:
+        plain[format] = files
+        return plain, named, unnamed
+    for f, (kind, first) in sniff_files(spark, files).items():
+        if format == "csv" or kind == "csv":
+            header = csv_header(first)
+            if resolves(header):
+                named.setdefault(header, []).append(f)
             else:
-                groups[fmt].append(f)
-    elif format == "csv":
-        csv_groups[""] = files
-    else:
-        groups[format] = files
+                unnamed.append(f)
+        else:
+            plain[kind].append(f)
+    return plain, named, unnamed
+
+
+def parsed_frames(spark: SparkSession, paths, format: str = "auto", *, csv_multiline: bool = False) -> list[DataFrame]:
+    """One parsed (unnumbered) frame per format and known CSV header, all in scan order."""
+    plain, named, unnamed = grouped_files(spark, paths, format)
     frames = []
-    if groups["raw"]:
-        frames.append(parse_raw(nonblank_lines(read_lines(spark, sorted(groups["raw"])))))
-    if groups["json"]:
-        frames.append(parse_json_lines(nonblank_lines(read_lines(spark, sorted(groups["json"])))))
-    for _, fs in sorted(csv_groups.items()):
-        frames.append(parse_csv_frame(read_csv_files(spark, sorted(fs), multiline=csv_multiline)))
+    if plain["raw"]:
+        frames.append(parse_raw(nonblank_lines(read_lines(spark, sorted(plain["raw"])))))
+    if plain["json"]:
+        frames.append(parse_json_lines(nonblank_lines(read_lines(spark, sorted(plain["json"])))))
+    for header, fs in sorted(named.items()):
+        frames.append(parse_csv_frame(read_csv_files(spark, sorted(fs), header, multiline=csv_multiline), header))
+    if unnamed:
+        frames.append(parse_unnamed_csv(spark, sorted(unnamed)))
     return frames
 
 
 def ingest(spark: SparkSession, paths, format: str = "auto", *, allow_empty: bool = False,
-           csv_multiline: bool = True) -> DataFrame:
+           csv_multiline: bool = False) -> DataFrame:
     """Read, sniff, parse and number log lines.
 
     Returns ``line_no, raw_line, timestamp, message, level, http_status,
     response_size, response_time, client_ip, component``.  Raises
     ``EmptyLogError`` when nothing parses, unless ``allow_empty``.
+    ``csv_multiline=True`` reads quoted line ends inside cells, one task per file.
+    Lines that don't parse are in ``quarantine``.
     """
     frames = parsed_frames(spark, paths, format, csv_multiline=csv_multiline)
-    if not frames:
-        if allow_empty:
-            return spark.createDataFrame([], log_schema_ddl())
-        raise EmptyLogError("No parseable log lines found in the input.")
-    union = reduce(lambda a, b: a.unionByName(b), frames)
-    numbered, total = number_rows(union)
-    if total == 0 and not allow_empty:
-        raise EmptyLogError("No parseable log lines found in the input.")
-    return numbered.select(*LOG_COLUMNS)
+    if frames:
+        numbered, total = number_rows(reduce(lambda a, b: a.unionByName(b), frames))
+        if total:
+            return numbered.select(*LOG_COLUMNS)
+    if not allow_empty:
+        raise EmptyLogError("the input holds no line that can be parsed")
+    return spark.createDataFrame([], log_schema_ddl())
+
+
+def quarantine(spark: SparkSession, paths, format: str = "auto") -> DataFrame:
+    """(path, line, reason) of what ``ingest`` leaves out: malformed NDJSON lines and CSV rows with surplus cells."""
+    plain, named, _ = grouped_files(spark, paths, format)
+    frames = [spark.createDataFrame([], "path string, line string, reason string")]
+    if plain["json"]:
+        frames.append(bad_json_lines(nonblank_lines(read_lines(spark, sorted(plain["json"])))))
+    frames += [bad_csv_lines(read_csv_files(spark, sorted(fs), header), header) for header, fs in sorted(named.items())]
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def log_schema_ddl() -> str:

@@ -8,6 +8,8 @@ http_status, response_size, response_time, client_ip, component``.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,18 +135,83 @@ def pick_alias(columns: list[str], aliases: list[str]) -> str | None:
     return None
 
 
-def parse_csv_frame(df: DataFrame) -> DataFrame:
-    """S3 on a DataFrame read by ``spark.read.csv`` (all string columns) plus _path/_block."""
-    data_cols = [c for c in df.columns if c not in (PATH, BLOCK)]
-    norm = normalise_header(data_cols)
-    df = df.toDF(*[norm[data_cols.index(c)] if c in data_cols else c for c in df.columns])
-    A = P.CSV_ALIASES
-    pick = {role: pick_alias(norm, A[role]) for role in A}
+def csv_header(first_line: str) -> tuple[str, ...]:
+    """The normalised names of a CSV file's first line."""
+    return tuple(normalise_header(next(csv.reader([first_line]), [])))
+
+
+def resolves(header: tuple[str, ...]) -> bool:
+    """Whether any name of the header is a known one."""
+    return any(pick_alias(list(header), aliases) for aliases in P.CSV_ALIASES.values())
+
+
+WIDTH, LINE = "_width", "_line"
+# a comma and one cell: quoted with doubled quotes inside, or plain
+_CELL = r',("(?:[^"]|"")*"|[^,]*)'
+
+
+def _cells(line) -> Column:
+    plain = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+    return F.transform(plain, lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"'))
+                       .otherwise(c))
+
+
+def _lines_without_header(spark, files: list[str]) -> DataFrame:
+    """(_path, _block, _line): the CSV reader leaves out each file's first line; a line stays whole and splittable."""
+    return (spark.read.schema(f"{LINE} string").option("header", True).option("sep", "\u0001").option("quote", "")
+            .option("maxCharsPerColumn", -1).csv(files)
+            .select(F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias(BLOCK), LINE)
+            .where(F.col(LINE).isNotNull() & (F.trim(LINE) != "")))
+
+
+def read_csv_files(spark, files: list[str], header: tuple[str, ...], *, multiline: bool = False) -> DataFrame:
+    """CSV files that share one header: every cell as a string, the line and its number of cells.
+
+    ``multiline`` also reads line ends inside quoted cells, at the price of one task per file; its rows
+    carry no line, and rows with surplus cells are marked by the reader.
+    """
+    if multiline:
+        schema = ", ".join(f"`{c}` string" for c in header) + f", `{LINE}` string"
+        df = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+              .option("multiLine", True).option("columnNameOfCorruptRecord", LINE).csv(files))
+        # a malformed row with a last cell has surplus cells; without one it is merely short
+        wide = F.col(LINE).isNotNull() & F.col(f"`{header[-1]}`").isNotNull()
+        return df.select(F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias(BLOCK), LINE,
+                         F.when(wide, len(header) + 1).otherwise(len(header)).alias(WIDTH), *[F.col(f"`{c}`") for c in header])
+    cells = _lines_without_header(spark, files).select(PATH, BLOCK, LINE, _cells(F.col(LINE)).alias("_cells"))
+    return cells.select(PATH, BLOCK, LINE, F.size("_cells").alias(WIDTH),
+                        *[F.nullif(F.get("_cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(header)])
+
+
+def bad_csv_lines(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
+    """Rows of ``read_csv_files`` with more cells than the header."""
+    return df.where(F.col(WIDTH) > len(header)).select(
+        F.col(PATH).alias("path"), F.col(LINE).alias("line"), F.lit("more cells than the header").alias("reason"))
+
+
+def bad_json_lines(lines: DataFrame) -> DataFrame:
+    """Lines that ``parse_json_lines`` leaves out."""
+    m = F.from_json("line", "map<string,string>", {"allowSingleQuotes": "false"})
+    good = F.col("line").startswith("{") & F.col("line").endswith("}") & m.isNotNull()
+    return lines.where(~F.coalesce(good, F.lit(False))).select(
+        F.col(PATH).alias("path"), "line", F.lit("not a JSON object").alias("reason"))
+
+
+def parse_unnamed_csv(spark, files: list[str]) -> DataFrame:
+    """CSV files whose header names no known column, read together: only the joined cells are known."""
+    lines = _lines_without_header(spark, files)
+    row = _row(F.array_join(_cells(F.col(LINE)), " "), _null(), F.lit(""), F.lit("INFO"), _null(), _null(), _null(), _null(), _null())
+    return lines.select(PATH, BLOCK, F.inline(F.array(row)))
+
+
+def parse_csv_frame(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
+    """S3 on the rows of ``read_csv_files``; rows with surplus cells are left to the quarantine."""
+    pick = {role: pick_alias(list(header), aliases) for role, aliases in P.CSV_ALIASES.items()}
 
     def col(role):
         return F.col(f"`{pick[role]}`") if pick[role] else None
 
-    raw = F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in norm])
+    raw = F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in header])
     row = _row(
         raw,
         col("timestamp") if pick["timestamp"] else _null(),
@@ -155,17 +222,4 @@ def parse_csv_frame(df: DataFrame) -> DataFrame:
         S.safe_float(col("time")) if pick["time"] else _null(),
         _null(), _null(),
     )
-    return df.select(PATH, BLOCK, F.inline(F.array(row)))
-
-
-def read_csv_files(spark, files: list[str], *, multiline: bool = True) -> DataFrame:
-    """Read CSV files that share one header; every cell as a string."""
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("quote", '"').option("escape", '"').option("multiLine", multiline)
-          .option("mode", "PERMISSIVE").option("enforceSchema", False)
-          .csv(files))
-    return df.select(
-        F.col("_metadata.file_path").alias(PATH),
-        F.col("_metadata.file_block_start").alias(BLOCK),
-        *[F.col(f"`{c}`") for c in df.columns],
-    )
+    return df.where(F.col(WIDTH) <= len(header)).select(PATH, BLOCK, F.inline(F.array(row)))

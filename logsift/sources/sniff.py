@@ -7,26 +7,26 @@ extension or a CSV-looking first line -> CSV; else raw text.
   with ``{`` (denominator ``min(non-blank lines, 20)``; no line -> not JSON).
 * CSV look (S9): the first physical line holds at least two commas.
 
-The heads are computed by one Spark job for all files: the first ``head_rows``
-physical lines of each file's first split (window bounded per file), grouped
-per file.  A file whose window is full but holds fewer than 20 non-blank lines
-is looked at again with a ten times larger window, so the answer is exact.
-The result has one row per file (metadata-sized) and is collected to group the
-paths by format.
+Only heads are read: each file is opened once through the file system that
+Spark reads it from, and read in pieces until 20 non-blank lines are known (or
+the file ends), keeping nothing but those lines.  A Spark scan can't stop after
+a file's first lines, so it would read all of the input.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .text import BLOCK, MID, PATH, read_lines
 
 JSON_EXT = ("json", "jsonl", "ndjson")
 CSV_EXT = ("csv",)
 HEAD_NONBLANK = 20
+PIECE, OPEN_FILES = 1 << 16, 16
+LINE_CHARS = 1 << 16        # of each head line; longer lines keep their start, which is all that is looked at
 
 
 def extension(path: str) -> str:
@@ -34,76 +34,55 @@ def extension(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def file_heads(spark: SparkSession, files: list[str], head_rows: int = 200) -> DataFrame:
-    """Per file: first physical line, first 20 non-blank stripped lines, window fullness."""
-    lines = read_lines(spark, files).where(F.col(BLOCK) == 0) \
-        .withColumn(MID, F.monotonically_increasing_id())
-    # one row per file: metadata-sized, broadcast back
-    start = F.broadcast(lines.groupBy(PATH).agg(F.min(MID).alias("_m0")))
-    head = (lines.join(start, PATH)
-            .where(F.col(MID) < F.col("_m0") + head_rows)
-            .groupBy(PATH)
-            .agg(F.sort_array(F.collect_list(F.struct(MID, "value"))).alias("rows")))
-    stripped = F.transform("rows", lambda r: F.regexp_replace(r["value"], r"(?U)^\s+|\s+$", ""))
-    nonblank = F.filter(stripped, lambda s: s != "")
-    return head.select(
-        PATH,
-        F.col("rows")[0]["value"].alias("first_line"),
-        F.slice(nonblank, 1, HEAD_NONBLANK).alias("head"),
-        (F.size("rows") >= head_rows).alias("window_full"),
-    )
-
-
-def sniff_heads(heads: DataFrame) -> DataFrame:
-    """(path, first_line, looks_json, looks_csv) from ``file_heads``."""
-    n = F.size("head")
-    json_like = F.size(F.filter("head", lambda s: s.startswith("{")))
-    return heads.select(
-        PATH, "first_line", "window_full", n.alias("n_head"),
-        F.when(n == 0, F.lit(False)).otherwise(json_like / n >= 0.5).alias("looks_json"),
-        (F.coalesce(F.size(F.split(F.coalesce("first_line", F.lit("")), ",", -1)), F.lit(1)) - 1 >= 2)
-        .alias("looks_csv"),
-    )
-
-
-def sniff_files(spark: SparkSession, files: list[str], head_rows: int = 200) -> dict[str, tuple[str, str]]:
+def _open(spark: SparkSession, file: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(file)) if re.match(r"^[a-z][a-z0-9+.-]*:", file) \
+        else jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    return codec.createInputStream(stream) if codec is not None else stream
+
+
+def file_head(spark: SparkSession, file: str) -> tuple[str, list[str]]:
+    """The first physical line and the first 20 non-blank stripped lines."""
+    stream = _open(spark, file)
+    try:
+        decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+        first, lines, rest, ended = None, [], "", False
+        while not ended and (first is None or len(lines) < HEAD_NONBLANK):
+            piece = bytes(stream.readNBytes(PIECE))
+            ended = len(piece) < PIECE
+            *whole, rest = re.split(r"\r\n|\n|\r(?!\Z)", rest + decode(piece, ended))
+            for line in whole + ([rest] if ended else []):
+                line = line[:LINE_CHARS]
+                first = line if first is None else first
+                if line.strip():
+                    lines.append(line.strip())
+            if first is None and len(rest) > LINE_CHARS:
+                first = rest[:LINE_CHARS]       # a line without an end in sight
+            rest = rest[:LINE_CHARS] if len(rest) > LINE_CHARS else rest
+        return first or "", lines[:HEAD_NONBLANK]
+    finally:
+        stream.close()
+
+
+def dispatch(file: str, first_line: str, head: list[str]) -> str:
+    """'json', 'csv' or 'raw' from a file's name and head."""
+    ext = extension(file)
+    if ext in JSON_EXT or head and sum(x.startswith("{") for x in head) / len(head) >= 0.5:
+        return "json"
+    if ext in CSV_EXT or first_line.count(",") >= 2:
+        return "csv"
+    return "raw"
+
+
+def sniff_files(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, str]]:
     """path -> (format, first physical line); format in {'json', 'csv', 'raw'}."""
-    result: dict[str, tuple[str, str]] = {}
-    todo = []
-    for f in files:
-        ext = extension(f)
-        if ext in JSON_EXT:
-            result[f] = ("json", None)
-        else:
-            todo.append(f)
-    rows = head_rows
-    while todo:
-        found = {r[PATH]: r for r in sniff_heads(file_heads(spark, todo, rows)).collect()}
-        retry = []
-        for f in todo:
-            key = _match(found, f)
-            r = found.get(key)
-            if r is None:                       # empty file
-                result[f] = ("csv" if extension(f) in CSV_EXT else "raw", "")
-                continue
-            if r["window_full"] and r["n_head"] < HEAD_NONBLANK:
-                retry.append(f)
-                continue
-            if r["looks_json"]:
-                fmt = "json"
-            elif extension(f) in CSV_EXT or r["looks_csv"]:
-                fmt = "csv"
-            else:
-                fmt = "raw"
-            result[f] = (fmt, r["first_line"])
-        todo, rows = retry, rows * 10
-    return result
-
-
-def _match(found: dict, f: str) -> str:
-    if f in found:
-        return f
-    for k in found:
-        if k.endswith(f) or f.endswith(k.split(":", 1)[-1]):
-            return k
-    return f
+    with ThreadPoolExecutor(OPEN_FILES) as pool:
+        heads = list(pool.map(lambda f: file_head(spark, f), files))
+    return {f: (dispatch(f, first, head), first) for f, (first, head) in zip(files, heads)}
+
+
+def sniff(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(path, format) of every file."""
+    return spark.createDataFrame([(f, fmt) for f, (fmt, _) in sniff_files(spark, files).items()], "path string, format string")

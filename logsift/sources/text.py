@@ -8,29 +8,29 @@ Dense 1-based numbering in file order, without a global sort and without a
 shuffle of the data:
 
 * every row carries ``_path`` and ``_block`` (file and split start) from the
-  hidden ``_metadata`` column;
-* ``monotonically_increasing_id()`` is taken right after the last row filter and
-  before any shuffle, so inside one split the kept rows get consecutive ids;
-* a small aggregate gives per split ``(min id, kept rows)``; prefix sums over the
-  splits in ``(path, start)`` order give each split's offset;
-* ``line_no = offset + (id - min id) + 1``.
-
-The split table has one row per input split (metadata-sized, known from the
-file listing), so it is summed on the driver and joined back with a broadcast
-when small, or with a regular join beyond that bound.
+  hidden ``_metadata`` column, and ``monotonically_increasing_id()`` taken right
+  after the last row filter: inside one split the ids are consecutive;
+* the rows are parsed once and written with these; everything later reads that
+  table, so no second planning of splits can disagree with the first;
+* the splits, one row each, are range-partitioned in ``(path, start)`` order and
+  summed up in two levels; their shift of ids to numbers is joined back by a
+  64-bit key and sent to the rows as long as it has at most ``SENT_SPLITS`` rows
+  (16 bytes each), else joined as any table;
+* numbered rows are counted against the written ones by the join's own keys: a
+  split without a shift raises an error instead of vanishing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
+from ..session import materialize
 
 PATH, BLOCK, MID = "_path", "_block", "_mid"
-# Split tables up to this many rows are broadcast for the numbering join.
-BROADCAST_SPLITS = 200_000
+SENT_SPLITS = 4_000_000
 
 
 def read_lines(spark: SparkSession, paths, *, split_extra_breaks: bool = True) -> DataFrame:
@@ -59,27 +59,31 @@ def nonblank_lines(lines: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, out: str = "line_no") -> tuple[DataFrame, int]:
-    """Dense 1-based number in (file, split, position) order.
+    """Dense 1-based number in (file, split, position) order, and the number of rows.
 
     ``df`` must still be in scan order (no shuffle since the read) and carry
-    ``_path`` and ``_block``.  Two passes over the input: a light one that
-    counts kept rows per split, and the main one.  Returns the numbered
-    frame and the total row count.
+    ``_path`` and ``_block``.
     """
     spark = df.sparkSession
-    df = df.withColumn(MID, F.monotonically_increasing_id())
-    splits = (df.groupBy(PATH, BLOCK)
-              .agg(F.min(MID).alias("_m0"), F.count(F.lit(1)).alias("_n"))
-              .orderBy(PATH, BLOCK)
-              .collect())
-    offsets, acc = [], 0
-    for r in splits:
-        # row id -> line number shift for this split
-        offsets.append((r[PATH], r[BLOCK], acc - r["_m0"] + 1))
-        acc += r["_n"]
-    off = spark.createDataFrame(offsets, f"{PATH} string, {BLOCK} long, _shift long")
-    if len(offsets) <= BROADCAST_SPLITS:
-        off = F.broadcast(off)
-    numbered = df.join(off, [PATH, BLOCK], "inner")
-    numbered = numbered.withColumn(out, (F.col(MID) + F.col("_shift")).cast("long")).drop("_shift", MID)
-    return numbered, acc
+    rows = materialize(df.withColumn(MID, F.monotonically_increasing_id()), "lines")
+    # a task can hold several splits, and only its ids tell where each began
+    splits = (rows.groupBy(PATH, BLOCK).agg(F.min(MID).alias("_m0"), F.count(F.lit(1)).alias("_n"))
+              .repartitionByRange(PATH, BLOCK).withColumn("_part", F.spark_partition_id()))
+    splits = materialize(splits, "splits")
+    parts = {r["_part"]: r["_n"] for r in splits.groupBy("_part").agg(F.sum("_n").alias("_n")).collect()}
+    before, total = {}, 0
+    for p in sorted(parts):
+        before[p], total = total, total + parts[p]
+    if not total:
+        return rows.withColumn(out, F.lit(None).cast("long")).drop(MID), 0
+    start = F.create_map(*[F.lit(x) for p in before.items() for x in p])
+    order = Window.partitionBy("_part").orderBy(PATH, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    shift = (start[F.col("_part")] + F.coalesce(F.sum("_n").over(order), F.lit(0)) - F.col("_m0") + 1).cast("long")
+    key = F.xxhash64(PATH, BLOCK)
+    shifts = materialize(splits.select(key.alias("_key"), shift.alias("_shift")), "shifts")
+    n = shifts.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_key").alias("d")).first()
+    if n["n"] != n["d"]:
+        raise RuntimeError("two splits share a key")
+    numbered = rows.withColumn("_key", key).join(F.broadcast(shifts) if n["n"] <= SENT_SPLITS else shifts, "_key", "left")
+    found = F.coalesce(F.col(MID) + F.col("_shift"), F.raise_error(F.lit("a line's split has no number")).cast("long"))
+    return numbered.withColumn(out, found).drop("_shift", "_key", MID), total

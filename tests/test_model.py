@@ -15,16 +15,37 @@ def test_c_factor():
     assert abs(c_factor([256])[0] - 10.2447) < 1e-3
 
 
-def test_rff_approximates_rbf():
+def test_rff_approximates_rbf(spark):
     rng = np.random.default_rng(0)
     X = rng.normal(size=(40, 5))
     gamma = 0.2
-    m = fit_ocsvm(X, gamma, n_features=4096, iters=5)
+    xs = spark.createDataFrame([(r.tolist(),) for r in X], "x array<double>")
+    m = fit_ocsvm(xs, 5, gamma, n_features=4096, rounds=1)
     Z = m.features(X)
     K = np.exp(-gamma * ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
     assert np.abs(Z @ Z.T - K).max() < 0.1
 
 
+def test_ocsvm_learns_from_all_partitions(spark):
+    """About nu of the rows lie outside, whatever the number of partitions; far points score above near ones."""
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(4000, 3))
+    xs = spark.createDataFrame([(r.tolist(),) for r in X], "x array<double>").repartition(4)
+    m = fit_ocsvm(xs, 3, 0.2, nu=0.1, rounds=5)
+    s = m.score(X)
+    assert 0.03 < (s > 0).mean() < 0.25
+    assert m.score(np.full((1, 3), 8.0))[0] > np.quantile(s, 0.99)
+
+
+def test_each_tree_draws_its_own_rows(spark):
+    from logsift.operators.iforest import tree_samples
+    xs = spark.range(1, 5001).select(F.col("id").alias("line_no"), F.array(F.col("id").cast("double")).alias("x"))
+    for n_trees in (3, 300):      # one tree a row, and all trees a row
+        t = tree_samples(xs, 5000, n_trees, 64, 1).groupBy("tree").agg(F.count("*").alias("n"), F.countDistinct("line_no").alias("d"))
+        got = t.collect()
+        assert len(got) == n_trees and all(64 <= r.n == r.d < 5000 for r in got)
+
+
 def test_planted_outlier_ranks_first(spark):
     rng = np.random.default_rng(1)
     rows = [(i + 1, "2024-01-01 10:00:00", f"user {i % 5} view ok", "INFO", 200, 100.0 + rng.normal(), 10.0 + rng.normal())
@@ -48,11 +69,45 @@ def test_flag_rate_monotone(spark):
     assert 50 <= a <= b
 
 
-def test_exact_quantiles_ranked_matches_numpy_with_hot_value(spark):
-    from logsift.operators.stats import exact_quantiles_ranked
+def test_exact_quantiles_match_numpy_with_hot_values(spark):
+    from logsift.operators.stats import exact_quantiles
     rng = np.random.default_rng(3)
-    vals = np.r_[np.zeros(7000), rng.normal(size=13000)]       # one value holds a third of the rows
-    df = spark.createDataFrame([(float(x),) for x in vals], "x double")
-    probs = [0.95, 0.9, 0.5, 0.0, 1.0]
-    got = exact_quantiles_ranked(df, "x", probs, accuracy=100)
-    assert np.allclose(got, [np.quantile(vals, p) for p in probs], rtol=0, atol=1e-12)
+    vals = np.r_[np.zeros(7000), np.full(4000, 0.3), rng.normal(size=9000)]       # hot values
+    other = np.r_[rng.exponential(size=20000)]
+    df = spark.createDataFrame([(float(x), float(y), float("nan") if i % 2 else None) for i, (x, y) in enumerate(zip(vals, other))],
+                               "x double, y double, z double")
+    probs = [0.95, 0.9, 0.5, 0.25, 0.0, 1.0]
+    got = exact_quantiles(df, {"x": probs, "y": probs, "z": [0.5]}, accuracy=100, few=16)
+    assert np.allclose(got["x"], [np.quantile(vals, p) for p in probs], rtol=0, atol=1e-12)
+    assert np.allclose(got["y"], [np.quantile(other, p) for p in probs], rtol=0, atol=1e-12)
+    assert got["z"] == [None]
+
+
+def test_save_load_rethreshold(spark, tmp_path):
+    from logsift.operators.detect import DetectorModel
+    from logsift.plans import fixtures as FX
+    logs = FX.fx3(spark, SF_SMALL).drop("anomaly_score", "is_anomaly")
+    res = detect(logs, n_trees=20)
+    res.model.save(spark, str(tmp_path / "m"))
+    back = DetectorModel.load(spark, str(tmp_path / "m"))
+    assert back.threshold == res.threshold and back.vocab == res.model.vocab
+    a = {r.line_no: (r.score, r.is_anomaly) for r in res.table.collect()}
+    b = {r.line_no: (r.score, r.is_anomaly) for r in back.transform(logs).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k][0] - b[k][0]) < 1e-9 for k in a)
+    more = res.rethreshold(0.2)
+    assert more.threshold <= res.threshold
+    assert {r.line_no: r.score for r in more.table.collect()} == {k: v[0] for k, v in a.items()}
+    assert more.table.agg(F.sum("is_anomaly")).first()[0] >= sum(v[1] for v in a.values())
+    assert res.metrics.count() == 1
+
+
+def test_nan_and_infinite_numbers_do_not_reach_the_model(spark):
+    rows = [(i, "INFO", 200, 10.0, [5.0, float("nan"), float("inf"), -1.0, -7.0, None][i] if i < 6 else 5.0 + i % 3)
+            for i in range(60)]
+    logs = spark.createDataFrame(rows, "line_no long, level string, http_status int, response_size double, response_time double") \
+        .withColumn("timestamp", F.lit("2024-01-01 10:00:00")).withColumn("message", F.lit("ok"))
+    res = detect(logs, n_trees=20)
+    got = res.table.collect()
+    assert all(r.score == r.score for r in got) and sum(r.is_anomaly for r in got) < 30
+    assert not [r for r in __import__("logsift.operators.evaluate", fromlist=["x"]).with_ground_truth(res.table).collect()
+                if r.line_no == 1 and "slow_response" in r.reasons]
