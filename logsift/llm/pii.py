@@ -148,7 +148,7 @@ def fit(table: DataFrame) -> tuple[str, dict[str, float]]:
     if counted.select("label").distinct().count() < 2:
         return "0.0D", {}
     model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH,
-                          stepSize=0.3, seed=7).fit(
+                          stepSize=0.3, minWeightFractionPerNode=0.01, seed=7).fit(
         VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(counted.orderBy(*FEATURES, "label")))
     sums = " + ".join(f"{float(w)!r}D * {_tree(t._call_java('rootNode'))}" for w, t in zip(model.treeWeights, model.trees))
     score = f"1.0D / (1.0D + exp(-2.0D * ({sums})))"

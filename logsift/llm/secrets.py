@@ -122,8 +122,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The columns of the query."""
     text = "array_join(transform({}, b -> concat_ws(':', b.kind, b.start, b.end)), ',')"
     order = ("array_sort(concat(base, added), (l, r) -> case when l.start <> r.start then l.start - r.start "
-             "else array_position(array('assign', 'access', 'hex', 'token'), l.kind) "
-             "- array_position(array('assign', 'access', 'hex', 'token'), r.kind) end)")
+             "else cast(array_position(array('assign', 'access', 'hex', 'token'), l.kind) "
+             "- array_position(array('assign', 'access', 'hex', 'token'), r.kind) as int) end)")
     return found.select(
         id_col, *[F.expr(f"cast(size(filter(base, b -> b.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS],
         F.expr(f"sha2({text.format('base')}, 256)").alias("base_sha256"),

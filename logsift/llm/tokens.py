@@ -3,8 +3,7 @@
 A huge text is encoded in chunks that overlap, with offsets.  Two neighbouring
 encodings are spliced at a common boundary inside their overlap: both have a
 token start there, the ``AGREE`` tokens on either side of it agree in id and
-place, and it lies at white space, where the vocabulary's pre-tokenizer always
-splits.  When no such boundary is found the overlap is doubled, up to the whole
+place, and it lies at a blank or a line end, where pre-tokenizers always split.  When no such boundary is found the overlap is doubled, up to the whole
 of both chunks, and then the chunk itself, so the count is that of the library
 for the whole text.
 
@@ -23,6 +22,7 @@ import functools
 import os
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -77,7 +77,9 @@ class PieceTokenizer:
 
     def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         found = self.lib.encode(text, return_type="proto").pieces
-        return [p.id for p in found], [(p.begin, p.end) for p in found]
+        # its offsets count bytes
+        chars = np.concatenate([[0], np.cumsum(np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80)]).tolist()
+        return [p.id for p in found], [(chars[p.begin], chars[p.end]) for p in found]
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.lib.encode(texts, num_threads=1)]
@@ -108,7 +110,7 @@ def splice(left, right, shift: int, text: str) -> tuple[int, int] | None:
         i = where.get(a)
         if i is None or i < AGREE or i + AGREE > len(ids) or places2[j - 1][1] > a or places[i - 1][1] > a + shift:
             continue
-        if not (text[a + shift].isspace() or text[a + shift - 1].isspace()):
+        if text[a + shift] not in " \n" and text[a + shift - 1] not in " \n":
             continue
         if ids[i - AGREE: i + AGREE] == ids2[j - AGREE: j + AGREE] and all(
                 (p[0] - shift, p[1] - shift) == q for p, q in zip(places[i - AGREE: i + AGREE], places2[j - AGREE: j + AGREE])):

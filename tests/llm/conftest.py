@@ -1,0 +1,11 @@
+import pytest
+
+
+@pytest.fixture
+def docs_of(spark):
+    """A documents table with columns whose names clash with those that operators use inside."""
+    def make(rows):
+        return spark.createDataFrame(
+            [(i, t, "x", 1.5, "y", None, 7) for i, t in rows],
+            "doc_id long, text string, id string, score double, band string, component string, n int")
+    return make
