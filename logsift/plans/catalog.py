@@ -41,19 +41,38 @@ def query(name: str):
 
 # --- file-backed fixtures -------------------------------------------------------------
 
+_paths: dict[tuple, str] = {}
+
+
+def written(spark, sf, name: str) -> str:
+    """The folder of a fixture's files, written on first use in a session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _paths:
+        if name == "mixed":
+            lines = (FX.fx1(spark, sf).select((F.col("event_id") * 3).alias("key"), "line")
+                     .unionByName(FX.fx2(spark, sf).select((F.col("page_id") * 3 + 1).alias("key"), "line"))
+                     .unionByName(FX.fx6(spark, sf).select((F.col("event_id") * 3 + 2).alias("key"), "line")))
+            _paths[key] = FX.write_lines(spark, lines, "key", name)
+        elif name == "fx5":
+            _paths[key] = FX.write_csv_lines(spark, FX.fx5(spark, sf), "event_id", name)
+        else:
+            _paths[key] = FX.write_lines(spark, getattr(FX, name)(spark, sf), "page_id" if name == "fx2" else "event_id", name)
+    return _paths[key]
+
+
 def fx1_logs(spark, sf) -> DataFrame:
-    return ingest(spark, FX.write_lines(spark, FX.fx1(spark, sf), "event_id", "fx1"))
+    return ingest(spark, written(spark, sf, "fx1"))
 
 
 def fx2_logs(spark, sf) -> DataFrame:
-    return ingest(spark, FX.write_lines(spark, FX.fx2(spark, sf), "page_id", "fx2"))
+    return ingest(spark, written(spark, sf, "fx2"))
 
 
 # --- sources and parsing ----------------------------------------------------------------
 
 @query("raw_line_split")
 def raw_line_split(spark, sf):
-    path = FX.write_lines(spark, FX.fx1(spark, sf), "event_id", "fx1")
+    path = written(spark, sf, "fx1")
     numbered, _ = number_rows(nonblank_lines(read_lines(spark, path)))
     return numbered.select("line_no", "line")
 
@@ -73,28 +92,25 @@ def apache_parse(spark, sf):
 
 @query("fallback_parse")
 def fallback_parse(spark, sf):
-    logs = ingest(spark, FX.write_lines(spark, FX.fx6(spark, sf), "event_id", "fx6"))
+    logs = ingest(spark, written(spark, sf, "fx6"))
     return logs.select("line_no", "level", "http_status", "response_time", "message")
 
 
 @query("mixed_raw_parse")
 def mixed_raw_parse(spark, sf):
-    mixed = (FX.fx1(spark, sf).select((F.col("event_id") * 3).alias("key"), "line")
-             .unionByName(FX.fx2(spark, sf).select((F.col("page_id") * 3 + 1).alias("key"), "line"))
-             .unionByName(FX.fx6(spark, sf).select((F.col("event_id") * 3 + 2).alias("key"), "line")))
-    return ingest(spark, FX.write_lines(spark, mixed, "key", "mixed"), format="raw")
+    return ingest(spark, written(spark, sf, "mixed"), format="raw")
 
 
 @query("ndjson_parse")
 def ndjson_parse(spark, sf):
-    logs = ingest(spark, FX.write_lines(spark, FX.fx4(spark, sf), "event_id", "fx4"))
+    logs = ingest(spark, written(spark, sf, "fx4"))
     return logs.select("line_no", "raw_line", "timestamp", "message", "level", "http_status",
                        "response_size", "response_time")
 
 
 @query("csv_parse")
 def csv_parse(spark, sf):
-    logs = ingest(spark, FX.write_csv_lines(spark, FX.fx5(spark, sf), "event_id", "fx5"))
+    logs = ingest(spark, written(spark, sf, "fx5"))
     return logs.select("line_no", "raw_line", "timestamp", "message", "level", "http_status",
                        "response_size", "response_time")
 
@@ -102,9 +118,9 @@ def csv_parse(spark, sf):
 @query("format_sniff")
 def format_sniff(spark, sf):
     dirs = {
-        "fx1": FX.write_lines(spark, FX.fx1(spark, sf), "event_id", "fx1"),
-        "fx4": FX.write_lines(spark, FX.fx4(spark, sf), "event_id", "fx4"),
-        "fx5": FX.write_csv_lines(spark, FX.fx5(spark, sf), "event_id", "fx5"),
+        "fx1": written(spark, sf, "fx1"),
+        "fx4": written(spark, sf, "fx4"),
+        "fx5": written(spark, sf, "fx5"),
     }
     frames = [sniff(spark, list_files(spark, d)).select(F.lit(name).alias("fixture"), "format").distinct()
               for name, d in dirs.items()]
@@ -113,7 +129,7 @@ def format_sniff(spark, sf):
 
 @query("line_numbers")
 def line_numbers(spark, sf):
-    logs = ingest(spark, FX.write_lines(spark, FX.fx4(spark, sf), "event_id", "fx4"), format="json")
+    logs = ingest(spark, written(spark, sf, "fx4"), format="json")
     return logs.select("line_no", "raw_line")
 
 
@@ -316,7 +332,7 @@ def volume_bursts(spark, sf):
 
 @query("failed_logins")
 def failed_logins(spark, sf):
-    return SIG.failed_logins(ingest(spark, FX.write_lines(spark, FX.fx8(spark, sf), "event_id", "fx8")))
+    return SIG.failed_logins(ingest(spark, written(spark, sf, "fx8")))
 
 
 @query("failure_tags")
@@ -347,5 +363,5 @@ def ocsvm_score(spark, sf):
 @query("detect_pipeline")
 def detect_pipeline(spark, sf):
     from .pipeline import run
-    path = FX.write_lines(spark, FX.fx1(spark, sf), "event_id", "fx1")
+    path = written(spark, sf, "fx1")
     return run(spark, path).table.select("line_no", "level", "message", "anomaly_score", "is_anomaly")

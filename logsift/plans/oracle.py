@@ -7,8 +7,7 @@ either from the same rule in SQL or from the fields the fixture was built from.
 
 from __future__ import annotations
 
-from ..functions import patterns as P
-from ..operators.signals import FAILURE_TAGS
+from ..functions.patterns import ENGLISH_STOP_WORDS
 
 # Token pattern of the text features, stated here on its own.
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
@@ -78,9 +77,23 @@ def q(s: str) -> str:
 
 # --- shared SQL expressions ------------------------------------------------------
 
+ERROR_WORDS = r"(?i)\b(error|exception|fail|fatal|critical|traceback|segfault|oom|kill|crash|timeout|refused|denied)\b"
+STATUS = r"\b([1-5][0-9][0-9])\b"
+MILLIS = "(?i)([0-9]+(?:[.][0-9]+)?)[ ]*ms"
+SECONDS = r"(?i)([0-9]+(?:[.][0-9]+)?)[ ]*s(?:ec)?\b"
+BLANK = "(blank line)"
+FAILURE_TAGS = {
+    "connection": r"(?i)\b(refused|connection|unreachable|timeout|timed out)\b",
+    "circuit_breaker": r"(?i)\b(circuit|breaker)\b",
+    "oom": r"(?i)\b(oom|out of memory|killed)\b",
+    "disk": r"(?i)\b(disk|filesystem|no space|read-only|i/o error)\b",
+}
+
+
 def level_weight(c: str) -> str:
-    arms = " ".join(f"WHEN {q(k)} THEN {float(v)}" for k, v in P.LEVEL_WEIGHTS.items())
-    return f"cast(CASE upper({c}) {arms} ELSE {float(P.UNKNOWN_LEVEL_WEIGHT)} END AS DOUBLE)"
+    return (f"cast(CASE WHEN upper({c}) IN ('DEBUG', 'TRACE') THEN 0 WHEN upper({c}) = 'NOTICE' THEN 2 "
+            f"WHEN upper({c}) IN ('WARNING', 'WARN') THEN 3 WHEN upper({c}) = 'ERROR' THEN 4 "
+            f"WHEN upper({c}) IN ('CRITICAL', 'FATAL', 'EMERG', 'ALERT') THEN 5 ELSE 1 END AS DOUBLE)")
 
 
 def http_sev(c: str) -> str:
@@ -89,7 +102,7 @@ def http_sev(c: str) -> str:
 
 
 def kw(c: str) -> str:
-    return f"coalesce(regexp_matches({c}, {q(P.ERROR_KEYWORD_RE)}), false)"
+    return f"coalesce(regexp_matches({c}, {q(ERROR_WORDS)}), false)"
 
 
 def ts_parse(c: str) -> str:
@@ -121,31 +134,29 @@ STRUCTURED = ["severity_score", "http_status_sev", "f_response_size", "f_respons
 
 
 def syslog_cte(src: str = "fx1", key: str = "event_id") -> str:
-    r = P.SYSLOG_RE
+    """The parts that the fixture's lines were put together from."""
     return f"""sys AS (SELECT row_number() OVER (ORDER BY {key}) AS line_no, line,
-  nullif(regexp_extract(line, {q(r)}, 1), '') AS timestamp,
-  upper(coalesce(nullif(regexp_extract(line, {q(r)}, 2), ''), 'INFO')) AS level,
-  nullif(regexp_extract(line, {q(r)}, 3), '') AS component,
-  coalesce(nullif(regexp_extract(line, {q(r)}, 4), ''), '') AS message
+  t AS timestamp, lvl AS level, event_type||'_service' AS component, {MSG} AS message
 FROM {src})"""
 
 
 def free_level(c: str) -> str:
-    arms = " ".join(f"WHEN upper({c}) LIKE '%{l}%' THEN '{l}'" for l in P.TEXT_LEVEL_ORDER)
+    arms = " ".join(f"WHEN upper({c}) LIKE '%{l}%' THEN '{l}'"
+                    for l in ("FATAL", "CRITICAL", "ERROR", "WARNING", "WARN", "INFO", "DEBUG", "TRACE"))
     return f"(CASE {arms} ELSE 'INFO' END)"
 
 
 def free_status(c: str) -> str:
-    return f"try_cast(nullif(regexp_extract({c}, {q(P.STATUS_IN_TEXT_RE)}, 1), '') AS INTEGER)"
+    return f"try_cast(nullif(regexp_extract({c}, {q(STATUS)}, 1), '') AS INTEGER)"
 
 
 def free_rt(c: str) -> str:
-    return (f"coalesce(try_cast(nullif(regexp_extract({c}, {q(P.MILLIS_IN_TEXT_RE)}, 1), '') AS DOUBLE), "
-            f"try_cast(nullif(regexp_extract({c}, {q(P.SECONDS_IN_TEXT_RE)}, 1), '') AS DOUBLE) * 1000)")
+    return (f"coalesce(try_cast(nullif(regexp_extract({c}, {q(MILLIS)}, 1), '') AS DOUBLE), "
+            f"try_cast(nullif(regexp_extract({c}, {q(SECONDS)}, 1), '') AS DOUBLE) * 1000)")
 
 
 def grams_ctes(src: str = "fx7") -> str:
-    stop = "[" + ", ".join(q(w) for w in P.ENGLISH_STOP_WORDS) + "]"
+    stop = "[" + ", ".join(q(w) for w in ENGLISH_STOP_WORDS) + "]"
     return f"""toks AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), {q(TOKEN_RE)}),
       lambda t: NOT list_contains({stop}, t)) AS u FROM {src}),
 grams AS (SELECT doc_id, list_concat(u, list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])) AS g
@@ -164,7 +175,7 @@ def json_first(c: str, keys: list[str], default: str) -> str:
 
 def json_level(c: str) -> str:
     arms = " ".join(f"WHEN json_exists({c}, {q('$.' + k)}) THEN coalesce(json_extract_string({c}, {q('$.' + k)}), 'None')"
-                    for k in P.JSON_ALIASES["level"])
+                    for k in ("level", "severity", "log_level"))
     return f"upper(CASE {arms} ELSE 'INFO' END)"
 
 
@@ -197,12 +208,12 @@ FROM fx2"""
     S["mixed_raw_parse"] = _mixed_sql()
 
     S["ndjson_parse"] = with_(EV, FX4) + f"""SELECT row_number() OVER (ORDER BY event_id) AS line_no, line AS raw_line,
-  {json_first('line', P.JSON_ALIASES['timestamp'], "''")} AS timestamp,
-  coalesce({json_first('line', P.JSON_ALIASES['message'], "''")}, '') AS message,
+  {json_first('line', ['timestamp', 'time', '@timestamp', 'date'], "''")} AS timestamp,
+  coalesce({json_first('line', ['message', 'msg', 'log', 'body'], "''")}, '') AS message,
   {json_level('line')} AS level,
-  try_cast({json_first('line', P.JSON_ALIASES['status'], 'NULL')} AS INTEGER) AS http_status,
-  try_cast({json_first('line', P.JSON_ALIASES['size'], 'NULL')} AS DOUBLE) AS response_size,
-  try_cast({json_first('line', P.JSON_ALIASES['time'], 'NULL')} AS DOUBLE) AS response_time
+  try_cast({json_first('line', ['status', 'status_code', 'http_status'], 'NULL')} AS INTEGER) AS http_status,
+  try_cast({json_first('line', ['size', 'bytes', 'response_size'], 'NULL')} AS DOUBLE) AS response_size,
+  try_cast({json_first('line', ['duration', 'response_time', 'elapsed', 'latency_ms'], 'NULL')} AS DOUBLE) AS response_time
 FROM fx4 WHERE line <> '' AND json_valid(line)"""
 
     S["csv_parse"] = with_(EV, FX5) + """SELECT row_number() OVER (ORDER BY event_id) AS line_no,
@@ -262,7 +273,7 @@ SELECT round(threshold, 9) AS threshold, round(max_score, 9) AS max_score,
 
     gt = f"""p95 AS (SELECT coalesce(quantile_cont(response_time, 0.95), 'Infinity'::DOUBLE) AS p FROM fx3),
 gt AS (SELECT fx3.*, concat_ws(',',
-   CASE WHEN upper(level) IN ({', '.join(q(l) for l in P.ERROR_LEVELS)}) THEN 'error_level' END,
+   CASE WHEN upper(level) IN ('ERROR', 'CRITICAL', 'FATAL', 'EMERG', 'ALERT') THEN 'error_level' END,
    CASE WHEN http_status >= 500 THEN 'server_error' END,
    CASE WHEN {kw('message')} THEN 'error_keyword' END,
    CASE WHEN response_time > p THEN 'slow_response' END) AS reasons FROM fx3, p95)"""
@@ -299,7 +310,7 @@ FROM (SELECT *, {minute_text('timestamp')} AS minute FROM fx3
       WHERE {ts_parse('timestamp')} IS NOT NULL AND is_anomaly = 1) a LEFT JOIN vol USING (minute)"""
 
     S["score_histogram"] = F3 + f""", b AS (SELECT is_anomaly,
-  CASE WHEN is_anomaly = 1 THEN {P.HIST_BINS_ANOMALY} ELSE {P.HIST_BINS_NORMAL} END AS n_bins, anomaly_score FROM fx3)
+  CASE WHEN is_anomaly = 1 THEN 20 ELSE 40 END AS n_bins, anomaly_score FROM fx3)
 SELECT is_anomaly, cast(least(greatest(floor(anomaly_score * n_bins) + 1, 1), n_bins) as integer) AS bin,
   round((least(greatest(floor(anomaly_score * n_bins) + 1, 1), n_bins) - 1) / n_bins, 6) AS lo,
   round(least(greatest(floor(anomaly_score * n_bins) + 1, 1), n_bins) / n_bins, 6) AS hi,
@@ -309,7 +320,7 @@ SELECT is_anomaly, cast(least(greatest(floor(anomaly_score * n_bins) + 1, 1), n_
   round(count(*) / (SELECT count(*) FROM fx1), 6) AS share FROM fx1 GROUP BY lvl"""
 
     prof = []
-    for c in P.PROFILE_FEATURES:
+    for c in ("severity_score", "http_status_sev", "f_response_size", "f_response_time", "hour_of_day", "error_keyword"):
         prof.append(f"""SELECT '{c}' AS feature,
   round(coalesce(avg(CASE WHEN is_anomaly = 1 THEN CASE WHEN hi = lo THEN 0.0 ELSE ({c} - lo) / (hi - lo) END END), 0.0), 6)
     AS anomaly_mean,
@@ -319,7 +330,7 @@ FROM feat, (SELECT min({c}) AS lo, max({c}) AS hi FROM feat) b""")
     S["feature_profile"] = F3F + " UNION ALL ".join(prof)
 
     S["severity_pivot"] = F3 + f"""SELECT strftime({ts_parse('timestamp')}, '%H:%M') AS minute_str, """ + ", ".join(
-        f"count(*) FILTER (WHERE upper(level) = '{l}') AS {l}" for l in P.PIVOT_LEVELS) + \
+        f"count(*) FILTER (WHERE upper(level) = '{l}') AS {l}" for l in ("DEBUG", "INFO", "NOTICE", "WARNING", "WARN", "ERROR", "CRITICAL", "FATAL")) + \
         f" FROM fx3 WHERE {ts_parse('timestamp')} IS NOT NULL GROUP BY 1"
 
     band = "CASE WHEN anomaly_score >= 0.75 THEN 'high' WHEN anomaly_score >= 0.5 THEN 'medium' ELSE 'low' END"
@@ -329,23 +340,23 @@ FROM feat, (SELECT min({c}) AS lo, max({c}) AS hi FROM feat) b""")
     S["all_lines_table"] = F3 + f"SELECT {disp} FROM fx3"
 
     S["top_anomalies"] = F3 + f""", top AS (SELECT * FROM fx3 WHERE is_anomaly = 1
-  ORDER BY anomaly_score DESC, line_no LIMIT {P.TOP_ANOMALIES})
-SELECT line_no, 'L'||line_no||' · '||level||' · '||substring(coalesce(message, ''), 1, {P.LABEL_MSG_CHARS}) AS label,
+  ORDER BY anomaly_score DESC, line_no LIMIT 12)
+SELECT line_no, 'L'||line_no||' · '||level||' · '||substring(coalesce(message, ''), 1, 40) AS label,
   anomaly_score, round(0.4 + 0.6 * (anomaly_score - lo) / greatest(hi - lo, 1e-6), 6) AS emphasis
 FROM top, (SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi FROM top) b"""
 
     S["explain_cards"] = F3 + f""", top AS (SELECT * FROM fx3 WHERE is_anomaly = 1
-  ORDER BY anomaly_score DESC, line_no LIMIT {P.EXPLAIN_DEFAULT})
+  ORDER BY anomaly_score DESC, line_no LIMIT 5)
 SELECT line_no,
   'Line '||repeat(' ', greatest(4 - length(cast(line_no as varchar)), 0))||line_no||'  |  ['||level||']  |  Score '||printf('%.4f', anomaly_score)
-    ||'  |  '||substring(coalesce(message, ''), 1, {P.CARD_MSG_CHARS})
-    ||CASE WHEN length(coalesce(message, '')) > {P.CARD_MSG_CHARS} THEN '…' ELSE '' END AS header,
+    ||'  |  '||substring(coalesce(message, ''), 1, 70)
+    ||CASE WHEN length(coalesce(message, '')) > 70 THEN '…' ELSE '' END AS header,
   coalesce(timestamp, 'None')||' · Line '||line_no||' · '||level AS context,
   coalesce(message, '') AS text FROM top"""
 
     S["enrich_distinct"] = F3 + f""", a AS (SELECT line_no, trim(coalesce(message, '')) AS x
   FROM fx3 WHERE is_anomaly = 1)
-SELECT line_no, CASE WHEN x = '' THEN {q(P.BLANK_EXPLANATION)}
+SELECT line_no, CASE WHEN x = '' THEN {q(BLANK)}
   ELSE upper(substring(x, 1, 30))||' ('||length(x)||' chars)' END AS explanation FROM a"""
 
     S["csv_sink_roundtrip"] = F3 + """SELECT line_no, timestamp, message, level, http_status, response_size, response_time,
@@ -403,8 +414,8 @@ SELECT ip, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start,
     S["normal_table"] = F3 + f"SELECT {disp} FROM fx3 WHERE is_anomaly = 0"
     S["explain_top"] = F3 + f""", top AS (SELECT * FROM fx3 WHERE is_anomaly = 1 ORDER BY anomaly_score DESC, line_no LIMIT 50),
 a AS (SELECT *, trim(coalesce(message, '')) AS x FROM top)
-SELECT line_no, anomaly_score, substring(coalesce(message, ''), 1, {P.PREVIEW_CHARS}) AS preview,
-  CASE WHEN x = '' THEN {q(P.BLANK_EXPLANATION)} ELSE upper(substring(x, 1, 30))||' ('||length(x)||' chars)' END
+SELECT line_no, anomaly_score, substring(coalesce(message, ''), 1, 80) AS preview,
+  CASE WHEN x = '' THEN {q(BLANK)} ELSE upper(substring(x, 1, 30))||' ('||length(x)||' chars)' END
     AS explanation FROM a"""
 
     tags = ", ".join(f"CASE WHEN regexp_matches(message, {q(p)}) THEN '{n}' END" for n, p in FAILURE_TAGS.items())
@@ -415,23 +426,21 @@ SELECT line_no, anomaly_score, substring(coalesce(message, ''), 1, {P.PREVIEW_CH
 
 def _mixed_sql() -> str:
     """FX1, FX2 and FX6 interleaved in the same files (key = id * 3 + source)."""
-    r = P.SYSLOG_RE
     return with_(EV, FX1, FX2, FX6) + f""", m AS (
   SELECT event_id * 3 AS key, line, 'sys' AS src, NULL::BIGINT AS page_id, NULL::VARCHAR AS url,
-    NULL::INTEGER AS st, NULL::VARCHAR AS html FROM fx1
-  UNION ALL SELECT page_id * 3 + 1, line, 'ap', page_id, url, st, html FROM fx2
-  UNION ALL SELECT event_id * 3 + 2, line, 'free', NULL, NULL, NULL, NULL FROM fx6)
+    NULL::INTEGER AS st, NULL::VARCHAR AS html, t, lvl, event_type, {MSG} AS msg FROM fx1
+  UNION ALL SELECT page_id * 3 + 1, line, 'ap', page_id, url, st, html, NULL, NULL, NULL, NULL FROM fx2
+  UNION ALL SELECT event_id * 3 + 2, line, 'free', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM fx6)
 SELECT row_number() OVER (ORDER BY key) AS line_no, line AS raw_line,
-  CASE src WHEN 'sys' THEN nullif(regexp_extract(line, {q(r)}, 1), '')
+  CASE src WHEN 'sys' THEN t
            WHEN 'ap' THEN '10/Oct/2000:13:'||lpad(cast(page_id%60 as varchar),2,'0')||':36 -0700' END AS timestamp,
-  CASE src WHEN 'sys' THEN coalesce(nullif(regexp_extract(line, {q(r)}, 4), ''), '')
-           WHEN 'ap' THEN 'GET '||url ELSE line END AS message,
-  CASE src WHEN 'sys' THEN upper(coalesce(nullif(regexp_extract(line, {q(r)}, 2), ''), 'INFO'))
+  CASE src WHEN 'sys' THEN msg WHEN 'ap' THEN 'GET '||url ELSE line END AS message,
+  CASE src WHEN 'sys' THEN lvl
            WHEN 'ap' THEN CASE WHEN st >= 500 THEN 'ERROR' WHEN st >= 400 THEN 'WARNING' ELSE 'INFO' END
            ELSE {free_level('line')} END AS level,
   CASE src WHEN 'ap' THEN st WHEN 'free' THEN {free_status('line')} END AS http_status,
   CASE WHEN src = 'ap' AND page_id%9 <> 0 THEN cast(length(html) as double) END AS response_size,
   CASE src WHEN 'free' THEN {free_rt('line')} END AS response_time,
   CASE src WHEN 'ap' THEN '10.0.0.'||(page_id%256) END AS client_ip,
-  CASE src WHEN 'sys' THEN nullif(regexp_extract(line, {q(r)}, 3), '') END AS component
+  CASE src WHEN 'sys' THEN event_type||'_service' END AS component
 FROM m"""
