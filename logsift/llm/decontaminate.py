@@ -12,9 +12,10 @@
    kept) is the basis of the latent space.
 4. Passages whose cosine with an item in that space reaches ``COSINE`` are
    candidates.  Around each, the longest common subsequence of the item's words
-   and the document's must reach ``COVERAGE`` of the item, and the item's
-   answer, its rarest words, must be there by ``ANSWER``; this finds
-   paraphrases with words changed, added or left out.
+   and the document's must reach ``COVERAGE`` of the item, and of what the item
+   answers, its different words weighted by their IDF, the share ``ANSWER``
+   must be there.  This finds paraphrases with words changed, added or left
+   out, and passes by texts that share only frequent words with an item.
 
 The benchmark is the query side: its vocabulary is checked against
 ``MAX_WORDS`` before it is sent to the executors, and items are handled in
@@ -217,10 +218,11 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - s.bit_count()
 
 
-def answer(item: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The rarest third of an item's different words, at least one."""
+def answer(item: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An item's different words and their shares of its IDF."""
     words = np.unique(item)
-    return words[np.lexsort((words, -idf[words]))][: max(1, len(words) // 3)]
+    weight = idf[words] + 1e-9
+    return words, weight / weight.sum()
 
 
 def _search(model):
@@ -251,7 +253,8 @@ def _search(model):
                             continue
                         seen.add((d, j, int(lo), int(hi)))
                         near = terms[d][lo:hi]
-                        if not np.isin(m["answers"][ids[j]], near).mean() >= ANSWER:
+                        words, share = m["answers"][ids[j]]
+                        if share[np.isin(words, near)].sum() < ANSWER:
                             continue
                         common = lcs(item, near)
                         if common >= COVERAGE * len(item):

@@ -55,7 +55,7 @@ def test_neighbours_in_many_blocks_with_copies(spark, monkeypatch):
     got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), brute_nearest(
         [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows])
     same(got, want)
-    assert got == pytest.approx(want) or all(got[k][0] == want[k][0] for k in want)
+    assert all(got[k][0] == want[k][0] for k in want)
 
 
 def test_neighbours_odd_rows(spark):
@@ -181,7 +181,7 @@ def test_decontamination_of_the_table(spark):
     leaks = {r.doc_id: {i for i, t in items.items() if t in r.text} for r in docs.collect()}
     for r in D.contamination(docs, bench).collect():
         assert r.contaminated == bool(leaks[r.doc_id])
-        assert not r.contaminated or (r.item_id in leaks[r.doc_id] and r.common_words == r.item_words)
+        assert not r.contaminated or (r.item_id in leaks[r.doc_id] and r.common_words >= r.item_words - 2)
 
 
 def test_paraphrases_and_odd_rows(spark, docs_of, monkeypatch):
