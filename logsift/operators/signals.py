@@ -64,10 +64,11 @@ def severity_bursts(logs: DataFrame, window_s: int = 60, min_count: int = 3, min
             .select("line_no", "component", "ts", F.col("burst_count").cast("long").alias("burst_count")))
 
 
-def rare_vocabulary(docs: DataFrame, key_col: str, text_col: str, k: int = 20, stop_words=None) -> DataFrame:
+def rare_vocabulary(docs: DataFrame, key_col: str, text_col: str, k: int = 20, stop_words=None,
+                    parts: int | None = None) -> DataFrame:
     """Rows whose distinct terms have the highest mean IDF (top ``k``)."""
     n = docs.count()
-    terms = materialize(spread(docs.select(key_col, text_col)).select(
+    terms = materialize(spread(docs.select(key_col, text_col), parts).select(
         key_col, F.explode(F.array_distinct(grams(F.col(text_col), stop_words))).alias("term")), "terms")
     idf = (F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf")
     stats = materialize(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", idf), "term-idf")

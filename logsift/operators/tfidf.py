@@ -36,12 +36,9 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin CPU-heavy text rows over the cluster when the input has fewer
-    partitions than cores (small files); at scale the input is already split
-    finer than the cluster and this is a no-op."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def spread(df: DataFrame, parts: int | None) -> DataFrame:
+    """Deal CPU-heavy text rows over ``parts`` partitions, for inputs with fewer splits than cores; None: as they are."""
+    return df if parts is None else df.repartition(parts)
 
 
 def tokens(text: Column) -> Column:
@@ -66,14 +63,14 @@ def _with_bigrams(uni: Column) -> Column:
     return F.concat(uni, bi)
 
 
-def term_stats(df: DataFrame, text_col: str, stop_words=None) -> DataFrame:
+def term_stats(df: DataFrame, text_col: str, stop_words=None, parts: int | None = None) -> DataFrame:
     """(term, tf = total count, df = rows containing it) over all rows."""
     def entries(g):
         return F.concat(
             F.transform(g, lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
             F.transform(F.array_distinct(g), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"),
                                                                F.lit(1).alias("d"))))
-    return (spread(df.select(text_col)).select(F.explode(let(grams(F.col(text_col), stop_words), entries)).alias("e"))
+    return (spread(df.select(text_col), parts).select(F.explode(let(grams(F.col(text_col), stop_words), entries)).alias("e"))
             .groupBy(F.col("e.term").alias("term"))
             .agg(F.sum("e.c").cast("long").alias("tf"), F.sum("e.d").cast("long").alias("df")))
 
@@ -89,19 +86,20 @@ class Vocabulary:
         return len(self.terms)
 
 
-def vocabulary_frame(df: DataFrame, text_col: str, max_features: int = 50, stop_words=None) -> DataFrame:
+def vocabulary_frame(df: DataFrame, text_col: str, max_features: int = 50, stop_words=None,
+                     parts: int | None = None) -> DataFrame:
     """T5 + idf: the top ``max_features`` terms by total count, ties alphabetical."""
-    n_docs = df.select(F.count(F.lit(1)).alias("n_docs"))
-    stats = term_stats(df, text_col, stop_words)
-    top = stats.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
-    return top.crossJoin(F.broadcast(n_docs)).select(
+    n_docs = F.lit(df.count())
+    top = term_stats(df, text_col, stop_words, parts).orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
+    return top.withColumn("n_docs", n_docs).select(
         "term", "tf", "df", "n_docs",
         (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
 
 
-def fit_vocabulary(df: DataFrame, text_col: str, max_features: int = 50, stop_words=None) -> Vocabulary:
+def fit_vocabulary(df: DataFrame, text_col: str, max_features: int = 50, stop_words=None,
+                   parts: int | None = None) -> Vocabulary:
     """Collect the vocabulary (at most ``max_features`` rows) to the driver."""
-    rows = sorted(vocabulary_frame(df, text_col, max_features, stop_words).collect(), key=lambda r: r["term"])
+    rows = sorted(vocabulary_frame(df, text_col, max_features, stop_words, parts).collect(), key=lambda r: r["term"])
     n_docs = int(rows[0]["n_docs"]) if rows else 0
     return Vocabulary(tuple(r["term"] for r in rows), tuple(float(r["idf"]) for r in rows), n_docs)
 
@@ -139,10 +137,11 @@ def with_tfidf(df: DataFrame, text_col: str, vocab: Vocabulary, out: str = "tfid
     return df.withColumn(out, tfidf_vector(F.col(text_col), vocab, stop_words))
 
 
-def tfidf_long(df: DataFrame, key_col: str, text_col: str, vocab: Vocabulary, stop_words=None) -> DataFrame:
+def tfidf_long(df: DataFrame, key_col: str, text_col: str, vocab: Vocabulary, stop_words=None,
+               parts: int | None = None) -> DataFrame:
     """J2/J6 in long form: (key, term, weight) for every non-zero weight."""
     terms = F.array(*[F.lit(t) for t in vocab.terms]) if vocab.size else F.array().cast("array<string>")
-    v = with_tfidf(spread(df.select(key_col, text_col)), text_col, vocab, "v", stop_words)
+    v = with_tfidf(spread(df.select(key_col, text_col), parts), text_col, vocab, "v", stop_words)
     # Generate barrier: the vector is computed once, not again in inferred filters
     v = v.select(F.inline(F.array(F.struct(F.col(key_col).alias(key_col), F.col("v").alias("v")))))
     return (v.select(key_col, F.posexplode("v").alias("pos", "weight"))

@@ -60,6 +60,11 @@ def written(spark, sf, name: str) -> str:
     return _paths[key]
 
 
+def _cores(spark) -> int:
+    """The test tables are single files: their texts are dealt over the cores."""
+    return spark.sparkContext.defaultParallelism
+
+
 def fx1_logs(spark, sf) -> DataFrame:
     return ingest(spark, written(spark, sf, "fx1"))
 
@@ -148,15 +153,15 @@ def feature_view_q(spark, sf):
 
 @query("tfidf_vocab")
 def tfidf_vocab(spark, sf):
-    v = TF.vocabulary_frame(FX.fx7(spark, sf), "text", 50)
+    v = TF.vocabulary_frame(FX.fx7(spark, sf), "text", 50, parts=_cores(spark))
     return v.select("term", "tf", "df", F.round("idf", 9).alias("idf"))
 
 
 @query("tfidf_weights")
 def tfidf_weights(spark, sf):
     docs = FX.fx7(spark, sf)
-    vocab = TF.fit_vocabulary(docs, "text", 50)
-    return TF.tfidf_long(docs, "doc_id", "text", vocab).select("doc_id", "term", F.round("weight", 9).alias("weight"))
+    vocab = TF.fit_vocabulary(docs, "text", 50, parts=_cores(spark))
+    return TF.tfidf_long(docs, "doc_id", "text", vocab, parts=_cores(spark)).select("doc_id", "term", F.round("weight", 9).alias("weight"))
 
 
 @query("robust_scale")
@@ -307,7 +312,7 @@ def severity_bursts(spark, sf):
 
 @query("rare_vocabulary")
 def rare_vocabulary(spark, sf):
-    return SIG.rare_vocabulary(FX.fx7(spark, sf), "doc_id", "text", 20)
+    return SIG.rare_vocabulary(FX.fx7(spark, sf), "doc_id", "text", 20, parts=_cores(spark))
 
 
 @query("client_error_rate")
