@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from llm_cases import LONG, ODD, SF
+from llm_cases import LONG, ODD, SF, docs_of  # noqa: F401
 from logsift.llm import near_dedup as N
 from logsift.llm.common import read_table
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from llm_cases import LONG, ODD, SF
+from llm_cases import LONG, ODD, SF, docs_of  # noqa: F401
 from logsift.llm import decontaminate as D
 from logsift.llm import neighbours as NB
 from logsift.llm import quality as Q
@@ -225,8 +225,12 @@ def test_latent_space_keeps_the_items():
     items = [rng.integers(0, 300, 20) for _ in range(10)]
     own, at, term, w = D.item_rows(items, idf)
     k = len(items) + D.SPARE
-    z = np.zeros((300, k), np.float32)
-    D._back(at, term, w, D._dot(at, term, w, len(own), D._random(300, k)), z)
+    z = D._gram(at, term, w, 300, k)
+    dense, column, sign = np.zeros((len(own), 300)), *D._random(300, k)
+    dense[at, term] = w
+    r = np.zeros((300, k))
+    r[np.arange(300), column] = sign
+    assert np.allclose(z, dense.T @ (dense @ r), atol=1e-5)
     basis = np.linalg.qr(z * 100 + rng.normal(size=z.shape))[0].astype(np.float32)
     latent = D._dot(at, term, w, len(own), basis)
     assert np.allclose((latent ** 2).sum(axis=1), 1, atol=0.05)

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from llm_cases import LONG, ODD, SF
+from llm_cases import LONG, ODD, SF, docs_of  # noqa: F401
 from logsift.llm import licenses as L
 from logsift.llm import pieces as P
 from logsift.llm import pii, secrets, tokens
