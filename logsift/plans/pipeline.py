@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.detect import Detector, DetectorModel
 from ..operators.evaluate import evaluate
-from ..session import materialize
 from ..sources.ingest import ingest
 
 
@@ -44,5 +43,4 @@ def detect(logs: DataFrame, fpr_target: float = 0.05, contamination: float = 0.0
 def run(spark: SparkSession, paths, fpr_target: float = 0.05, contamination: float = 0.05,
         format: str = "auto", **params) -> Result:
     """Read log files of any supported shape and run the whole pipeline."""
-    logs = materialize(ingest(spark, paths, format), "logs")
-    return detect(logs, fpr_target, contamination, **params)
+    return detect(ingest(spark, paths, format), fpr_target, contamination, **params)     # ingest has written the lines
