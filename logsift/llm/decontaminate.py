@@ -6,12 +6,15 @@
 2. Passages are windows of ``2 * STEP`` words, ``STEP`` apart.  Their document
    frequencies, summed over all passages of all documents, give the IDF; words
    in over ``MAX_DF`` of the passages carry no weight.
+   A passage's other words count to its length with the middle IDF.
 3. Randomised SVD of the TF-IDF passages A: each partition adds up A'(A R) for a
-   random R, partial sums meet in a tree of groups, and a QR of the total (with
-   the benchmark's own passages added at a large weight, so that their span is
-   kept) is the basis of the latent space.
+   random sparse R (one signed entry per word, so the cost is that of the
+   passages' own entries), partial sums meet in a tree of groups, and a QR of
+   the total (with the benchmark's own passages added at a large weight, so that
+   their span is kept) is the basis of the latent space.
 4. Passages whose cosine with an item in that space reaches ``COSINE`` are
-   candidates.  Around each, the longest common subsequence of the item's words
+   candidates.  (Passages whose benchmark words make up less than that share of
+   their length can't reach it and are left out before.)  Around each, the longest common subsequence of the item's words
    and the document's must reach ``COVERAGE`` of the item, and of what the item
    answers, its different words weighted by their IDF, the share ``ANSWER``
    must be there.  This finds paraphrases with words changed, added or left
@@ -37,8 +40,8 @@ from pyspark.sql import functions as F
 from ..session import materialize, ship_package
 from .common import text_chunks, word_hashes
 
-STEP, MAX_DF, COSINE, COVERAGE, ANSWER = 16, 0.05, 0.4, 0.6, 0.5
-BLOCK, SPARE, LEAST_TERMS, MAX_WORDS, SEED = 200, 56, 2, 4_000_000, 11
+STEP, MAX_DF, COSINE, COVERAGE, ANSWER = 16, 0.05, 0.3, 0.6, 0.5
+BLOCK, SPARE, MAX_WORDS, SEED = 200, 56, 4_000_000, 11
 _SEND = 256
 
 
@@ -113,7 +116,16 @@ def _counts(n, row, place, term, size: int):
     return key // size, key % size, count, base
 
 
-def _slices(batches, rows: int = 512):
+def _others(n, base, passage, count, idf) -> tuple[np.ndarray, np.ndarray]:
+    """Of the passages that have hits: their numbers and the squared length of their other words."""
+    own, at = np.unique(passage, return_inverse=True)
+    d = np.searchsorted(base, own, side="right") - 1
+    words = np.minimum(2 * STEP, n[d] - (own - base[d]) * STEP)
+    middle = np.median(idf[idf > 0]) if (idf > 0).any() else 0.0
+    return own, np.maximum(words - np.bincount(at, weights=count, minlength=len(own)), 0) * middle ** 2
+
+
+def _slices(batches, rows: int = 2048):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -133,13 +145,25 @@ def _frequencies(size: int):
     return run
 
 
-def _weighted(passage, term, count, idf):
-    """TF-IDF rows of length one: passages renumbered from 0, weights; and the passages' own numbers."""
+def _weighted(passage, term, count, idf, others=None):
+    """TF-IDF rows of length one: passages renumbered from 0, terms, weights; and the passages' own numbers.
+
+    ``others``: passages and the squared length of their words outside the vocabulary, which count to the length.
+    """
     keep = idf[term] > 0
     passage, term, w = passage[keep], term[keep], (1 + np.log(count[keep])) * idf[term[keep]]
     own, at = np.unique(passage, return_inverse=True)
-    norm = np.sqrt(np.bincount(at, weights=w * w, minlength=len(own)))
-    return own, at, term, (w / norm[at]).astype(np.float32)
+    square = np.bincount(at, weights=w * w, minlength=len(own))
+    if others is not None:
+        square = square + others[1][np.searchsorted(others[0], own)]
+    return own, at, term, (w / np.sqrt(square)[at]).astype(np.float32)
+
+
+def _rows_of(batch, idf):
+    """The passages of a batch of documents as ``_weighted`` rows, with the batch's arrays."""
+    n, row, place, term, places, terms = _batch(batch)
+    passage, term, count, base = _counts(n, row, place, term, len(idf))
+    return _weighted(passage, term, count, idf, _others(n, base, passage, count, idf)), base, places, terms
 
 
 def _dot(at, term, w, rows: int, m: np.ndarray) -> np.ndarray:
@@ -152,20 +176,29 @@ def _dot(at, term, w, rows: int, m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _back(at, term, w, y: np.ndarray, out: np.ndarray) -> None:
-    """Adds the transposed sparse rows times y to out."""
-    order = np.argsort(term, kind="stable")
-    terms, first = np.unique(term[order], return_index=True)
-    ends = np.append(first[1:], len(order))
-    step = max(1, len(terms) // max(1, len(order) // 65536))
-    for a in range(0, len(terms), step):
-        b = min(a + step, len(terms))
-        part = order[first[a]: ends[b - 1]]
-        out[terms[a:b]] += np.add.reduceat(y[at[part]] * w[part, None], first[a:b] - first[a])
+def _random(size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sparse random matrix: each word's column and sign."""
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, k, size), rng.choice(np.array([-1.0, 1.0]), size)
 
 
-def _random(size: int, k: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((size, k)).astype(np.float32)
+def _gram(at, term, w, size: int, k: int) -> np.ndarray:
+    """A'(A R) of sparse rows (``at`` sorted): the pairs of entries of each row."""
+    column, sign = _random(size, k)
+    n = np.bincount(at)
+    first = np.cumsum(n) - n
+    total = np.zeros(size * k)
+    step = 1 << 19
+    cost = np.cumsum(n[at])                     # pairs up to each entry
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(cost, (cost[a - 1] if a else 0) + step)))
+        times = n[at[a:b]]
+        left = np.repeat(np.arange(a, b), times)
+        right = np.repeat(first[at[a:b]], times) + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+        total += np.bincount(term[left] * k + column[term[right]], weights=w[left] * w[right] * sign[term[right]], minlength=size * k)
+        a = b
+    return total.reshape(size, k)
 
 
 def _sketch(idf, k: int):
@@ -173,13 +206,13 @@ def _sketch(idf, k: int):
     size = len(idf.value)
 
     def run(batches):
-        r, total, task = _random(size, k), np.zeros((size, k), np.float32), 0
+        total, task = np.zeros((size, k)), 0
         for batch in _slices(batches):
-            n, row, place, term, *_ = _batch(batch)
-            own, at, term, w = _weighted(*_counts(n, row, place, term, size)[:3], idf.value)
+            (own, at, term, w), *_ = _rows_of(batch, idf.value)
             if len(own):
-                _back(at, term, w, _dot(at, term, w, len(own), r), total)
+                total += _gram(at, term, w, size, k)
                 task = int(own[-1]) + 31 * task + len(own)
+        total = total.astype(np.float32)
         parts = range(0, size, _SEND)
         yield pa.RecordBatch.from_arrays(
             [pa.array([a // _SEND for a in parts], pa.int32()), pa.array([task % 256] * len(parts), pa.int32()),
@@ -229,19 +262,16 @@ def _search(model):
     """Documents to their best verified match."""
     def run(batches):
         m = model.value
-        size = len(m["idf"])
         for batch in _slices(batches):
-            n, row, place, term, places, terms = _batch(batch)
-            passage, t, count, base = _counts(n, row, place, term, size)
-            own, at, t, w = _weighted(passage, t, count, m["idf"])
+            (own, at, t, w), base, places, terms = _rows_of(batch, m["idf"])
             best: dict[int, tuple] = {}
-            if len(own):
-                enough = np.bincount(at) >= LEAST_TERMS
+            # a row's product with a unit vector is at most the length of its own entries
+            keep = (np.bincount(at, weights=w * w, minlength=len(own)) >= COSINE ** 2 * 0.999)[at]
+            rows, at = np.unique(at[keep], return_inverse=True)
+            t, w = t[keep], w[keep]
+            if len(rows):
                 for ids, items, basis, latent in m["blocks"]:
-                    rows = np.flatnonzero(enough)
-                    x = _dot(at, t, w, len(own), basis)[rows]
-                    norm = np.sqrt((x * x).sum(axis=1))
-                    cosine = (x @ latent.T) / np.maximum(norm, 1e-6)[:, None]
+                    cosine = _dot(at, t, w, len(rows), basis) @ latent.T
                     seen = set()
                     for i, j in zip(*np.nonzero(cosine >= COSINE)):
                         p = int(own[rows[i]])
@@ -302,8 +332,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         own, place, term, w = item_rows(items, idf)
         if not len(own):
             continue
-        mine = np.zeros((size, k), np.float32)
-        _back(place, term, w, _dot(place, term, w, len(own), _random(size, k)), mine)
+        mine = _gram(place, term, w, size, k)
         weight = 100 * max(np.linalg.norm(z), 1.0) / max(np.linalg.norm(mine), 1e-9)
         basis = np.linalg.qr(z + weight * mine)[0].astype(np.float32)
         latent = _dot(place, term, w, len(own), basis)
