@@ -62,6 +62,19 @@ QUERIES = {f.__name__: f for f in (
     op8_decontaminate, op9_warc, op10_pii)}
 
 ORACLE_SQL = {
+    "op1_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n, md5(array_to_string(list_sort(list(g)), '|')) AS h FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN sym l ON r.other = l.a),
+comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id),
+class AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS class_id FROM n)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, doc_id) AS class_id, component_id, doc_id = component_id AS kept
+FROM documents JOIN comp USING (doc_id) LEFT JOIN class USING (doc_id)""",
     "op6_neighbours": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, e.vec_id,
     sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(generate_series(1, len(e.v)),
