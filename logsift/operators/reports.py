@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
-from .features import STRUCTURED, with_structured_features
+from .features import with_structured_features
 from .stats import minmax_norm
 
 

@@ -22,7 +22,7 @@ from ..operators import tfidf as TF
 from ..operators.features import STRUCTURED, feature_view, with_structured_features
 from ..operators.stats import min_max, minmax_norm, quantiles
 from ..sources.ingest import ingest, list_files
-from ..sources.sinks import RESULT_COLUMNS, write_csv
+from ..sources.sinks import write_csv
 from ..sources.sniff import sniff
 from ..sources.text import nonblank_lines, number_rows, read_lines
 from ..session import scratch_path

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .parsers import (UNIFIED, bad_csv_lines, bad_json_lines, csv_header, parse_csv_frame, parse_json_lines, parse_raw,
                       parse_unnamed_csv, read_csv_files, resolves)
