@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-MODEL, BLANK, UNKNOWN, MEMORY = "piece_bpe_32k.model", "▁", 10.0, 500_000
+MODEL, BLANK, UNKNOWN, MEMORY = "piece_bpe_32k.model", "▁", 10.0, 250_000
 
 
 class Pieces:

@@ -19,7 +19,6 @@ score is 0.5; repeated rows score alike; further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +81,7 @@ def _vectors(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at),
                  pa.array([c.tobytes() for c, _ in rows], pa.binary()),
-                 pa.array([v.tobytes() for _, v in rows], pa.binary())], names=["o", "label", "c", "v"])
+                 pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())], names=["o", "label", "c", "v"])
 
 
 def ftrl(rows, epochs: int = EPOCHS):
@@ -94,7 +93,7 @@ def ftrl(rows, epochs: int = EPOCHS):
 
     for _ in range(epochs):
         for c, v, y in rows:
-            i, x = np.append(c, 1 << BITS), np.append(v, 1.0)
+            i, x = np.append(c, 1 << BITS), np.append(v.astype(np.float64), 1.0)
             w = weight(i)
             g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
@@ -104,10 +103,10 @@ def ftrl(rows, epochs: int = EPOCHS):
 
 
 def _train(batches):
-    rows = []
+    rows = []       # views of the Arrow buffers, no copies
     for batch in batches:
-        for o, y, c, v in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            rows.append((o, y, np.frombuffer(c, np.int32), np.frombuffer(v, np.float64)))
+        for o, y, c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            rows.append((o, y, np.frombuffer(c.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)))
     rows.sort(key=lambda r: r[0])
     w = ftrl([(c, v, y) for _, y, c, v in rows]) if rows else np.zeros(1)
     at = np.flatnonzero(w)
@@ -123,11 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
               .orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
               .select(id_col, "label"))
     wanted = materialize(wanted, "labelled")
+    # at most max_rows short rows are sent out, so the texts of other documents never move
     rows = (docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-            .join(wanted.hint("shuffle_hash"), id_col).dropDuplicates([id_col])
+            .join(F.broadcast(wanted), id_col).dropDuplicates([id_col])
             .select(F.xxhash64(id_col).alias("o"), "label", "text")
             .mapInArrow(_vectors, "o long, label double, c binary, v binary"))
-    trained = rows.coalesce(1).mapInArrow(_train, "i int, w double").collect()
+    trained = materialize(rows, "vectors").coalesce(1).mapInArrow(_train, "i int, w double").collect()
     w = np.zeros((1 << BITS) + 1)
     for r in trained:
         w[r["i"]] = r["w"]
