@@ -121,10 +121,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
               .agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     revisit = sizes.join(origin, "digest").where("id <> refers_to").select("id", "digest", "refers_to").distinct()
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    (rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-     .join(revisit.hint("shuffle_hash"), ["id", "digest"], "left")
+    # dealt once, into as many partitions as archives, in the way that the join needs
+    n = max(1, -(-total // ARCHIVE_BYTES))
+    (rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).repartition(n, "id", "digest")
+     .join(revisit.repartition(n, "id", "digest").hint("shuffle_hash"), ["id", "digest"], "left")
      .select("id", "url", "html", "digest", "refers_to")
-     .repartition(max(1, -(-total // ARCHIVE_BYTES)), F.xxhash64("id", "digest"))
      .mapInArrow(_write, "value string")
      .write.option("lineSep", "\r\n").option("compression", "gzip").text(path))
 
@@ -164,15 +165,18 @@ def _decoded(block: bytes, declared: str, keep: bool) -> dict:
             "payload": payload if keep else None}
 
 
-def _reader(keep: bool):
+def _reader(keep: bool, segments: bool):
+    """The segments of archives, or their whole records, decoded."""
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
                 out, size = [], 0
                 for h, block in parse(gzip.decompress(content.as_py())):
+                    if segments != ("WARC-Segment-Number" in h):
+                        continue
                     row = {"record_id": h["WARC-Record-ID"][1:-1], "record_type": h["WARC-Type"],
                            "declared": h.get("WARC-Payload-Digest", "")[5:]}
-                    if "WARC-Segment-Number" in h:
+                    if segments:
                         row |= {"segment": int(h["WARC-Segment-Number"]), "block": block,
                                 "origin": h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"])[1:-1],
                                 "total": int(h["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in h else None}
@@ -211,15 +215,15 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """
     ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    rows = materialize(files.mapInArrow(_reader(payloads), _DDL), "records")
-    parts = (rows.where("segment is not null").groupBy("origin")
+    # two passes over the (compressed) archives cost less than a written table of all blocks
+    parts = (files.mapInArrow(_reader(payloads, True), _DDL).groupBy("origin")
              .agg(F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
                   F.max(F.when(F.col("segment") == 1, F.col("declared"))).alias("declared"),
                   F.sum(F.when(F.col("segment") == 1, 1).otherwise(0)).alias("copies"))
              .select("origin", "parts", "total", "declared", "copies"))
     joined = parts.mapInArrow(_joiner(payloads), _DDL)
     columns = ["record_id", "record_type", "refers_to_id", "payload_bytes", "payload_digest", "valid", "payload"]
-    return rows.where("segment is null").select(*columns).union(joined.select(*columns))
+    return files.mapInArrow(_reader(payloads, False), _DDL).select(*columns).union(joined.select(*columns))
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
