@@ -258,6 +258,40 @@ def answer(item: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, weight / weight.sum()
 
 
+class Space:
+    """A block's latent space: items, basis, item vectors, and the larger products of words with items as sparse rows."""
+
+    SMALL = 0.02
+
+    def __init__(self, ids, items, basis, latent):
+        self.ids, self.items, self.basis, self.latent = ids, items, basis, latent
+        products = basis @ latent.T
+        word, self.item = np.nonzero(products > self.SMALL)
+        self.value = products[word, self.item]
+        self.first = np.searchsorted(word, np.arange(len(basis) + 1))
+
+    def reachable(self, at, term, w, rows: int) -> np.ndarray:
+        """Rows whose cosine with some item may reach ``COSINE``: the larger products plus what the small ones can add."""
+        most = np.zeros(rows)
+        for a in range(0, rows, 4096):
+            lo, hi = np.searchsorted(at, [a, a + 4096])
+            n = min(4096, rows - a)
+            times = self.first[term[lo:hi] + 1] - self.first[term[lo:hi]]
+            place = (np.repeat(self.first[term[lo:hi]], times) + np.arange(times.sum())
+                     - np.repeat(np.cumsum(times) - times, times))
+            sums = np.bincount(np.repeat(at[lo:hi] - a, times) * len(self.ids) + self.item[place],
+                               weights=np.repeat(w[lo:hi], times) * self.value[place], minlength=n * len(self.ids))
+            most[a: a + n] = (sums.reshape(n, -1).max(axis=1)
+                              + self.SMALL * np.bincount(at[lo:hi] - a, weights=w[lo:hi], minlength=n))
+        return np.flatnonzero(most >= COSINE * 0.999)
+
+    def cosines(self, at, term, w, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that may reach ``COSINE`` and their cosines with the items."""
+        own = self.reachable(at, term, w, rows)
+        keep = np.isin(at, own)
+        return own, _dot(np.searchsorted(own, at[keep]), term[keep], w[keep], len(own), self.basis) @ self.latent.T
+
+
 def _search(model):
     """Documents to their best verified match."""
     def run(batches):
@@ -270,11 +304,12 @@ def _search(model):
             rows, at = np.unique(at[keep], return_inverse=True)
             t, w = t[keep], w[keep]
             if len(rows):
-                for ids, items, basis, latent in m["blocks"]:
-                    cosine = _dot(at, t, w, len(rows), basis) @ latent.T
+                for space in m["blocks"]:
+                    ids, items = space.ids, space.items
+                    likely, cosine = space.cosines(at, t, w, len(rows))
                     seen = set()
                     for i, j in zip(*np.nonzero(cosine >= COSINE)):
-                        p = int(own[rows[i]])
+                        p = int(own[rows[likely[i]]])
                         d = int(np.searchsorted(base, p, side="right")) - 1
                         start, item = (p - int(base[d])) * STEP, items[j]
                         lo = np.searchsorted(places[d], start - len(item))
@@ -337,6 +372,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         basis = np.linalg.qr(z + weight * mine)[0].astype(np.float32)
         latent = _dot(place, term, w, len(own), basis)
         latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1)), 1e-6)[:, None]
-        blocks.append(([ids[i] for i in own], [items[i] for i in own], basis, latent))
+        blocks.append(Space([ids[i] for i in own], [items[i] for i in own], basis, latent))
     model = {"idf": idf, "blocks": blocks, "answers": {i: answer(s, idf) for i, s in zip(bench.ids, bench.items)}}
     return hits.mapInArrow(_search(sc.broadcast(model)), out).withColumnRenamed("id", id_col)
