@@ -4,8 +4,9 @@
    words that occur in the benchmark (all others are zero in every product
    with a benchmark item); the result is written and is all that is read later.
 2. Passages are windows of ``2 * STEP`` words, ``STEP`` apart.  Their document
-   frequencies, summed over all passages of all documents, give the IDF; words
-   in over ``MAX_DF`` of the passages carry no weight.
+   frequencies, summed over all passages of all documents, give the IDF, which
+   is smoothed and never under ``FLOOR`` of the largest one: copies of an item
+   raise their own words' frequencies, so no word may lose its weight by them.
    A passage's other words count to its length with the middle IDF.
 3. Randomised SVD of the TF-IDF passages A: each partition adds up A'(A R) for a
    random sparse R (one signed entry per word, so the cost is that of the
@@ -14,7 +15,9 @@
    their span is kept) is the basis of the latent space.
 4. Passages whose cosine with an item in that space reaches ``COSINE`` are
    candidates.  (Passages whose benchmark words make up less than that share of
-   their length can't reach it and are left out before.)  Around each, the longest common subsequence of the item's words
+   their length can't reach it and are left out before.)  Whatever the weights,
+   passages that have ``RUN`` words of an item in a row, or the whole of a
+   shorter item, are candidates too.  Around each, the longest common subsequence of the item's words
    and the document's must reach ``COVERAGE`` of the item, and of what the item
    answers, its different words weighted by their IDF, the share ``ANSWER``
    must be there.  This finds paraphrases with words changed, added or left
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, ship_package
 from .common import text_chunks, word_hashes
 
-STEP, MAX_DF, COSINE, COVERAGE, ANSWER = 16, 0.05, 0.3, 0.6, 0.5
+STEP, FLOOR, COSINE, COVERAGE, ANSWER, RUN = 16, 1 / 3, 0.3, 0.6, 0.5, 8
 BLOCK, SPARE, MAX_WORDS, SEED = 200, 56, 4_000_000, 11
 _SEND = 256
 
@@ -64,6 +67,42 @@ class Benchmark:
         self.ids, self.items = [i for i, _ in kept], [s for _, s in kept]
 
 
+def _run_hashes(term: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words in a row."""
+    h = np.zeros(max(len(term) - n + 1, 0), np.uint64)
+    for i in range(n if len(h) else 0):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (term[i: i + len(h)].astype(np.uint64) + np.uint64(1))
+    return h
+
+
+class Runs:
+    """The items' runs of ``RUN`` words, or of all words of a shorter item, by length: sorted hashes and their items."""
+
+    def __init__(self, items: list[np.ndarray]):
+        lists: dict[int, list] = {}
+        for i, s in enumerate(items):
+            n = min(len(s), RUN)
+            h = np.unique(_run_hashes(s, n))
+            lists.setdefault(n, []).append((h, np.full(len(h), i)))
+        self.tables = {}
+        for n, parts in lists.items():
+            h, item = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(h, kind="stable")
+            self.tables[n] = h[order], item[order]
+
+    def places(self, row, place, term) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of hits at which a run starts, and the run's item."""
+        hits, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, (hashes, item) in self.tables.items():
+            h, last = _run_hashes(term, n), n - 1
+            at = np.flatnonzero((row[last:] == row[: len(h)]) & (place[last:] - place[: len(h)] == last)) if len(h) else hits[0]
+            lo, hi = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], side="right")
+            times = hi - lo
+            hits.append(np.repeat(at, times))
+            items.append(item[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)])
+        return np.concatenate(hits), np.concatenate(items)
+
+
 def _hits(bench):
     """(id, text) to (id, n_words, places, terms)."""
     def run(batches):
@@ -145,6 +184,12 @@ def _frequencies(size: int):
     return run
 
 
+def weights(df: np.ndarray, total: int) -> np.ndarray:
+    """The smoothed IDF, at least ``FLOOR`` of the largest."""
+    idf = np.log((1 + total) / (1 + df)) + 1
+    return np.maximum(idf, FLOOR * idf.max())
+
+
 def _weighted(passage, term, count, idf, others=None):
     """TF-IDF rows of length one: passages renumbered from 0, terms, weights; and the passages' own numbers.
 
@@ -252,19 +297,20 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def answer(item: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An item's different words and their shares of its IDF."""
+    """An item's different words and their shares of its IDF; words of every passage count as good as nothing, but
+    share alike, if an item has no others."""
     words = np.unique(item)
     weight = idf[words] + 1e-9
     return words, weight / weight.sum()
 
 
 class Space:
-    """A block's latent space: items, basis, item vectors, and the larger products of words with items as sparse rows."""
+    """A block's latent space: basis, item vectors, and the larger products of words with items as sparse rows."""
 
     SMALL = 0.02
 
-    def __init__(self, ids, items, basis, latent):
-        self.ids, self.items, self.basis, self.latent = ids, items, basis, latent
+    def __init__(self, basis, latent):
+        self.basis, self.latent = basis, latent
         products = basis @ latent.T
         word, self.item = np.nonzero(products > self.SMALL)
         self.value = products[word, self.item]
@@ -279,8 +325,8 @@ class Space:
             times = self.first[term[lo:hi] + 1] - self.first[term[lo:hi]]
             place = (np.repeat(self.first[term[lo:hi]], times) + np.arange(times.sum())
                      - np.repeat(np.cumsum(times) - times, times))
-            sums = np.bincount(np.repeat(at[lo:hi] - a, times) * len(self.ids) + self.item[place],
-                               weights=np.repeat(w[lo:hi], times) * self.value[place], minlength=n * len(self.ids))
+            sums = np.bincount(np.repeat(at[lo:hi] - a, times) * len(self.latent) + self.item[place],
+                               weights=np.repeat(w[lo:hi], times) * self.value[place], minlength=n * len(self.latent))
             most[a: a + n] = (sums.reshape(n, -1).max(axis=1)
                               + self.SMALL * np.bincount(at[lo:hi] - a, weights=w[lo:hi], minlength=n))
         return np.flatnonzero(most >= COSINE * 0.999)
@@ -299,32 +345,44 @@ def _search(model):
         for batch in _slices(batches):
             (own, at, t, w), base, places, terms = _rows_of(batch, m["idf"])
             best: dict[int, tuple] = {}
+            seen = set()
+
+            def look(d, p, g, cosine):
+                """Checks item g around passage p of document d; ``cosine`` gives their cosine, if it is needed."""
+                item, start = m["items"][g], (p - int(base[d])) * STEP
+                lo = int(np.searchsorted(places[d], start - len(item)))
+                hi = int(np.searchsorted(places[d], start + 2 * STEP + len(item)))
+                if (d, g, lo, hi) in seen:
+                    return
+                seen.add((d, g, lo, hi))
+                near = terms[d][lo:hi]
+                words, share = m["answers"][g]
+                if share[np.isin(words, near)].sum() < ANSWER:
+                    return
+                common = lcs(item, near)
+                if common >= COVERAGE * len(item):
+                    found = (common / len(item), -m["ids"][g], common, len(item), cosine())
+                    best[d] = max(best.get(d, found), found)
+
+            all_at, all_t, all_w = at, t, w
             # a row's product with a unit vector is at most the length of its own entries
             keep = (np.bincount(at, weights=w * w, minlength=len(own)) >= COSINE ** 2 * 0.999)[at]
             rows, at = np.unique(at[keep], return_inverse=True)
             t, w = t[keep], w[keep]
             if len(rows):
-                for space in m["blocks"]:
-                    ids, items = space.ids, space.items
+                for block, space in enumerate(m["blocks"]):
                     likely, cosine = space.cosines(at, t, w, len(rows))
-                    seen = set()
                     for i, j in zip(*np.nonzero(cosine >= COSINE)):
                         p = int(own[rows[likely[i]]])
-                        d = int(np.searchsorted(base, p, side="right")) - 1
-                        start, item = (p - int(base[d])) * STEP, items[j]
-                        lo = np.searchsorted(places[d], start - len(item))
-                        hi = np.searchsorted(places[d], start + 2 * STEP + len(item))
-                        if (d, j, int(lo), int(hi)) in seen:
-                            continue
-                        seen.add((d, j, int(lo), int(hi)))
-                        near = terms[d][lo:hi]
-                        words, share = m["answers"][ids[j]]
-                        if share[np.isin(words, near)].sum() < ANSWER:
-                            continue
-                        common = lcs(item, near)
-                        if common >= COVERAGE * len(item):
-                            found = (common / len(item), -ids[j], common, len(item), float(cosine[i, j]))
-                            best[d] = max(best.get(d, found), found)
+                        look(int(np.searchsorted(base, p, side="right")) - 1, p, block * BLOCK + int(j), lambda: float(cosine[i, j]))
+            _, row, place, term, *_ = _batch(batch)
+            hit, item = m["runs"].places(row, place, term)
+            passage = np.minimum(base[row[hit]] + place[hit] // STEP, base[row[hit] + 1] - 1)
+            for p, g in np.unique(np.stack([passage, item], axis=1), axis=0).tolist():
+                lo, hi = np.searchsorted(all_at, np.searchsorted(own, p) + np.array([0, 1]))
+                space = m["blocks"][g // BLOCK]
+                look(int(np.searchsorted(base, p, side="right")) - 1, p, g,
+                     lambda: float(all_w[lo:hi] @ space.basis[all_t[lo:hi]] @ space.latent[g % BLOCK]))
             rows = [best.get(d) for d in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([r is not None for r in rows], pa.bool_()),
@@ -353,11 +411,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for r in counted:
         if r["term"] >= 0:
             df[r["term"]] = r["n"]
-    idf = np.where(df <= max(MAX_DF * total, 1), np.log((1 + total) / (1 + df)) + 1, 0.0)
+    idf = weights(df, total)
     blocks = []
     for at in range(0, len(bench.ids), BLOCK):
-        ids, items = bench.ids[at: at + BLOCK], bench.items[at: at + BLOCK]
-        k = min(size, len(ids) + SPARE)
+        items = bench.items[at: at + BLOCK]
+        k = min(size, len(items) + SPARE)
         sums = (hits.mapInArrow(_sketch(sc.broadcast(idf), k), "part int, salt int, sums binary")
                 .groupBy("part", "salt").applyInArrow(_add(["part", "salt"]), "part int, salt int, sums binary")
                 .groupBy("part").applyInArrow(_add(["part"]), "part int, sums binary"))
@@ -365,13 +423,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for r in sums.collect():
             z[r["part"] * _SEND: r["part"] * _SEND + _SEND] = np.frombuffer(r["sums"], np.float32).reshape(-1, k)
         own, place, term, w = item_rows(items, idf)
-        if not len(own):
-            continue
         mine = _gram(place, term, w, size, k)
         weight = 100 * max(np.linalg.norm(z), 1.0) / max(np.linalg.norm(mine), 1e-9)
         basis = np.linalg.qr(z + weight * mine)[0].astype(np.float32)
         latent = _dot(place, term, w, len(own), basis)
         latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1)), 1e-6)[:, None]
-        blocks.append(Space([ids[i] for i in own], [items[i] for i in own], basis, latent))
-    model = {"idf": idf, "blocks": blocks, "answers": {i: answer(s, idf) for i, s in zip(bench.ids, bench.items)}}
+        blocks.append(Space(basis, latent))
+    rarity = np.log((1 + total) / (1 + df))
+    model = {"idf": idf, "blocks": blocks, "ids": bench.ids, "items": bench.items, "runs": Runs(bench.items),
+             "answers": [answer(s, rarity) for s in bench.items]}
     return hits.mapInArrow(_search(sc.broadcast(model)), out).withColumnRenamed("id", id_col)

@@ -207,6 +207,35 @@ def test_paraphrases_and_odd_rows(spark, docs_of, monkeypatch):
     assert D.contamination(docs_of([]), bench).count() == 0
 
 
+def _leaks(spark, docs_of, rows, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id: r.item_id for r in D.contamination(docs_of(rows), bench).collect() if r.contaminated}
+
+
+def _words(seed):
+    rng = random.Random(seed)
+    return lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8))) for _ in range(n))
+
+
+def test_copies_in_a_table_of_one_document(spark, docs_of):
+    text = _words(2)
+    for n in (6, 20, 45):
+        item = text(n)
+        assert _leaks(spark, docs_of, [(1, f"{text(140)} {item} {text(140)}")], [item, text(20)]) == {1: 0}
+
+
+def test_copies_in_a_third_of_the_rows(spark, docs_of):
+    """An item's own copies raise its words' frequencies; neither these copies, whole or edited, nor others are lost."""
+    text = _words(3)
+    items = [text(n) for n in (5, 12, 24, 40)]
+    edited = items[2].split()
+    edited[4::6] = text(4).split()
+    rows = [(i, f"{text(9)} {items[2] if i % 6 else ' '.join(edited)} {text(7)}") if i % 3 == 0 else
+            (i, f"{text(9)} {items[i % 4 if i < 20 and i % 4 != 2 else 0]} {text(7)}" if i < 20 else text(20)) for i in range(300)]
+    want = {i: 2 if i % 3 == 0 else i % 4 if i < 20 and i % 4 != 2 else 0 for i in range(300) if i % 3 == 0 or i < 20}
+    assert _leaks(spark, docs_of, rows, items) == want
+
+
 def test_lcs_against_the_plain_table():
     rng = np.random.default_rng(3)
     for _ in range(60):
