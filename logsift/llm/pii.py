@@ -3,31 +3,37 @@
 Base spans (always kept) follow the fixed rules of four kinds: email, ip, card
 and phone.  Wider generators then propose further, overlapping spans (loose
 addresses, "name (at) host" forms, number groups read as ip, card or phone).
-Each proposal has small integer features of its format and context.  All
-proposals of all texts are counted by their feature values; that table, whose
-size the features' ranges bound, trains gradient-boosted trees to tell
-proposals that meet a base span from those that don't, and sets per kind the
-lowest threshold whose precision on the whole table reaches ``PRECISION``.
+Each proposal has small integer features of its format and context.  The
+evidence is what the text itself proves.  Proposals that meet a base span are
+positive, with the cue that made the rule match ('+', '@') taken out of their
+features, as it is missing in the spans to be added.  Known other things are
+negative: dates, versions, decimals, bare numbers, failed Luhn and octet checks,
+addresses without a domain, and spans of another kind.  All others, among them
+every span that could be added, are no evidence either way.  The evidence of all
+texts is counted by its feature values; that table, whose size the features'
+ranges bound, trains gradient-boosted trees and sets per kind the lowest
+threshold whose precision reaches ``PRECISION``.  Both classes of each kind have
+the same weight there, and the proposals of ``SEEDS`` add a fixed share, so
+that neither depends on how many base spans a table has, if any.
 The trees become one SQL expression, so scoring is a projection: there is no
 Python, no join and no shuffle of texts on this path.  A proposal over the
-threshold that meets no base span is added.
+threshold that is no evidence and meets no base span is added.
 
 Defined results: a null or empty text has no spans; repeated rows are treated
-alike; without proposals of both classes only base spans are returned; further
-columns are ignored.  Starts and ends count code points, ends exclusive.
+alike; further columns are ignored.  Starts and ends count code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-TREES, DEPTH, PRECISION = 12, 3, 0.98
+TREES, DEPTH, PRECISION, SEED_SHARE = 12, 3, 0.98, 0.25
 
 # (?<!class)|\G: a match starts where a run starts or where the last match ended, which is where the leftmost
 # match must start; possessive runs can't be given back, so every text is scanned in linear time.
@@ -48,6 +54,17 @@ GATE = {"email": "instr(text, '@') > 0", "ip": "text rlike '[0-9]\\\\.[0-9]'", "
         "phone": "instr(text, '+') > 0", "wide_email": "text rlike '@|[(\\\\[]at[)\\\\]]'", "number": "text rlike '[0-9]'"}
 CONTEXT = {"email": "mail|contact|write", "ip": "ip|host|server|address|from", "card": "card|visa|payment|credit",
            "phone": "phone|tel|call|mobile|fax"}
+SEEDS = (
+    "write to jane.doe@example.com or j_smith12@mail.example.org, (a.b@example.net) <info@example.com>, mail: x1@example.co.uk",
+    "user@localhost runs foo@bar and root@db1, ab!@#$%^ or x@y1z",
+    "host 192.168.10.24 and 10.0.0.1, (172.16.254.3) from 8.8.8.8:53",
+    "300.1.1.1 and 10.0.999.1, (1.2.3.456) from 999.10.20.30",
+    "card 4111 1111 1111 1111 or 5500-0000-0000-0004, (340000000000009) 4111111111111111",
+    "card 4111 1111 1111 1112 or 5500-0000-0000-0005, (340000000000008) 4111111111111113",
+    "call +1 (800) 555-1800 or +1 800-555-1801, (+44 20 7946 0958) tel: +49 30 901820 +1.800.555.1802 and +1-800-555-1803",
+    "on 2024-01-31 12, 2023.12.24 and 31.12.2023, 12-05-2019 1990-1995 version 10.15.7.123, 1234567 of 20240131, (123.4567) 1.234.567 "
+    "12 15 18 22 10.5 20.3 30.1 1 2 3 4 5 6 7",
+)
 SPAN = "struct<m:string,s:int,e:int,before:string,after:string>"
 FEATURES = ("kind", "digits", "letters", "marks", "luhn", "local", "dots", "octets", "prev", "next", "word")
 
@@ -86,6 +103,27 @@ VALID = {
 }
 
 
+_YEAR, _MONTH_DAY = "(?:19|20)[0-9]{2}", "(?:0?[1-9]|[12][0-9]|3[01])"
+_DATE = (rf"(?<![0-9])(?:{_YEAR}[-./]{_MONTH_DAY}[-./]{_MONTH_DAY}|{_MONTH_DAY}[-./]{_MONTH_DAY}[-./]{_YEAR})(?![0-9])"
+         rf"|^{_YEAR} ?- ?{_YEAR}$")
+_VERSION = r"(?i)(?<![a-z])(?:v|ver|version|release|rev)[.:]? ?$"
+# thousands and versions, decimals, lists of small numbers
+_FIGURES = r"^[1-9][0-9]{0,2}(?:[.][0-9]{1,3}){2,}$|^[0-9]+[.][0-9]+(?: [0-9]+[.][0-9]+)*$|^[1-9][0-9]?(?: [0-9]{1,2})+$"
+_DATED = f"x.m rlike {_sql(_DATE)} or x.before rlike {_sql(_VERSION)}"
+#: Proposals that meet no base span of their kind and are known to be something else.
+NEGATIVE = {
+    "email": r"x.m like '%@%' and not x.m rlike '[\\p{L}\\p{N}_]@[\\p{L}\\p{N}-]+(?:[.][\\p{L}\\p{N}-]+)+'",
+    "ip": f"not {VALID['ip']} or x.before rlike {_sql(_VERSION)}",
+    "card": f"not ({VALID['card']}) or {_DATED}",
+    "phone": f"{_DATED} or x.m rlike {_sql(_FIGURES)} or (x.m rlike '^[0-9]+$' and not lower(x.before) rlike '{CONTEXT['phone']}')",
+}
+#: The span without the cue by which a base rule finds it, or with the cue that stands for it elsewhere.
+PLAIN = {
+    "email": r"regexp_replace(regexp_replace(x.m, '\\x20?[(\\[]at[)\\]]\\x20?', '@'), '\\x20?[(\\[]dot[)\\]]\\x20?', '.')",
+    "phone": "replace(x.m, '+', '')",
+}
+
+
 def _char_class(c: str) -> str:
     return (f"case when {c} is null or {c} = '' or {c} rlike '[\\\\s]' then 0 when {c} rlike '[A-Za-z]' then 1 "
             f"when {c} rlike '[0-9]' then 2 when {c} in ('=', ':', '\"', '(', '<') then 3 else 4 end")
@@ -93,23 +131,26 @@ def _char_class(c: str) -> str:
 
 def _proposal(kind: str) -> str:
     """SQL: the features of a proposed span x of this kind."""
-    base = f"base_{kind}"
+    meets = " or ".join(f"exists(base_{k}, b -> b.s < x.e and x.s < b.e)" for k in KINDS if k != kind)
+    base, plain = f"exists(base_{kind}, b -> b.s < x.e and x.s < b.e)", PLAIN.get(kind, "x.m")
+    prev = _char_class("right(x.before, 1)")
     values = {
         "kind": str(KINDS.index(kind)),
         "digits": f"least(length({_DIGITS}), 20)",
-        "letters": "least(length(regexp_replace(x.m, '[^A-Za-z]', '')), 3)",
-        "marks": "least(length(regexp_replace(x.m, '[A-Za-z0-9]', '')), 8)",
+        "letters": f"least(length(regexp_replace({plain}, '[^A-Za-z]', '')), 3)",
+        "marks": f"least(length(regexp_replace({plain}, '[A-Za-z0-9]', '')), 8)",
         "luhn": f"int({_luhn(_DIGITS)})" if kind == "card" else "0",
         "local": r"int(x.m rlike '^[(]?[0-9]{3}[)]?[ .-]{0,2}[0-9]{3}[ .-][0-9]{4}$')" if kind == "phone" else "0",
-        "dots": "least(length(regexp_replace(x.m, '[^.]', '')), 5)",
+        "dots": f"least(length(regexp_replace({plain}, '[^.]', '')), 5)",
         "octets": f"int({VALID['ip']})" if kind == "ip" else "0",
-        "prev": _char_class("right(x.before, 1)"),
+        # a span that starts behind the '+' or the country code of a base span
+        "prev": f"if({base}, 0, {prev})" if kind == "phone" else prev,
         "next": _char_class("x.after"),
         "word": f"int(lower(x.before) rlike '{CONTEXT[kind]}')",
     }
     fields = ", ".join(f"'{n}', {values[n]}" for n in FEATURES)
     return (f"named_struct('s', x.s, 'e', x.e, {fields}, "
-            f"'base', int(exists({base}, b -> b.s < x.e and x.s < b.e)))")
+            f"'base', int({base}), 'other', int(not {base} and ({meets} or {NEGATIVE[kind]})))")
 
 
 def analysed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
@@ -142,17 +183,23 @@ def _tree(node) -> str:
 
 def fit(table: DataFrame) -> tuple[str, dict[str, float]]:
     """The score of a proposal x as SQL, and the threshold of each kind, from analysed rows."""
-    counted = materialize(table.select(F.explode("proposals").alias("x")).groupBy(
+    seeds = analysed(table.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("text"))
+                     .select(F.lit(0).alias("doc_id"), "text"))
+    evidence = [t.select(F.explode("proposals").alias("x")).where("x.base = 1 or x.other = 1").groupBy(
         *[F.col(f"x.{n}").cast("double").alias(n) for n in FEATURES], F.col("x.base").cast("double").alias("label"))
-        .agg(F.count(F.lit(1)).cast("double").alias("weight")), "proposals").coalesce(1)
-    if counted.select("label").distinct().count() < 2:
-        return "0.0D", {}
+        .agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("share", F.lit(share))
+        for t, share in ((table, 1.0), (seeds, SEED_SHARE))]
+    counted = materialize(evidence[0].unionAll(evidence[1]), "proposals").coalesce(1)
+    # both classes of each kind weigh the same
+    part, whole = Window.partitionBy("kind", "label", "share"), Window.partitionBy("kind", "label")
+    counted = counted.withColumn("weight", F.col("share") * F.col("n") / F.sum("n").over(part))
+    counted = counted.withColumn("weight", F.col("weight") / F.sum("weight").over(whole))
     model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH,
                           stepSize=0.3, minWeightFractionPerNode=0.01, seed=7).fit(
-        VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(counted.orderBy(*FEATURES, "label")))
+        VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(counted.orderBy(*FEATURES, "label", "share")))
     sums = " + ".join(f"{float(w)!r}D * {_tree(t._call_java('rootNode'))}" for w, t in zip(model.treeWeights, model.trees))
     score = f"1.0D / (1.0D + exp(-2.0D * ({sums})))"
-    # calibration: precision of everything at or over each twentieth, per kind, over the whole table
+    # calibration: precision of everything at or over each twentieth, per kind, over all evidence
     steps = [i / 20 for i in range(10, 20)]
     scored = counted.select("kind", "label", "weight", F.expr(score.replace("x.", "")).alias("p"))
     rates = scored.groupBy("kind").agg(*[
@@ -173,7 +220,7 @@ def with_spans(table: DataFrame, score: str, limits: dict[str, float]) -> DataFr
         more = "cast(array() as array<struct<k:string,s:int,e:int>>)"
         if k in limits:
             free = " and ".join(f"not exists(base_{o}, b -> b.s < x.e and x.s < b.e)" for o in KINDS)
-            more = (f"transform(filter(proposals, x -> x.kind = {KINDS.index(k)} and x.base = 0 and {free} "
+            more = (f"transform(filter(proposals, x -> x.kind = {KINDS.index(k)} and x.base = 0 and x.other = 0 and {free} "
                     f"and {score} >= {limits[k]}D), x -> named_struct('k', '{k}', 's', x.s, 'e', x.e))")
         table = table.withColumn(f"found_{k}", F.expr(
             f"array_sort(array_distinct(concat({base}, {more})), (l, r) -> case when l.s <> r.s then l.s - r.s else l.e - r.e end)"))

@@ -63,6 +63,28 @@ def test_redaction_and_added_spans(spark, docs_of):
     assert not any(re.search(PII["email"], t or "") for t in out.values())
 
 
+PLAIN_TEXTS = ["version 2.0 of 1,000 items on 2024-01-31 and 31.12.2023", "build v10.15.7.1234 took 1234567 steps, 10.5 20.3 30.1",
+               "card 4111 1111 1111 1112 fails, 300.1.1.1 too", "user@localhost in 1990-1995"]
+
+
+def test_a_third_of_the_phones_in_local_form(spark, docs_of):
+    df = read_table(spark, SF, "documents", "doc_id", "text")
+    rows = [(r.doc_id + 1000, r.text) for r in df.collect()] + list(enumerate(PLAIN_TEXTS, 900)) + [
+        (i, f"words around +1 ({800 + i}) 555-{i + 1000} here") for i in range(60)] + [
+        (100 + i, f"words around ({900 + i}) 555-{i + 2000} here") for i in range(15)] + [
+        (200 + i, f"words around {900 + i}-555-{i + 2000} here") for i in range(15)]
+    out = {r.doc_id: r.text for r in pii.redacted(docs_of(rows)).collect()}
+    assert {out[i] for i in [*range(60), *range(100, 115), *range(200, 215)]} == {"words around [PHONE] here"}
+    assert [out[900 + i] for i in range(4)] == PLAIN_TEXTS
+
+
+def test_added_spans_of_kinds_without_base_spans(docs_of):
+    rows = [(i, f"call ({900 + i}) 555-{i + 2000} or ask jane{i} (at) example.com now") for i in range(30)] + list(enumerate(PLAIN_TEXTS, 900))
+    out = {r.doc_id: r.text for r in pii.redacted(docs_of(rows)).collect()}
+    assert {out[i] for i in range(30)} == {"call [PHONE] or ask [EMAIL] now"}
+    assert [out[900 + i] for i in range(4)] == PLAIN_TEXTS
+
+
 def test_personal_data_of_nothing(docs_of):
     assert pii.personal_data(docs_of([])).count() == 0
     assert [r.spans for r in pii.digest(pii.personal_data(docs_of([(1, "plain words only")]))).collect()] == [""]
