@@ -6,7 +6,8 @@ The token-efficiency test then looks at every run of 20 or more characters of
 vocabulary, random strings are not.  A run with fewer than ``MAX_CHARS``
 characters per token is a secret of kind ``token``, unless it is a known kind
 of public value: a digest (hex of a usual digest's length), a UUID, a run
-without both letters and digits, a path or a compound of plain words.
+without letters, a path or a compound of plain words, whose letter groups are
+long and cheap under the vocabulary too.
 
 Candidates are found and encoded inside one pass over the texts; each run is
 encoded alone, in pieces of at most 4,096 characters for very long ones.
@@ -70,21 +71,25 @@ def chars_per_token(run: str, vocabulary: str = VOCABULARY) -> float:
     return len(run) / max(tokens, 1)
 
 
-def excluded(run: str) -> bool:
+def excluded(run: str, vocabulary: str = VOCABULARY, max_chars: float = MAX_CHARS) -> bool:
     """A known digest or identifier, or nothing that a generator of keys makes."""
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+    if not any(c.isalpha() for c in run):
         return True
     if _UUID.match(run):
         return True
     words = [c for c in _CHUNK.findall(run) if not c.isdigit()]
-    if sum(map(len, words)) >= 4.5 * len(words) and max(map(len, re.findall("[0-9]+", run))) <= 8:
-        return True         # a compound of words, such as a path or a dated name
+    letters = sum(map(len, words))
+    if letters >= 4.5 * len(words) and max(map(len, re.findall("[0-9]+", run)), default=0) <= 8:
+        # a compound of words, such as a path or a dated name, if its words are cheap
+        if letters >= max_chars * sum(len(w) / chars_per_token(w, vocabulary) for w in words):
+            return True
     return len(run) in _DIGEST_LENGTHS and bool(_DIGEST.match(run))
 
 
 def token_spans(runs: list[re.Match], vocabulary: str = VOCABULARY, max_chars: float = MAX_CHARS) -> list[tuple[int, int]]:
     """The runs that the vocabulary can't shorten, by start."""
-    return [m.span() for m in runs if not excluded(m.group()) and chars_per_token(m.group(), vocabulary) < max_chars]
+    return [m.span() for m in runs if chars_per_token(m.group(), vocabulary) < max_chars
+            and not excluded(m.group(), vocabulary, max_chars)]
 
 
 def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,

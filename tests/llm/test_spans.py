@@ -1,7 +1,9 @@
 """Personal data and secrets against plain regular expressions, licence notices, and token counts and pieces."""
 
 import hashlib
+import random
 import re
+import string
 
 import numpy as np
 
@@ -119,6 +121,19 @@ def test_secrets(spark, docs_of):
     assert secrets.digest(secrets.secrets(docs_of([]))).count() == 0
 
 
+def test_random_strings_of_every_alphabet():
+    rng = random.Random(7)
+    base32, base36 = string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits
+    for letters in (base32, base32.lower(), base36, base36.upper(), string.ascii_letters, string.ascii_uppercase, string.ascii_lowercase):
+        for n in (24, 32, 52):
+            runs = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(300)]
+            found = [secrets.token_spans(list(secrets.RUN.finditer(f"seed {r} here"))) for r in runs]
+            assert sum(f == [(5, 5 + n)] for f in found) >= 0.97 * len(runs), (letters, n)
+    for plain in ("some/long/path/of_2024/readme-file", "ThisIsALongCamelCaseIdentifierName", "internationalization-and-localization",
+                  "CONFIGURATION_DIRECTORY_NAME", "12345678901234567890123", "--------------------------", "a" * 40):
+        assert secrets.token_spans(list(secrets.RUN.finditer(plain))) == [], plain
+
+
 def test_license_notices(spark, docs_of):
     mit = L.TEMPLATES["mit-notice"]
     changed = mit.replace("free of charge", "at no cost").replace("Software", "Program", 1)
