@@ -24,8 +24,10 @@
    out, and passes by texts that share only frequent words with an item.
 
 The benchmark is the query side: its vocabulary is checked against
-``MAX_WORDS`` before it is sent to the executors, and items are handled in
-blocks of ``BLOCK`` with a latent space each, all in the same passes.
+``MAX_WORDS`` before it is sent to the executors.  Items over ``LONG`` words are
+searched by their own passages, as one window holds too little of them; the
+check is on the whole item.  Items and such passages are handled in blocks of
+``BLOCK`` with a latent space each, all in the same passes.
 
 Defined results: a null or empty text or item matches nothing; of several
 matches a document reports the best (longest share, then smallest item);
@@ -44,7 +46,7 @@ from ..session import materialize, ship_package
 from .common import text_chunks, word_hashes
 
 STEP, FLOOR, COSINE, COVERAGE, ANSWER, RUN = 16, 1 / 3, 0.3, 0.6, 0.5, 8
-BLOCK, SPARE, MAX_WORDS, SEED = 200, 56, 4_000_000, 11
+BLOCK, SPARE, MAX_WORDS, SEED, LONG = 200, 56, 4_000_000, 11, 4 * STEP
 _SEND = 256
 
 
@@ -276,6 +278,12 @@ def _add(keys: list[str]):
     return run
 
 
+def item_parts(items) -> list[tuple[int, np.ndarray]]:
+    """What is searched: (item, its words), and the passages of items over ``LONG`` words."""
+    return [(i, part) for i, s in enumerate(items) for part in (
+        [s] if len(s) <= LONG else [s[a * STEP: (a + 2) * STEP] for a in range(int(n_passages(len(s))))])]
+
+
 def item_rows(items, idf):
     """The items as sparse TF-IDF rows."""
     passage = np.concatenate([np.full(len(s), i) for i, s in enumerate(items)])
@@ -374,15 +382,16 @@ def _search(model):
                     likely, cosine = space.cosines(at, t, w, len(rows))
                     for i, j in zip(*np.nonzero(cosine >= COSINE)):
                         p = int(own[rows[likely[i]]])
-                        look(int(np.searchsorted(base, p, side="right")) - 1, p, block * BLOCK + int(j), lambda: float(cosine[i, j]))
+                        look(int(np.searchsorted(base, p, side="right")) - 1, p, int(m["whose"][block * BLOCK + j]),
+                             lambda: float(cosine[i, j]))
             _, row, place, term, *_ = _batch(batch)
             hit, item = m["runs"].places(row, place, term)
             passage = np.minimum(base[row[hit]] + place[hit] // STEP, base[row[hit] + 1] - 1)
             for p, g in np.unique(np.stack([passage, item], axis=1), axis=0).tolist():
                 lo, hi = np.searchsorted(all_at, np.searchsorted(own, p) + np.array([0, 1]))
-                space = m["blocks"][g // BLOCK]
-                look(int(np.searchsorted(base, p, side="right")) - 1, p, g,
-                     lambda: float(all_w[lo:hi] @ space.basis[all_t[lo:hi]] @ space.latent[g % BLOCK]))
+                look(int(np.searchsorted(base, p, side="right")) - 1, p, g, lambda: max(
+                    float(all_w[lo:hi] @ m["blocks"][j // BLOCK].basis[all_t[lo:hi]] @ m["blocks"][j // BLOCK].latent[j % BLOCK])
+                    for j in range(*np.searchsorted(m["whose"], [g, g + 1]))))
             rows = [best.get(d) for d in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([r is not None for r in rows], pa.bool_()),
@@ -412,9 +421,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if r["term"] >= 0:
             df[r["term"]] = r["n"]
     idf = weights(df, total)
-    blocks = []
-    for at in range(0, len(bench.ids), BLOCK):
-        items = bench.items[at: at + BLOCK]
+    parts, blocks = item_parts(bench.items), []
+    for at in range(0, len(parts), BLOCK):
+        items = [words for _, words in parts[at: at + BLOCK]]
         k = min(size, len(items) + SPARE)
         sums = (hits.mapInArrow(_sketch(sc.broadcast(idf), k), "part int, salt int, sums binary")
                 .groupBy("part", "salt").applyInArrow(_add(["part", "salt"]), "part int, salt int, sums binary")
@@ -431,5 +440,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         blocks.append(Space(basis, latent))
     rarity = np.log((1 + total) / (1 + df))
     model = {"idf": idf, "blocks": blocks, "ids": bench.ids, "items": bench.items, "runs": Runs(bench.items),
+             "whose": np.array([i for i, _ in parts], np.int64),
              "answers": [answer(s, rarity) for s in bench.items]}
     return hits.mapInArrow(_search(sc.broadcast(model)), out).withColumnRenamed("id", id_col)

@@ -236,6 +236,18 @@ def test_copies_in_a_third_of_the_rows(spark, docs_of):
     assert _leaks(spark, docs_of, rows, items) == want
 
 
+def test_long_and_very_short_items(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 7)
+    text = _words(4)
+    items = [text(n) for n in (2, 1, 500, 300, 150, 20)]
+    changed = {i: items[i].split() for i in (3, 4)}
+    for words in changed.values():
+        words[::3] = text(len(words[::3])).split()      # no run of three words is left
+    rows = [(i, f"{text(200)} {' '.join(changed.get(i, [t]))} {text(100)}") for i, t in enumerate(items)] + [
+        (10 + i, text(150)) for i in range(60)] + [(90, f"{text(50)} {' '.join(items[3].split()[:150])} {text(40)}")]
+    assert _leaks(spark, docs_of, rows, items) == {i: i for i in range(len(items))}
+
+
 def test_lcs_against_the_plain_table():
     rng = np.random.default_rng(3)
     for _ in range(60):
