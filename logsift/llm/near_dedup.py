@@ -12,7 +12,8 @@ document's component of the link graph, named by its smallest doc_id.
 2. Equal sets are one class, named by its smallest doc_id: copies never meet
    in pairs.
 3. 24 bands of three registers are the buckets of the candidate search
-   (at a similarity of 0.75 all bands miss with probability 2e-6).
+   (at a similarity of 0.75 all bands miss with probability 2e-6; 2e-5 for
+   sets of 4 to 7 shingles).
 4. In each bucket all members are paired with its most central one (the member
    with the largest buckets in all), so a bucket of m near copies gives m
    pairs, not m squared.  After the components of these links, only buckets
@@ -24,7 +25,7 @@ document's component of the link graph, named by its smallest doc_id.
    formed: no link between different components is lost, while pairs inside
    one component, which can't change the result, are never made.
 5. Pairs whose sizes or whose collision-corrected estimate of the similarity
-   rule a link out are dropped (four standard errors); the others are verified
+   rule a link out are dropped (six standard errors); the others are verified
    on the full shingle sets.
 6. Components: alternating large-star and small-star steps on the verified links.
 
@@ -153,7 +154,7 @@ def _likely(batches):
         regs = [np.frombuffer(b"".join(t[c].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb")]
         na, nb = (t[c].to_numpy().astype(np.float64) for c in ("na", "nb"))
         j = SIMILAR / 100
-        slack = np.maximum(0.2, 4 * np.sqrt(j * (1 - j) / np.minimum(REGISTERS, np.minimum(na, nb))))
+        slack = np.maximum(0.2, 6 * np.sqrt(j * (1 - j) / np.minimum(REGISTERS, np.minimum(na, nb))))
         keep = pa.array(estimate(*regs, na, nb) >= j - slack)
         yield pa.RecordBatch.from_arrays([t["a"].filter(keep), t["b"].filter(keep)], names=["a", "b"])
 

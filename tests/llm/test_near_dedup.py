@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_cases import LONG, ODD, SF, docs_of  # noqa: F401
@@ -15,6 +16,16 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
 
+def test_estimates_far_below_the_limit_are_verified():
+    """Sets at a similarity of exactly 0.75 may by chance agree in half of the registers."""
+    equal = np.arange(N.REGISTERS) < N.REGISTERS // 2
+    ra, rb = np.arange(1, N.REGISTERS + 1, dtype=np.uint16), np.where(equal, 0, 1000).astype(np.uint16)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1]), pa.array([2]), pa.array([200]), pa.array([200]), pa.array([ra.tobytes()]), pa.array([(ra + rb).tobytes()])],
+        names=["a", "b", "na", "nb", "ra", "rb"])
+    assert sum(b.num_rows for b in N._likely([batch])) == 1
+
+
 def brute(rows):
     sets, by = {}, defaultdict(list)
     for i, t in rows:
