@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, neighbours, pieces, pii, quality, secrets, tokens, warc
+from . import (decontaminate, exact_dedup, licenses, near_dedup, neighbours, pieces, pii, quality, secrets, spelling, tokens,
+               vector_codes, warc)
 from .common import read_table
 
 
@@ -57,9 +58,21 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.personal_data(_documents(spark, sf_dir)))
 
 
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(_documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.digest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_licenses, op3_token_counts, op4_pieces, op5_secrets, op6_neighbours, op7_quality,
-    op8_decontaminate, op9_warc, op10_pii)}
+    op8_decontaminate, op9_warc, op10_pii, op11_exact_dedup, op12_vector_codes, op13_spelling)}
 
 ORACLE_SQL = {
     "op1_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
@@ -88,4 +101,25 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p),
 k AS (SELECT *, payload_bytes >= 1000 AND page_id <> last AS again FROM m)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN again THEN last END AS refers_to, true AS valid FROM k""",
+    "op11_exact_dedup": r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM t WINDOW g AS (PARTITION BY t)""",
+    "op12_vector_codes": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, i, v[i * 4 + 1:i * 4 + 4] AS p FROM v, range(16) r(i)),
+b0 AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY vec_id) - 1 AS j, p FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+a0 AS (SELECT p.vec_id, p.i, p.p, arg_min(b.j, list_sum(list_transform(generate_series(1, 4), lambda t: (p.p[t] - b.p[t]) * (p.p[t] - b.p[t])))::BIGINT * 64 + b.j) AS j FROM parts p JOIN b0 b USING (i) GROUP BY ALL),
+m0 AS (SELECT i, j, list_transform(generate_series(1, 4), lambda t: (s[t] - ((s[t] % n) + n) % n) // n) AS p FROM (
+  SELECT i, j, count(*) AS n, [sum(p[1])::BIGINT, sum(p[2])::BIGINT, sum(p[3])::BIGINT, sum(p[4])::BIGINT] AS s FROM a0 GROUP BY ALL)),
+b1 AS (SELECT i, j, coalesce(m.p, b.p) AS p FROM b0 b LEFT JOIN m0 m USING (i, j)),
+a1 AS (SELECT p.vec_id, p.i, p.p, arg_min(b.j, list_sum(list_transform(generate_series(1, 4), lambda t: (p.p[t] - b.p[t]) * (p.p[t] - b.p[t])))::BIGINT * 64 + b.j) AS j FROM parts p JOIN b1 b USING (i) GROUP BY ALL),
+m1 AS (SELECT i, j, list_transform(generate_series(1, 4), lambda t: (s[t] - ((s[t] % n) + n) % n) // n) AS p FROM (
+  SELECT i, j, count(*) AS n, [sum(p[1])::BIGINT, sum(p[2])::BIGINT, sum(p[3])::BIGINT, sum(p[4])::BIGINT] AS s FROM a1 GROUP BY ALL)),
+b2 AS (SELECT i, j, coalesce(m.p, b.p) AS p FROM b1 b LEFT JOIN m1 m USING (i, j)),
+c AS (SELECT p.vec_id, p.i, arg_min(b.j, d * 64 + b.j) AS j, min(d) AS d FROM (
+  SELECT p.vec_id, p.i, b.j, list_sum(list_transform(generate_series(1, 4), lambda t: (p.p[t] - b.p[t]) * (p.p[t] - b.p[t])))::BIGINT AS d FROM parts p JOIN b2 b USING (i)) p JOIN b2 b USING (i, j) GROUP BY ALL),
+e AS (SELECT vec_id, string_agg(format('{:02x}', j), '' ORDER BY i) AS code, sum(d)::BIGINT AS error FROM c GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(p, ','), ',' ORDER BY i, j)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN v USING (vec_id), h""",
 }
