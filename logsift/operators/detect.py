@@ -4,16 +4,19 @@
   1. the TF-IDF vocabulary (bounded by ``max_features``); the lines with their
      feature vectors are then written once, and all else reads that table,
   2. the robust scaler (median and IQR per feature; IQR 0 -> 1),
-  3. the isolation forest, whose trees draw from the whole table, and the
-     approximate one-class SVM, fitted on all rows,
-  4. min/max of each raw score over all lines and the flag threshold: the
+  3. the isolation forest, whose trees draw from the whole table; the lines with
+     their scaled vectors and isolation scores are written,
+  4. the approximate one-class SVM, fitted on all rows,
+  5. min/max of each raw score over all lines and the flag threshold: the
      ``1 - fpr_target`` quantile of the ensemble score, or its 0.90 quantile
      when that equals the maximum.
 All learned state is small (vocabulary, scaler vectors, forest node arrays,
 SVM weights); it is inlined as literals or broadcast.
 
-Scoring is one Arrow-batched pandas function of the feature vector; the line's
-other columns never leave the JVM, and labelling needs no join back.
+The forest scores inside the JVM; the SVM's products are one Arrow-batched pandas
+function of the feature vector.  The line's other columns never leave the JVM, and
+labelling needs no join back.  Each result is a stage kept by what it was made
+from (``Stages``): another ``contamination`` runs the SVM's stages only.
 
 ``fpr_target`` is the flagged fraction, not a false-positive rate: with
 distinct scores ``floor((n-1) * fpr) + 1`` lines are flagged.  It can be changed
@@ -23,18 +26,17 @@ afterwards on the kept raw scores (``DetectorModel.rethreshold``).
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, replace
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package
+from ..stages import Stages
 from .features import STRUCTURED, structured_columns
-from .iforest import NODE_SCHEMA, Forest, fit_forest
-from .ocsvm import OneClassSVM, fit_ocsvm, scale_gamma
-from .stats import minmax_norm, quantiles
+from .iforest import NODE_SCHEMA, Forest, fit_forest, forest_shape
+from .ocsvm import OneClassSVM, fit_weights, products, scale_gamma
+from .stats import minmax_norm, quantile, quantiles
 from .tfidf import Vocabulary, fit_vocabulary, with_tfidf
 
 
@@ -95,22 +97,15 @@ def fit_scaler(x: DataFrame, dim: int, exact: bool = True) -> Scaler:
     return Scaler(center, scale)
 
 
-def raw_scores(featured: DataFrame, keep: list[str], scaler: Scaler, forest: Forest, svm: OneClassSVM) -> DataFrame:
-    """``keep`` columns of ``featured`` plus raw ``iso`` and ``svm`` scores of its vector ``x``."""
-    spark = featured.sparkSession
-    ship_package(spark)
-    model = spark.sparkContext.broadcast((forest, svm))
+def scaled_rows(featured: DataFrame, keep: list[str], scaler: Scaler) -> DataFrame:
+    """``keep`` columns and the scaled vector as ``x`` (unpacked by a Generate, so that it is computed once)."""
+    return featured.select(*keep, F.inline(F.array(F.struct(scaler.expr("x").alias("x")))))
 
-    @F.pandas_udf("iso double, svm double")
-    def score(x: pd.Series) -> pd.DataFrame:
-        forest, svm = model.value
-        X = np.vstack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, svm.W.shape[0]))
-        return pd.DataFrame({"iso": forest.score(X), "svm": svm.score(X)})
 
-    # Generate barrier: the vector is a plain column when the function is planned
-    vectors = featured.select(*keep, F.inline(F.array(F.struct(scaler.expr("x").alias("_v")))))
-    scored = vectors.select(*keep, score("_v").alias("_s"))
-    return scored.select(*keep, F.col("_s.iso").alias("iso"), F.col("_s.svm").alias("svm"))
+def raw_scores(featured: DataFrame, keep: list[str], scaler: Scaler, forest: Forest, svm: OneClassSVM) -> DataFrame:
+    """``keep`` columns of ``featured`` plus raw ``iso`` and ``svm`` scores of its vector ``x``."""
+    scored = products(forest.with_score(scaled_rows(featured, keep, scaler), "x", "iso"), svm, [*keep, "iso"], "_product")
+    return scored.select(*keep, "iso", (F.lit(svm.rho) - F.col("_product")).alias("svm"))
 
 
 @dataclass
@@ -121,27 +116,63 @@ class Detector:
     n_trees: int = 300
     max_samples: int = 256
     svm_features: int = 256
-    svm_rounds: int = 6
+    svm_rounds: int = 100
+    svm_tolerance: float = 0.01
     max_features: int = 50
     weights: tuple = (0.5, 0.5)
     exact_quantiles: bool = True
 
-    def fit_score(self, logs: DataFrame) -> tuple["DetectorModel", DataFrame]:
-        """Fit on ``logs`` and return the model with the materialised raw-scored table."""
+    def vector_stages(self, logs: DataFrame, stages: Stages, source: str):
+        """The vocabulary, the lines with their vectors, their number and the scaler; and what they depend on."""
+        made_from = [source, self.max_features]
+        v = stages.value("vocabulary", made_from, lambda: asdict(fit_vocabulary(logs, "message", self.max_features)))
+        vocab = Vocabulary(tuple(v["terms"]), tuple(v["idf"]), v["n_docs"])
+        featured = stages.table("features", made_from, lambda: with_feature_vector(logs, vocab))
+        dim = len(STRUCTURED) + max(vocab.size, 1)
+        made_from = [*made_from, self.exact_quantiles]
+
+        def fitted() -> dict:
+            n = featured.count()
+            if n == 0:
+                raise ValueError("there is no line to learn from")
+            return asdict(fit_scaler(featured, dim, self.exact_quantiles)) | {"n": n}
+
+        s = stages.value("scaler", made_from, fitted)
+        return vocab, featured, s["n"], Scaler(s["center"], s["scale"]), made_from
+
+    def isolation(self, logs: DataFrame, stages: Stages, source: str):
+        """The columns of ``logs``, the scaled vector ``x`` and the score ``iso`` of every line, as a written stage; with
+        the vocabulary, the scaler, the forest and what they depend on."""
+        vocab, featured, n, scaler, made_from = self.vector_stages(logs, stages, source)
+        made_from = [*made_from, self.n_trees, self.max_samples, self.seed]
+        rows = scaled_rows(featured, logs.columns, scaler)
+        psi, depth = forest_shape(n, self.max_samples)
+        nodes = stages.table("forest", made_from, lambda: fit_forest(
+            rows.select("line_no", "x"), n, n_trees=self.n_trees, max_samples=self.max_samples, seed=self.seed).to_frame(stages.spark))
+        forest = Forest.from_nodes(nodes.toPandas(), psi, depth)
+        table = stages.table("isolation", made_from, lambda: forest.with_score(rows, "x", "iso"))
+        return table, vocab, scaler, forest, made_from
+
+    def boundary(self, rows: DataFrame, dim: int, stages: Stages, made_from: list, keep: list[str]):
+        """The SVM of the written rows' vectors ``x``, and ``keep`` columns with the score ``svm`` of every row."""
+        made_from = [*made_from, self.contamination, self.svm_features, self.svm_rounds, self.svm_tolerance]
+        svm = OneClassSVM.from_dict(stages.value("weights", made_from, lambda: fit_weights(
+            rows, dim, scale_gamma(rows, dim), nu=self.contamination, n_features=self.svm_features, rounds=self.svm_rounds,
+            tolerance=self.svm_tolerance, seed=self.seed)[0].to_dict()))
+        table = stages.table("products", made_from, lambda: products(rows, svm, keep, "_product"))
+        svm.rho = stages.value("rho", made_from, lambda: {"rho": quantile(table, "_product", self.contamination)})["rho"]
+        return svm, table.select(*keep, (F.lit(svm.rho) - F.col("_product")).alias("svm"))
+
+    def fit_score(self, logs: DataFrame, stages: Stages | None = None, source: str | None = None) -> tuple["DetectorModel", DataFrame]:
+        """Fit on ``logs`` and return the model with the written raw-scored table.
+
+        ``source``: a fingerprint of ``logs``, by which stages are found again.
+        """
         validate_rate("fpr_target", self.fpr_target)
         validate_rate("contamination", self.contamination)
-        vocab = fit_vocabulary(logs, "message", self.max_features)
-        featured = materialize(with_feature_vector(logs, vocab), "features")
-        dim = len(STRUCTURED) + max(vocab.size, 1)
-        n = featured.count()
-        if n == 0:
-            raise ValueError("there is no line to learn from")
-        scaler = fit_scaler(featured, dim, self.exact_quantiles)
-        xs = featured.select("line_no", scaler.expr("x").alias("x"))
-        forest = fit_forest(xs, n, n_trees=self.n_trees, max_samples=self.max_samples, seed=self.seed)
-        svm = fit_ocsvm(xs, dim, scale_gamma(xs, dim), nu=self.contamination, n_features=self.svm_features,
-                        rounds=self.svm_rounds, seed=self.seed)
-        scored = materialize(raw_scores(featured, logs.columns, scaler, forest, svm), "raw-scores")
+        stages, source = stages or Stages(logs.sparkSession), source or uuid.uuid4().hex
+        isolated, vocab, scaler, forest, made_from = self.isolation(logs, stages, source)
+        svm, scored = self.boundary(isolated, len(scaler.center), stages, made_from, [*logs.columns, "iso"])
         b = scored.agg(F.min("iso").alias("ilo"), F.max("iso").alias("ihi"),
                        F.min("svm").alias("slo"), F.max("svm").alias("shi")).first()
         model = DetectorModel(self, vocab, scaler, forest, svm, (b["ilo"], b["ihi"]), (b["slo"], b["shi"]), 0.0, 0.0)

@@ -8,22 +8,26 @@ tree, and no row is collected.  With far more rows than all trees can use, a
 row is a candidate of one tree only, so the pass hashes each row once.  The
 forest is a node table of at most ``n_trees * (2 * psi - 1)`` rows.
 
-Scoring is distributed: every line walks every tree in a vectorised NumPy loop
-over Arrow batches; the score is ``2 ** (-mean path length / c(psi))`` in (0, 1),
-higher = more isolated.
+Scoring runs in the JVM: the node table is written in the folder layout of Spark's
+own tree ensembles, whose regression forest then averages the leaves' path
+lengths; a line never enters a Python worker.  The score is
+``2 ** (-mean path length / c(psi))`` in (0, 1), higher = more isolated.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import scratch_path, ship_package
 
 EULER = 0.5772156649
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, leaf double"
@@ -107,7 +111,12 @@ class Forest:
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         t, n = np.nonzero(np.ones_like(self.feature, dtype=bool))
-        keep = (self.feature[t, n] >= 0) | (self.leaf[t, n] > 0) | (n == 0)
+        known = np.zeros(self.feature.shape, dtype=bool)
+        known[:, 0] = True
+        inner = np.nonzero(self.feature >= 0)
+        for child in (self.left, self.right):
+            known[inner[0], child[inner]] = True
+        keep = known[t, n]
         pdf = pd.DataFrame({"tree": t[keep].astype(np.int32), "node": n[keep].astype(np.int32),
                             "feature": self.feature[t, n][keep], "threshold": self.threshold[t, n][keep],
                             "left": self.left[t, n][keep], "right": self.right[t, n][keep],
@@ -131,8 +140,48 @@ class Forest:
         return self.leaf[trees, node].mean(axis=1)
 
     def score(self, X: np.ndarray) -> np.ndarray:
-        c = float(c_factor([self.psi])[0]) or 1.0
-        return np.power(2.0, -self.path_lengths(X) / c)
+        return np.power(2.0, -self.path_lengths(X) / self.mean_path)
+
+    @property
+    def mean_path(self) -> float:
+        return float(c_factor([self.psi])[0]) or 1.0
+
+    def ensemble(self, spark: SparkSession) -> RandomForestRegressionModel:
+        """The forest as Spark's regression forest over vectors: its prediction is the mean path length.
+
+        Written in that model's own layout (one row a node, metadata as JSON) and loaded by Spark.
+        """
+        path = scratch_path(spark, "forest")
+        n_trees, kind = self.feature.shape[0], "org.apache.spark.ml.regression"
+
+        def described(name: str, uid: str, params: dict, **more) -> str:
+            return json.dumps({"class": f"{kind}.{name}", "timestamp": 0, "sparkVersion": spark.version, "uid": uid,
+                               "paramMap": {"impurity": "variance"} | params, "defaultParamMap": {"featuresCol": "features", "predictionCol": "prediction", "leafCol": ""}} | more)
+
+        head = described("RandomForestRegressionModel", "iforest", {"numTrees": n_trees}, numFeatures=int(self.feature.max(initial=0)) + 1, numTrees=n_trees)
+        spark.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{path}/metadata")
+        spark.createDataFrame([(t, described("DecisionTreeRegressionModel", f"itree{t}", {}), 1.0) for t in range(n_trees)],
+                              "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
+        nodes, inner = self.to_frame(spark), F.col("feature") >= 0
+
+        def child(c: str) -> Column:
+            return F.when(inner, F.col(c)).otherwise(-1)
+
+        split = F.struct(F.when(inner, F.col("feature")).otherwise(-1).alias("featureIndex"),
+                         F.when(inner, F.array("threshold")).otherwise(F.array().cast("array<double>")).alias("leftCategoriesOrThreshold"),
+                         F.lit(-1).alias("numCategories"))
+        data = F.struct(F.col("node").alias("id"), F.col("leaf").alias("prediction"), F.lit(0.0).alias("impurity"),
+                        F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("impurityStats"), F.lit(1).cast("long").alias("rawCount"),
+                        F.when(inner, 1.0).otherwise(-1.0).alias("gain"), child("left").alias("leftChild"),
+                        child("right").alias("rightChild"), split.alias("split"))
+        nodes.select(F.col("tree").alias("treeID"), data.alias("nodeData")).write.parquet(f"{path}/data")
+        return RandomForestRegressionModel.load(path)
+
+    def with_score(self, df: DataFrame, x: str, out: str) -> DataFrame:
+        """``df`` with the score of the array ``x`` as ``out``."""
+        model = self.ensemble(df.sparkSession).setFeaturesCol("_vector").setPredictionCol("_path")
+        walked = model.transform(df.withColumn("_vector", array_to_vector(x)))
+        return walked.withColumn(out, F.pow(F.lit(2.0), -F.col("_path") / F.lit(self.mean_path))).drop("_vector", "_path")
 
 
 def tree_samples(xs: DataFrame, n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
@@ -150,13 +199,18 @@ def tree_samples(xs: DataFrame, n: int, n_trees: int, psi: int, seed: int) -> Da
             .where(F.col("h") <= F.lit(limit)))
 
 
+def forest_shape(n: int, max_samples: int) -> tuple[int, int]:
+    """Rows of a tree's sample, and the greatest depth of a node."""
+    psi = min(max_samples, n)
+    return psi, max(int(math.ceil(math.log2(max(psi, 2)))), 1)
+
+
 def fit_forest(xs: DataFrame, n: int, *, n_trees: int = 300, max_samples: int = 256, seed: int = 42) -> Forest:
     """A forest over all ``n`` rows (line_no, x) of ``xs``."""
     ship_package(xs.sparkSession)
     if n <= 0:
         raise ValueError("no line to learn from")
-    psi = min(max_samples, n)
-    max_depth = max(int(math.ceil(math.log2(max(psi, 2)))), 1)
+    psi, max_depth = forest_shape(n, max_samples)
     nodes = (tree_samples(xs, n, n_trees, psi, seed).groupBy("tree")
              .applyInPandas(_tree_builder(psi, max_depth, seed), NODE_SCHEMA).toPandas())
     return Forest.from_nodes(nodes, psi, max_depth)

@@ -4,15 +4,24 @@ The RBF kernel ``exp(-gamma * |x - y|^2)`` is approximated by
 ``z(x) = sqrt(2 / D) * cos(x W + b)`` with ``W ~ N(0, 2 gamma)`` and
 ``b ~ U(0, 2 pi)`` (Rahimi & Recht, 2007).  The one-class problem is then linear:
 minimise ``1/2 |w|^2 - rho + 1/(nu n) * sum max(0, rho - w.z_i)`` (Schoelkopf et
-al., 2001).  It is solved on all rows by parallel stochastic subgradients with
-averaging (Zinkevich et al., 2010): in a round each partition takes steps over its
-own rows in batches, starting from the common weights, and the partitions'
-averaged weights, weighted by their rows, are the next common weights.  A round
-is one pass whose result is one row of ``D + 2`` numbers per partition, summed by
-Spark; no row is collected.  ``gamma = 1 / (d * var(X))`` uses the variance of all
-cells of the full scaled matrix.  The raw anomaly score of a line is
-``rho - w.z(x)`` (higher = further outside); the exact kernel solver is quadratic
-in the number of lines and is not used.
+al., 2001).  With the best rho for given weights it is ``1/2 |w|^2`` less the mean of
+the lowest nu-share of the products ``w.z_i``, and its dual is the point of least
+norm among all means of the z_i with no weight over ``1 / (nu n)``.
+
+That point is found by fully corrective steps.  A round is one pass over all rows: it
+adds up, in ``BINS`` bins of the products, the z and their number; the lowest
+nu-share of the rows (with the same share of every row in the bin where it ends) gives
+the next corner, and the point of least norm of all corners the next weights.  The
+bins of a round span the bin that held the last quantile, widened by what the change
+of the weights can move a product, so the quantile is always inside.  The
+sums bound the distance of the objective to its best value; rounds end when that
+is at most ``tolerance`` of it.  rho is the exact nu-quantile of the products.
+
+The sums don't depend on how the rows are split (but for rounding), so neither does the
+model.  A round sends ``BINS + 2`` rows of ``D + 1`` numbers per task, which are added up in
+two levels if there are many tasks.  ``gamma = 1 / (d * var(X))`` uses the variance of all cells of the full
+scaled matrix.  The raw anomaly score of a line is ``rho - w.z(x)`` (higher = further
+outside); the exact kernel solver is quadratic in the number of lines and is not used.
 """
 
 from __future__ import annotations
@@ -21,10 +30,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialize, ship_package
+from .stats import quantile
+
+BINS, SALTS = 32, 32
+FEW_TASKS = 64          # sums of more tasks are added up in two levels before they reach the driver
 
 
 @dataclass
@@ -52,58 +66,145 @@ class OneClassSVM:
 
 
 def scale_gamma(xs: DataFrame, dim: int) -> float:
-    """gamma = 1 / (d * population variance of every cell of X)."""
-    r = xs.select(F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("s"),
-                  F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("s2"),
-                  F.size("x").alias("k")).agg(F.sum("s").alias("s"), F.sum("s2").alias("s2"),
-                                              F.sum("k").alias("k")).first()
-    k = float(r["k"] or 0)
-    if k == 0:
+    """gamma = 1 / (d * population variance of every cell of X), from the columns' means and variances."""
+    r = xs.agg(F.count("x").alias("n"), *[f(F.col("x")[j]).alias(f"{k}{j}") for j in range(dim) for k, f in (("m", F.avg), ("v", F.var_pop))]).first()
+    if not r["n"]:
         return 1.0
-    mean = r["s"] / k
-    var = max(r["s2"] / k - mean * mean, 0.0)
+    means = np.array([r[f"m{j}"] for j in range(dim)])
+    var = float(np.mean([r[f"v{j}"] for j in range(dim)]) + np.mean((means - means.mean()) ** 2))
     return 1.0 / (dim * var) if var > 0 else 1.0
 
 
-def _round(model: OneClassSVM, nu: float, done: int, batch_rows: int):
-    """One partition's steps: (i, s) rows of the n-weighted averaged weights, rho (at D) and n (at D + 1)."""
+def _matrix(column, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+
+
+def _binned(model: OneClassSVM, edges: np.ndarray):
+    """Rows (bin, salt, sums): in each bin of the products the sum of z and the number of rows, per task."""
     def run(batches):
-        w, rho, t = model.w.copy(), model.rho, 0
-        total, total_rho, rows = np.zeros_like(w), 0.0, 0
-        for pdf in batches:
-            X = np.vstack(pdf["x"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, model.W.shape[0]))
-            for at in range(0, len(X), batch_rows):
-                Z = model.features(X[at: at + batch_rows])
-                eta = 1.0 / (done + t + 1)      # the problem is 1-strongly convex in w
-                s = Z @ w
-                # for given weights the best rho is the nu-quantile of the products
-                rho = rho + eta * (float(np.quantile(s, nu)) - rho)
-                w = w - eta * (w - Z[s < rho].sum(axis=0) / (nu * len(Z))) if done else w + eta * (Z.mean(axis=0) - w)
-                t += 1
-                total += w * len(Z)
-                total_rho += rho * len(Z)
-                rows += len(Z)
-        yield pd.DataFrame({"i": np.arange(len(w) + 2, dtype=np.int32), "s": np.concatenate([total, [total_rho, rows]])})
+        dim, D = model.W.shape
+        sums, seen = np.zeros((len(edges) + 1, D + 1)), 0.0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                Z = model.features(_matrix(batch.column(0).slice(at, 4096), dim))
+                place = np.searchsorted(edges, Z @ model.w, side="right")
+                own = np.zeros((len(edges) + 1, len(Z)))
+                own[place, np.arange(len(Z))] = 1.0
+                sums[:, :D] += own @ Z
+                sums[:, D] += own.sum(axis=1)
+                seen += float(np.abs(Z[:, 0]).sum())
+        salt = int(seen * 1e6) % SALTS      # spreads the tasks
+        full = np.flatnonzero(sums[:, D])
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), salt, np.int32)),
+                                          pa.array([sums[i].tobytes() for i in full], pa.binary())], names=["bin", "salt", "sums"])
     return run
 
 
-def fit_ocsvm(xs: DataFrame, dim: int, gamma: float, *, nu: float = 0.05, n_features: int = 256,
-              rounds: int = 6, batch_rows: int = 128, seed: int = 42) -> OneClassSVM:
-    """Fit on all rows of ``xs`` (column x, ``dim`` numbers)."""
+def _add(keys: list[str]):
+    def run(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("sums"))
+        return pa.table({c: table.column(c).slice(0, 1) for c in keys} | {"sums": pa.array([total.tobytes()], pa.binary())})
+    return run
+
+
+def _round(rows: DataFrame, tasks: int, model: OneClassSVM, edges: np.ndarray) -> np.ndarray:
+    """The bins' sums of z and counts over all rows: (len(edges) + 1, D + 1)."""
+    found = rows.mapInArrow(_binned(model, edges), "bin int, salt int, sums binary")
+    if tasks > FEW_TASKS:
+        found = (found.groupBy("bin", "salt").applyInArrow(_add(["bin", "salt"]), "bin int, salt int, sums binary")
+                 .groupBy("bin").applyInArrow(_add(["bin"]), "bin int, sums binary"))
+    out = np.zeros((len(edges) + 1, len(model.b) + 1))
+    for r in found.collect():       # at most a row a bin, of each of few tasks
+        out[r["bin"]] += np.frombuffer(r["sums"], np.float64)
+    return out
+
+
+def least_norm(gram: np.ndarray) -> np.ndarray:
+    """The weights (at least 0, sum 1) of the point of least norm in the hull of points with these products (Wolfe, 1976)."""
+    own, weight = [int(np.argmin(np.diag(gram)))], np.ones(1)
+    while True:
+        product = gram[:, own] @ weight
+        norm, j = float(weight @ product[own]), int(np.argmin(product))
+        if j in own or norm - product[j] <= 1e-12 * norm:
+            break
+        own, weight = own + [j], np.append(weight, 0.0)
+        while True:
+            k = len(own)
+            system = np.ones((k + 1, k + 1))
+            system[:k, :k], system[k, k] = gram[np.ix_(own, own)], 0.0
+            flat = np.linalg.lstsq(system, np.append(np.zeros(k), 1.0), rcond=None)[0][:k]
+            low = flat <= 1e-12
+            if not low.any():
+                weight = flat
+                break
+            step = min(1.0, float(np.min(weight[low] / np.maximum(weight[low] - flat[low], 1e-300))))
+            weight = weight + step * (flat - weight)
+            keep = weight > 1e-12
+            own, weight = [o for o, x in zip(own, keep) if x], weight[keep] / weight[keep].sum()
+    out = np.zeros(len(gram))
+    out[own] = weight
+    return out
+
+
+def products(xs: DataFrame, model: OneClassSVM, keep: list[str], out: str = "product", x: str = "x") -> DataFrame:
+    """``keep`` columns and the product ``w.z(x)`` of every row."""
+    ship_package(xs.sparkSession)
+    sent = xs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def product(x: pd.Series) -> pd.Series:
+        m = sent.value
+        return pd.Series(m.features(np.vstack(x.to_numpy()).astype(float)) @ m.w if len(x) else np.zeros(0))
+
+    return xs.select(*keep, product(x).alias(out))
+
+
+def fit_weights(xs: DataFrame, dim: int, gamma: float, *, nu: float = 0.05, n_features: int = 256,
+                rounds: int = 100, tolerance: float = 0.01, seed: int = 42) -> tuple[OneClassSVM, float]:
+    """The model without its rho, and the objective's distance to its best value as a share of that, from all rows of
+    ``xs`` (column x, ``dim`` numbers)."""
     ship_package(xs.sparkSession)
     rng = np.random.default_rng([seed, 7919])
     W = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dim, n_features))
     b = rng.uniform(0.0, 2.0 * np.pi, size=n_features)
-    model, done = OneClassSVM(W, b, np.zeros(n_features), 0.0, gamma), 0
-    rows = xs.select("x")
+    model, gap, rows = OneClassSVM(W, b, np.zeros(n_features), 0.0, gamma), 0.0, xs.select("x")
+    tasks = rows.rdd.getNumPartitions()
+    n, corners, low, high, moved = 0.0, [], 0.0, 0.0, 0.0
     for _ in range(rounds):
-        sums = np.zeros(n_features + 2)
-        for r in (rows.mapInPandas(_round(model, nu, done, batch_rows), "i int, s double")
-                  .groupBy("i").agg(F.sum("s").alias("s")).collect()):
-            sums[r["i"]] = r["s"]
-        n = sums[-1]
-        if n == 0:
-            break
-        model = OneClassSVM(W, b, sums[:-2] / n, float(sums[-2] / n), gamma)
-        done += 16      # the first round finds the mean; later ones start from small steps
-    return model
+        reach = np.sqrt(2.0) * moved        # |z| is at most the root of two
+        edges = np.linspace(low - reach - 1e-12, high + reach + 1e-12, BINS + 1) if corners else np.zeros(0)
+        sums = _round(rows, tasks, model, edges)
+        if not corners:                     # the mean of all rows is the first corner
+            n = float(sums[:, -1].sum())
+            if n == 0:
+                return model, 0.0
+            corners = [sums[:, :-1].sum(axis=0) / n]
+            low, high = -np.sqrt(2.0) * np.linalg.norm(corners[0]), np.sqrt(2.0) * np.linalg.norm(corners[0])
+        else:
+            upto = np.cumsum(sums[:, -1])
+            at = int(np.searchsorted(upto, nu * n, side="left"))
+            below = upto[at] - sums[at, -1]
+            corner = (sums[:at, :-1].sum(axis=0) + sums[at, :-1] * (nu * n - below) / sums[at, -1]) / (nu * n)
+            low, high = edges[max(at - 1, 0)], edges[min(at, BINS)]
+            # the mean of the lowest share is at least this: its last bin at the bin's lower end
+            least = (float(sums[:at, :-1].sum(axis=0) @ model.w) + (nu * n - below) * low) / (nu * n)
+            half = 0.5 * float(model.w @ model.w)
+            gap = max(2 * half - least, 0.0) / half if half > 0 else 0.0
+            if gap <= tolerance:
+                break
+            corners.append(corner)
+        points = np.array(corners)
+        new = least_norm(points @ points.T) @ points
+        moved = float(np.linalg.norm(new - model.w))
+        if len(corners) > 1 and moved <= 1e-12:
+            break                           # the bins' width is all that is left of the gap
+        moved = moved if len(corners) > 1 else 0.0
+        model = OneClassSVM(W, b, new, 0.0, gamma)
+    return model, gap
+
+
+def fit_ocsvm(xs: DataFrame, dim: int, gamma: float, *, nu: float = 0.05, **options) -> OneClassSVM:
+    """Fit on all rows of ``xs`` (column x, ``dim`` numbers)."""
+    model, _ = fit_weights(xs, dim, gamma, nu=nu, **options)
+    rho = quantile(materialize(products(xs, model, []), "products"), "product", nu)
+    return OneClassSVM(model.W, model.b, model.w, rho or 0.0, gamma)

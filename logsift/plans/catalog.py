@@ -25,7 +25,8 @@ from ..sources.ingest import ingest, list_files
 from ..sources.sinks import write_csv
 from ..sources.sniff import sniff
 from ..sources.text import nonblank_lines, number_rows, read_lines
-from ..session import scratch_path
+from ..session import materialize, scratch_path
+from ..stages import Stages
 from . import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -354,15 +355,19 @@ def _fx3_logs(spark, sf):
 @query("iforest_score")
 def iforest_score(spark, sf):
     from ..operators.detect import Detector
-    model, raw = Detector().fit_score(_fx3_logs(spark, sf))
-    return raw.select("line_no", F.round("iso", 6).alias("iso_score"))
+    isolated, *_ = Detector().isolation(_fx3_logs(spark, sf), Stages(spark), sf)
+    return isolated.select("line_no", F.round("iso", 6).alias("iso_score"))
 
 
 @query("ocsvm_score")
 def ocsvm_score(spark, sf):
-    from ..operators.detect import Detector
-    model, raw = Detector().fit_score(_fx3_logs(spark, sf))
-    return raw.select("line_no", F.round("svm", 6).alias("svm_score"))
+    from ..operators.detect import Detector, scaled_rows
+    d, stages = Detector(), Stages(spark)
+    logs = _fx3_logs(spark, sf)
+    _, featured, _, scaler, made_from = d.vector_stages(logs, stages, sf)
+    rows = stages.table("scaled", made_from, lambda: scaled_rows(featured, ["line_no"], scaler))
+    _, scored = d.boundary(rows, len(scaler.center), stages, made_from, ["line_no"])
+    return scored.select("line_no", F.round("svm", 6).alias("svm_score"))
 
 
 @query("detect_pipeline")
@@ -370,3 +375,78 @@ def detect_pipeline(spark, sf):
     from .pipeline import run
     path = written(spark, sf, "fx1")
     return run(spark, path).table.select("line_no", "level", "message", "anomaly_score", "is_anomaly")
+
+
+# --- given models: every line's scores under a model that is stated by rule, which DuckDB can follow -------------------
+
+TREES, DEPTH, DRAWS = 12, 4, 16     # of the stated models
+_GIVEN = STRUCTURED                 # their features: the structured ones, scaled
+
+
+def given_forest():
+    """A forest of full trees: feature and threshold of an inner node, and a leaf's path length, by rule."""
+    import pandas as pd
+
+    from ..operators.iforest import Forest
+    rows = []
+    for t in range(TREES):
+        for node in range(2 ** (DEPTH + 1) - 1):        # children of node k are 2k + 1 and 2k + 2
+            inner = node < 2 ** DEPTH - 1
+            rows.append((t, node, (t * 3 + node * 5) % 7 if inner else -1, ((t * 5 + node * 3) % 9 - 3) / 4.0 if inner else 0.0,
+                         2 * node + 1 if inner else -1, 2 * node + 2 if inner else -1,
+                         0.0 if inner else DEPTH + ((t + node) % 5) / 2.0))
+    return Forest.from_nodes(pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "leaf"]), 256, DEPTH)
+
+
+def given_boundary(gamma: float):
+    """An SVM without its rho: draws of the kernel's features and weights by rule."""
+    import numpy as np
+
+    from ..operators.ocsvm import OneClassSVM
+    i, j = np.arange(len(_GIVEN))[:, None], np.arange(DRAWS)
+    W = np.sqrt(2.0 * gamma) * (((i * 31 + j * 17) % 13 - 6) / 4.0)
+    return OneClassSVM(W, 2.0 * np.pi * ((j * 7) % 13) / 13.0, ((j * 5) % 7 - 2) / 10.0, 0.0, gamma)
+
+
+def given_rows(spark, sf):
+    """The lines with their scaled features ``x``, written; the SVM's gamma comes from them."""
+    from ..operators.detect import Scaler
+    feats = with_structured_features(_fx3_logs(spark, sf)).select("line_no", *_GIVEN)
+    found = quantiles(feats, _GIVEN, [0.25, 0.5, 0.75])
+    scaler = Scaler([found[c][1] for c in _GIVEN], [(found[c][2] - found[c][0]) or 1.0 for c in _GIVEN])
+    rows = feats.select("line_no", F.array(*_GIVEN).alias("x"))
+    return materialize(rows.select("line_no", scaler.expr("x").alias("x")), "given")
+
+
+def given_model(spark, sf):
+    """The raw scores of every line under the stated models, and the SVM's rho as the exact 0.05-quantile."""
+    from ..operators.ocsvm import products, scale_gamma
+    rows = given_rows(spark, sf)
+    svm = given_boundary(scale_gamma(rows, len(_GIVEN)))
+    raw = products(given_forest().with_score(rows, "x", "iso"), svm, ["line_no", "iso"])
+    # (the last bits of a product depend on the rows that share its batch)
+    raw = materialize(raw.withColumn("product", F.round("product", 9)), "given-scores")
+    rho = quantiles(raw, ["product"], [0.05])["product"][0]
+    return raw.select("line_no", "iso", (F.lit(rho) - F.col("product")).alias("svm")), svm, rho
+
+
+@query("forest_walk")
+def forest_walk(spark, sf):
+    walked = given_forest().with_score(given_rows(spark, sf), "x", "iso")
+    return walked.select("line_no", F.round("iso", 6).alias("iso_score"))
+
+
+@query("svm_products")
+def svm_products(spark, sf):
+    raw, svm, rho = given_model(spark, sf)
+    return raw.select("line_no", F.round("svm", 6).alias("svm_score"), (F.col("svm") > 0).cast("int").alias("outside"),
+                      F.lit(round(svm.gamma, 6)).alias("gamma"), F.lit(round(rho, 6)).alias("rho"))
+
+
+@query("ensemble_labels")
+def ensemble_labels(spark, sf):
+    from ..operators.detect import Detector, DetectorModel, flag_threshold
+    raw, svm, _ = given_model(spark, sf)
+    model = DetectorModel(Detector(), None, None, None, svm, min_max(raw, "iso"), min_max(raw, "svm"), 0.0, 0.0)
+    model.threshold, model.max_score = flag_threshold(model.ensemble(raw), "score", 0.05)
+    return model.label(raw).select("line_no", "anomaly_score", "is_anomaly", F.lit(round(model.threshold, 6)).alias("threshold"))

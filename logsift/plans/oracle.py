@@ -418,6 +418,8 @@ SELECT line_no, anomaly_score, substring(coalesce(message, ''), 1, 80) AS previe
   CASE WHEN x = '' THEN {q(BLANK)} ELSE upper(substring(x, 1, 30))||' ('||length(x)||' chars)' END
     AS explanation FROM a"""
 
+    S |= _given_model_sql()
+
     tags = ", ".join(f"CASE WHEN regexp_matches(message, {q(p)}) THEN '{n}' END" for n, p in FAILURE_TAGS.items())
     S["failure_tags"] = with_(EV, FX1, syslog_cte()) + f"""SELECT line_no, tags FROM (
   SELECT line_no, concat_ws(',', {tags}) AS tags FROM sys) WHERE tags <> ''"""
@@ -444,3 +446,32 @@ SELECT row_number() OVER (ORDER BY key) AS line_no, line AS raw_line,
   CASE src WHEN 'ap' THEN '10.0.0.'||(page_id%256) END AS client_ip,
   CASE src WHEN 'sys' THEN event_type||'_service' END AS component
 FROM m"""
+
+
+def _given_model_sql() -> dict[str, str]:
+    """Scores and labels of the models that are stated by rule: forest walk, kernel features, bounds and threshold."""
+    cells = ", ".join(f"({c} - quantile_cont({c}, 0.5) OVER ()) / coalesce(nullif(quantile_cont({c}, 0.75) OVER () "
+                      f"- quantile_cont({c}, 0.25) OVER (), 0), 1.0)" for c in STRUCTURED)
+    walk = "SELECT line_no, t, x, 0 AS node FROM x, range(12) r(t)"
+    for _ in range(4):
+        walk = (f"SELECT line_no, t, x, 2 * node + CASE WHEN x[(t * 3 + node * 5) % 7 + 1] <= ((t * 5 + node * 3) % 9 - 3) / 4.0 "
+                f"THEN 1 ELSE 2 END AS node FROM ({walk})")
+    base = with_(EV, FX3, features_cte()) + f""", x AS (SELECT line_no, [{cells}] AS x FROM feat),
+iso AS (SELECT line_no, pow(2.0, -avg(4 + ((t + node) % 5) / 2.0) / (2 * (ln(255.0) + 0.5772156649) - 2 * 255.0 / 256)) AS iso
+  FROM ({walk}) GROUP BY line_no)"""
+    turned = " + ".join(f"x[{i + 1}] * sqrt(2 * gamma) * (({i} * 31 + j * 17) % 13 - 6) / 4.0" for i in range(7))
+    raw = base + f""", g AS (SELECT 1 / (7 * var_pop(v)) AS gamma FROM (SELECT unnest(x) AS v FROM x)),
+s AS (SELECT line_no, round(sum(((j * 5) % 7 - 2) / 10.0 * sqrt(2 / 16.0) * cos({turned} + 2 * pi() * ((j * 7) % 13) / 13.0)), 9) AS s
+  FROM x, g, range(16) r(j) GROUP BY line_no),
+rho AS (SELECT quantile_cont(s, 0.05) AS rho FROM s),
+raw AS (SELECT line_no, iso, rho - s AS svm, gamma, rho FROM iso JOIN s USING (line_no), g, rho)"""
+    return {
+        "forest_walk": base + " SELECT line_no, round(iso, 6) AS iso_score FROM iso",
+        "svm_products": raw + """ SELECT line_no, round(svm, 6) AS svm_score, cast(svm > 0 AS INTEGER) AS outside,
+  round(gamma, 6) AS gamma, round(rho, 6) AS rho FROM raw""",
+        "ensemble_labels": raw + """, e AS (SELECT line_no,
+  0.5 * ((iso - min(iso) OVER ()) / (max(iso) OVER () - min(iso) OVER ())) + 0.5 * ((svm - min(svm) OVER ()) / (max(svm) OVER () - min(svm) OVER ())) AS score
+  FROM raw),
+t AS (SELECT CASE WHEN quantile_cont(score, 0.95) = max(score) THEN quantile_cont(score, 0.9) ELSE quantile_cont(score, 0.95) END AS threshold FROM e)
+SELECT line_no, round_even(score, 4) AS anomaly_score, cast(score >= threshold AS INTEGER) AS is_anomaly, round(threshold, 6) AS threshold FROM e, t""",
+    }
