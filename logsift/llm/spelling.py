@@ -41,6 +41,7 @@ from ..session import materialize, ship_package
 
 LETTERS, OCCURRENCES, TIMES, EVERY = 7, 2, 10, 31
 RANGE_CHARS = 2_000_000         # letters of a range of sorted words
+PAIR_LETTERS = 50_000           # letters whose pairs are made together
 _SHIFT = 40                     # a node or word is numbered by its range and a number within it
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,27 +121,32 @@ def trie_nodes(table: DataFrame, column: str, out: str) -> DataFrame:
     return ranged.groupBy("range").applyInArrow(number, f"{fields}, {out}_id long, {out} array<long>")
 
 
-def node_pairs(word: str, prefix: np.ndarray, suffix: np.ndarray):
-    """Prefix nodes, suffix nodes and kinds of a word's pairs: 0 at a border, 1 over a letter, 2 over one that repeats
-    the letter before.  ``suffix``: nodes of the reversed word."""
-    n = len(word)
-    letters = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-    kinds = np.zeros(2 * n + 1, np.int8)
-    kinds[n + 1:] = 1
-    kinds[n + 2:] += letters[1:] == letters[:-1]
-    return np.concatenate([prefix, prefix[:-1]]), np.concatenate([suffix[::-1], suffix[-2::-1]]), kinds
+def node_pairs(words: list[str], prefix: np.ndarray, suffix: np.ndarray):
+    """Prefix nodes, suffix nodes, kinds and words' places of the words' pairs: 0 at a border, 1 over a letter, 2 over one
+    that repeats the letter before.  ``prefix`` and ``suffix``: the nodes of all words, and of all reversed words, in a row."""
+    n = np.array([len(w) for w in words])
+    word = np.repeat(np.arange(len(n)), n + 1)
+    first = np.cumsum(n + 1) - (n + 1)
+    depth = np.arange(len(word)) - first[word]
+    ends = (first + n)[word]
+    over = depth < n[word]              # the letter after this border
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    repeats = np.concatenate([[False], letters[1:] == letters[:-1]])[: len(letters)] & (depth[over] > 0)
+    return (np.concatenate([prefix, prefix[over]]), np.concatenate([suffix[ends - depth], suffix[(ends - depth)[over] - 1]]),
+            np.concatenate([np.zeros(len(word), np.int8), 1 + repeats.astype(np.int8)]), np.concatenate([word, word[over]]))
 
 
 def _pairs(batches):
     """(word_id, n, word, prefix, suffix) to (p, s, kind, word_id, n)."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            word_id, n, word, prefix, suffix = (batch.column(i)[row] for i in range(5))
-            p, s, kinds = node_pairs(word.as_py(), prefix.values.to_numpy(), suffix.values.to_numpy())
-            size = len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(p), pa.array(s), pa.array(kinds), pa.array(np.full(size, word_id.as_py())), pa.array(np.full(size, n.as_py()))],
-                names=["p", "s", "kind", "word_id", "n"])
+        words = batch.column(2).to_pylist()
+        chunk = np.cumsum([len(w) for w in words]) // PAIR_LETTERS       # (a word over the limit is a chunk with those before it)
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(words)] if words else [0]
+        for at, end in zip(cuts, cuts[1:]):
+            part = batch.slice(at, end - at)
+            p, s, kinds, word = node_pairs(words[at:end], part.column(3).flatten().to_numpy(), part.column(4).flatten().to_numpy())
+            word_id, n = (part.column(i).to_numpy()[word] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p, s, kinds, word_id, n)], names=["p", "s", "kind", "word_id", "n"])
 
 
 def near_words(numbered: DataFrame) -> DataFrame:
