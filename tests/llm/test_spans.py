@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 
@@ -87,6 +88,36 @@ def test_added_spans_of_kinds_without_base_spans(docs_of):
     assert [out[900 + i] for i in range(4)] == PLAIN_TEXTS
 
 
+def test_many_matches_in_one_text(spark):
+    """200,000 number groups: base spans equal to plain regexes, in linear time, and a redaction of the whole."""
+    rng = random.Random(4)
+    shapes = ("+1 (800) 555-18%d", "4111 1111 1111 1111", "192.168.%d.7", "%d.5", "a%d@b.com", "2024-01-%d 12", "(988) 555-24%d")
+    text = " ".join(rng.choice(shapes).replace("%d", str(rng.randint(10, 99))) for _ in range(120_000))
+    assert len(re.findall("[0-9]+", text)) > 200_000
+    start = time.time()
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.analysed(df).collect()[0]
+    assert time.time() - start < 60
+    for kind, p in PII.items():
+        want = [(m.start(), m.end()) for m in re.finditer(p, text) if fits(kind, m.group())]
+        assert [(x.s, x.e) for x in row[f"base_{kind}"]] == want
+    out = pii.redacted(df).collect()[0].text
+    assert not re.search(PII["email"], out) and out.count("[EMAIL]") == len(row.base_email)
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rows = [(1, "+1 (800) 192.168.1.11 x 1.1.1.1@2.2 é a@b.cd"), (2, "a@b.cd"), (3, "é 4111 1111 1111 1111 1.2.3.4\U0001f600")]
+    out = {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        spans = sorted((m.start(), -m.end(), k) for k, p in PII.items() for m in re.finditer(p, t) if fits(k, m.group()))
+        want, at = "", 0
+        for a, b, k in spans:
+            if a >= at:
+                want += t[at:a] + f"[{k.upper()}]"
+            at = max(at, -b)
+        assert out[i] == want + t[at:]
+
+
 def test_personal_data_of_nothing(docs_of):
     assert pii.personal_data(docs_of([])).count() == 0
     assert [r.spans for r in pii.digest(pii.personal_data(docs_of([(1, "plain words only")]))).collect()] == [""]
