@@ -9,7 +9,7 @@ document's component of the link graph, named by its smallest doc_id.
    HyperMinHash sketch: in each of 72 buckets the smallest hash as its
    leading-zero count plus ten mantissa bits (16 bits).  Empty buckets of short
    texts borrow from others by a fixed random probing order.
-2. Equal sets are one class, named by its smallest doc_id: copies never meet
+2. Equal sets are one class, for which one row stands: copies never meet
    in pairs.
 3. 24 bands of three registers are the buckets of the candidate search
    (at a similarity of 0.75 all bands miss with probability 2e-6; 2e-5 for
@@ -29,10 +29,15 @@ document's component of the link graph, named by its smallest doc_id.
    on the full shingle sets.
 6. Components: alternating large-star and small-star steps on the verified links.
 
+Inside, a row is a node of its own, numbered when the sketches are written; so rows that
+share a doc_id but not the text keep the links of each, and rows without one keep theirs.
+A component is named by the smallest doc_id of its rows.
+
 Defined results: a null or blank text has an empty set, n_shingles 0, and is
-its own component; repeated rows are one document of its text's class;
-a null doc_id keeps its row, is never a component's name and has kept = false.
-Other columns of the input are ignored.
+its own component; repeated rows are alike; a null doc_id keeps its row, takes its
+component's name from the linked rows, and has kept = false (component_id is null
+if no linked row has an id).  ``keep_one`` keeps one row of each component, also of
+those without ids.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -94,14 +99,14 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix64(key ^ (np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(48))).view(np.int64)
 
 
-_SKETCH = "id long, n_shingles long, k1 long, k2 long, regs binary, bands array<long>"
+_SKETCH = "doc long, text_hash long, n_shingles long, k1 long, k2 long, regs binary, bands array<long>"
 
 
 def _sketch(batches):
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
+    schema = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
                         ("regs", pa.binary()), ("bands", pa.list_(pa.int64()))])
     for batch in batches:
-        for at, end, data, offsets in text_chunks(batch.column(1)):
+        for at, end, data, offsets in text_chunks(batch.column(2)):
             n, k1, k2, regs, bands = [], [], [], [], []
             for s in shingle_sets(data, offsets):
                 n.append(len(s))
@@ -114,7 +119,7 @@ def _sketch(batches):
                 regs.append(r.tobytes())
                 bands.append(band_keys(r))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, end - at).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
+                [*(batch.column(i).slice(at, end - at) for i in (0, 1)), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
                  pa.array(k2, pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 schema=schema)
 
@@ -210,25 +215,39 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``df``: doc_id, n_shingles, class_id, component_id, kept (see the module's docstring)."""
+_KEYS = ["without_id", "key", "text_hash"]      # of a row: two rows that share them share their text
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    doc, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return df.select(*more, doc.alias("doc"), doc.isNull().alias("without_id"), F.coalesce(doc, F.lit(0)).alias("key"),
+                     F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def analysed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``df``: id (a row number), doc, text_hash, n_shingles, class_id, component_id and stays (this row is the
+    one of its component that stays)."""
     spark = df.sparkSession
     ship_package(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = materialize(docs.mapInArrow(_sketch, _SKETCH), "sketch")
-    # copies: one class for each set, named by its smallest id
-    classes = sketch.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    member = materialize(sketch.select("id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
-                         .select("id", "n_shingles", "rep"), "members")
-    reps = (sketch.join(member.where("id = rep").select("id").distinct(), "id", "left_semi")
-            .select("id", "n_shingles", "regs", "bands").dropDuplicates(["id"]))
-    reps = materialize(reps, "classes")
+    docs = _keyed(df, id_col, text_col)
+    sketch = materialize(docs.select("doc", "text_hash", "text").mapInArrow(_sketch, _SKETCH)
+                         .withColumn("id", F.monotonically_increasing_id()), "sketch")
+    # copies: one class for each set, with a row that stands for it, its smallest doc_id and a row with that
+    first = lambda row, doc: F.coalesce(F.min_by(row, doc), F.min(row))
+    classes = sketch.where("n_shingles > 0").groupBy("k1", "k2").agg(
+        F.min("id").alias("rep"), F.min("doc").alias("class_id"), first("id", "doc").alias("stay"))
+    member = materialize(sketch.select("id", "doc", "text_hash", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+                         .drop("k1", "k2"), "members")
+    standing = member.where("id = rep").select("id", "class_id", "stay")
+    reps = materialize(sketch.join(standing.select("id"), "id", "left_semi")
+                       .select("id", "doc", "text_hash", "n_shingles", "regs", "bands"), "classes")
     banded = reps.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     buckets = materialize(banded.join(shared.select("band"), "band"), "buckets")
-    wanted = buckets.select("id").distinct()
-    sets = materialize(docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-                       .mapInArrow(_sets, "id long, shingles binary"), "sets")
+    wanted = (reps.join(buckets.select("id").distinct(), "id", "left_semi")
+              .select("id", F.col("doc").isNull().alias("without_id"), F.coalesce("doc", F.lit(0)).alias("key"), "text_hash"))
+    sets = materialize(docs.select(*_KEYS, "text").join(wanted.hint("shuffle_hash"), _KEYS).dropDuplicates(_KEYS)
+                       .select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "sets")
     sketches = reps.select("id", "n_shingles", "regs")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -276,14 +295,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = verified(rest.select(F.col("id").alias("a"), F.col("id2").alias("b"))).where("linked")
     # the components so far stand for the links that made them
     comp = components(more.select("a", "b").union(comp.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-    named_ = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    return named_.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("rep", "id").alias("class_id"),
-                         component.alias("component_id"),
-                         F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    # a component's name and the row that stays, from its classes
+    whole = comp.unionByName(comp.select(F.col("component").alias("id"), "component").distinct())     # with its smallest node
+    linked = whole.join(standing, "id")
+    named = linked.groupBy("component").agg(F.min("class_id").alias("component_id"), first("stay", "class_id").alias("stays"))
+    named = linked.select(F.col("id").alias("rep"), "component").join(named, "component").drop("component")
+    return member.join(named, "rep", "left").select(
+        "id", "doc", "text_hash", "n_shingles", F.coalesce("class_id", "doc").alias("class_id"),
+        F.coalesce("component_id", "class_id", "doc").alias("component_id"),
+        (F.col("id") == F.coalesce("stays", "stay", "id")).alias("stays"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``df``: id, n_shingles, component_id, kept, class_id (see the module's docstring)."""
+    return analysed(df, id_col, text_col).select(
+        F.col("doc").alias(id_col), "n_shingles", "component_id",
+        F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)).alias("kept"), "class_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are the kept document of their component (one row, if a doc_id is repeated)."""
-    kept = near_duplicates(df, id_col, text_col).where("kept").select(id_col).distinct()
-    return df.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    """The rows of ``df`` that stay: one of each component, with its smallest doc_id (any, if its rows have none)."""
+    stay = (analysed(df, id_col, text_col).where("stays")
+            .select(F.col("doc").isNull().alias("without_id"), F.coalesce("doc", F.lit(0)).alias("key"), "text_hash"))
+    rows = _keyed(df, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).select("row", *_KEYS)
+    return rows.join(stay, _KEYS, "left_semi").dropDuplicates(_KEYS).select("row.*")

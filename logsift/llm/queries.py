@@ -86,7 +86,7 @@ sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN sym l ON r.other = l.a),
 comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id),
 class AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS class_id FROM n)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, doc_id) AS class_id, component_id, doc_id = component_id AS kept
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept, coalesce(class_id, doc_id) AS class_id
 FROM documents JOIN comp USING (doc_id) LEFT JOIN class USING (doc_id)""",
     "op6_neighbours": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, e.vec_id,

@@ -98,11 +98,26 @@ def test_odd_rows(docs_of):
     assert by[None] == [(2, None, False)]
 
 
+def test_repeated_ids_with_different_texts(docs_of):
+    """A row keeps its links whatever rows share its doc_id; rows without one are linked and kept like others."""
+    w, v, u = (" ".join(f"{c}{i}" for i in range(40)) for c in "wvu")
+    rows = [(1, w), (1, v), (2, v + " end"), (3, w + " tail"), (4, u), (None, u), (None, w), (None, "no one else has these words"),
+            (None, "no one else has these words"), (None, None), (5, "a b"), (5, "a b")]
+    got_rows = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(docs_of(rows)).collect()), key=str)
+    assert got_rows == sorted([(1, 36, 1, True), (1, 36, 1, True), (2, 37, 1, False), (3, 37, 1, False), (4, 36, 4, True),
+                               (None, 36, 4, False), (None, 36, 1, False), (None, 2, None, False), (None, 2, None, False),
+                               (None, 0, None, False), (5, 1, 5, True), (5, 1, 5, True)], key=str)
+    kept = N.keep_one(docs_of(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
+        [(1, w), (1, v), (4, u), (None, "no one else has these words"), (None, None), (5, "a b")], key=str)
+    assert N.near_duplicates(docs_of(rows)).columns == ["doc_id", "n_shingles", "component_id", "kept", "class_id"]
+
+
 def test_empty_table_and_kept_rows(docs_of):
     assert N.near_duplicates(docs_of([])).count() == 0
     kept = N.keep_one(docs_of([(1, LONG), (2, LONG), (3, LONG + " omega"), (9, "other words stand here now"), (9, "other words stand here now")]))
     assert kept.columns == docs_of([]).columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 9]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 9] and N.keep_one(docs_of([])).count() == 0
 
 
 @pytest.mark.parametrize("n", [3, 40, 400, 4000])
