@@ -8,26 +8,30 @@
    is smoothed and never under ``FLOOR`` of the largest one: copies of an item
    raise their own words' frequencies, so no word may lose its weight by them.
    A passage's other words count to its length with the middle IDF.
-3. Randomised SVD of the TF-IDF passages A: each partition adds up A'(A R) for a
-   random sparse R (one signed entry per word, so the cost is that of the
-   passages' own entries), partial sums meet in a tree of groups, and a QR of
-   the total (with the benchmark's own passages added at a large weight, so that
-   their span is kept) is the basis of the latent space.
-4. Passages whose cosine with an item in that space reaches ``COSINE`` are
-   candidates.  (Passages whose benchmark words make up less than that share of
-   their length can't reach it and are left out before.)  Whatever the weights,
-   passages that have ``RUN`` words of an item in a row, or the whole of a
-   shorter item, are candidates too.  Around each, the longest common subsequence of the item's words
+3. Randomised SVD of the TF-IDF passages A of the corpus: each partition adds up
+   A'(A R) for a sparse random R (one signed entry per word, so the cost is that of
+   the passages' own entries), partial sums meet in a tree of groups, and a QR of
+   the total gives Q; a second pass adds up the small (A Q)'(A Q), whose
+   eigenvectors turn Q into the singular directions.  The first ``RANK`` of them (a third
+   of the items, if these are few) are the latent space, in which words that keep the same
+   company lie together.  Items are projected into it.
+4. Candidates of an item are the passages whose cosine with it in the latent space reaches
+   ``LATENT``: other words may stand for its own there, and words that the corpus hardly
+   uses don't count.  As a space of the corpus says little about an item of rare
+   words, passages whose plain product with it reaches ``COSINE``, and those with ``RUN``
+   words of it in a row, or the whole of a shorter item, are candidates too.  (Passages whose
+   benchmark words make up less than ``COSINE`` of their length are left out of both
+   cosines.)  Around each, the longest common subsequence of the item's words
    and the document's must reach ``COVERAGE`` of the item, and of what the item
    answers, its different words weighted by their IDF, the share ``ANSWER``
    must be there.  This finds paraphrases with words changed, added or left
    out, and passes by texts that share only frequent words with an item.
 
-The benchmark is the query side: its vocabulary is checked against
-``MAX_WORDS`` before it is sent to the executors.  Items over ``LONG`` words are
-searched by their own passages, as one window holds too little of them; the
-check is on the whole item.  Items and such passages are handled in blocks of
-``BLOCK`` with a latent space each, all in the same passes.
+The benchmark is the query side, and what is sent to the executors and added up in a task
+grows with its vocabulary only: the basis, ``(RANK + SPARE) * 8`` bytes a word, is checked
+against ``BASIS_BYTES``.  Items over ``LONG`` words are searched by their own passages, as
+one window holds too little of them; the check is on the whole item.  All items share
+one space, so their number doesn't change the number of passes.
 
 Defined results: a null or empty text or item matches nothing; of several
 matches a document reports the best (longest share, then smallest item);
@@ -41,12 +45,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize, ship_package
 from .common import text_chunks, word_hashes
 
-STEP, FLOOR, COSINE, COVERAGE, ANSWER, RUN = 16, 1 / 3, 0.3, 0.6, 0.5, 8
-BLOCK, SPARE, MAX_WORDS, SEED, LONG = 200, 56, 4_000_000, 11, 4 * STEP
+STEP, FLOOR, COSINE, LATENT, COVERAGE, ANSWER, RUN = 16, 1 / 3, 0.3, 0.9, 0.6, 0.5, 8
+RANK, SPARE, SEED, LONG = 48, 16, 11, 4 * STEP
+BASIS_BYTES = 1 << 30       # 2 million words of a benchmark
 _SEND = 256
 
 
@@ -62,8 +68,8 @@ class Benchmark:
             h, first = word_hashes(data, offsets)
             sequences += [h[a:b] for a, b in zip(first[:-1], first[1:])]
         words = np.unique(np.concatenate(words + sequences))
-        if len(words) > MAX_WORDS:
-            raise ValueError(f"the benchmark has {len(words)} different words; at most {MAX_WORDS} are sent to executors")
+        if len(words) * (RANK + SPARE) * 8 > BASIS_BYTES:
+            raise ValueError(f"the benchmark has {len(words)} different words; their basis takes more than {BASIS_BYTES} bytes")
         self.words = words
         kept = [(i, np.searchsorted(words, s).astype(np.int32)) for (i, _), s in zip(items, sequences) if len(s)]
         self.ids, self.items = [i for i, _ in kept], [s for _, s in kept]
@@ -286,8 +292,8 @@ def item_parts(items) -> list[tuple[int, np.ndarray]]:
 
 def item_rows(items, idf):
     """The items as sparse TF-IDF rows."""
-    passage = np.concatenate([np.full(len(s), i) for i, s in enumerate(items)])
-    key, count = np.unique(passage * len(idf) + np.concatenate(items), return_counts=True)
+    passage = np.concatenate([np.zeros(0, np.int64)] + [np.full(len(s), i) for i, s in enumerate(items)])
+    key, count = np.unique(passage * len(idf) + np.concatenate([np.zeros(0, np.int64), *items]), return_counts=True)
     return _weighted(key // len(idf), key % len(idf), count, idf)
 
 
@@ -312,38 +318,81 @@ def answer(item: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, weight / weight.sum()
 
 
-class Space:
-    """A block's latent space: basis, item vectors, and the larger products of words with items as sparse rows."""
+def _gram_of(basis):
+    """(A Q)'(A Q) of a task's passages, as one row."""
+    k = basis[1].value.shape[1]
 
-    SMALL = 0.02
+    def run(batches):
+        total, task = np.zeros((k, k)), 0
+        for batch in _slices(batches):
+            (own, at, term, w), *_ = _rows_of(batch, basis[0].value)
+            if len(own):
+                y = _dot(at, term, w, len(own), basis[1].value).astype(np.float64)
+                total += y.T @ y
+                task = int(own[-1]) + 31 * task + len(own)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([task % 256], pa.int32()),
+                                          pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "salt", "sums"])
+    return run
 
-    def __init__(self, basis, latent):
-        self.basis, self.latent = basis, latent
-        products = basis @ latent.T
-        word, self.item = np.nonzero(products > self.SMALL)
-        self.value = products[word, self.item]
-        self.first = np.searchsorted(word, np.arange(len(basis) + 1))
 
-    def reachable(self, at, term, w, rows: int) -> np.ndarray:
-        """Rows whose cosine with some item may reach ``COSINE``: the larger products plus what the small ones can add."""
-        most = np.zeros(rows)
-        for a in range(0, rows, 4096):
-            lo, hi = np.searchsorted(at, [a, a + 4096])
-            n = min(4096, rows - a)
+def _added(found: DataFrame) -> DataFrame:
+    """Sums of the rows (part, salt, sums) of each part, in two levels."""
+    return (found.groupBy("part", "salt").applyInArrow(_add(["part", "salt"]), "part int, salt int, sums binary")
+            .groupBy("part").applyInArrow(_add(["part"]), "part int, sums binary"))
+
+
+def latent_space(hits: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
+    """The first ``rank`` right singular directions of the corpus's TF-IDF passages (words x rank)."""
+    sc, size = hits.sparkSession.sparkContext, len(idf)
+    k, weights_ = min(size, rank + SPARE), sc.broadcast(idf)
+    y = np.zeros((size, k))
+    for r in _added(hits.mapInArrow(_sketch(weights_, k), "part int, salt int, sums binary")).collect():
+        y[r["part"] * _SEND: r["part"] * _SEND + _SEND] = np.frombuffer(r["sums"], np.float32).reshape(-1, k)
+    q = np.linalg.qr(y)[0].astype(np.float32)
+    small = np.zeros((k, k))
+    for r in _added(hits.mapInArrow(_gram_of((weights_, sc.broadcast(q))), "part int, salt int, sums binary")).collect():
+        small = np.frombuffer(r["sums"], np.float32).reshape(k, k).astype(np.float64)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-values)[:rank]
+    order = order[values[order] > 1e-9 * max(float(values.max()), 1e-30)]
+    return (q @ turn[:, order]).astype(np.float32)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-6)[:, None]
+
+
+class Items:
+    """The searched parts of the items as sparse TF-IDF columns, and their images in the latent space."""
+
+    def __init__(self, parts: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, limit: float):
+        own, at, term, w = item_rows(parts, idf)
+        self.number, self.basis, self.limit = len(parts), basis, limit
+        self.latent = np.zeros((len(parts), basis.shape[1]), np.float32)
+        self.latent[own] = unit_rows(_dot(at, term, w, len(own), basis))
+        order = np.argsort(term, kind="stable")
+        self.part, self.value = own[at[order]], w[order]
+        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+
+    def plain(self, at, term, w, rows: int):
+        """(row, part) of the plain products that reach ``COSINE``."""
+        step = max(1, (1 << 21) // max(self.number, 1))
+        for a in range(0, rows, step):
+            lo, hi = np.searchsorted(at, [a, a + step])
             times = self.first[term[lo:hi] + 1] - self.first[term[lo:hi]]
-            place = (np.repeat(self.first[term[lo:hi]], times) + np.arange(times.sum())
-                     - np.repeat(np.cumsum(times) - times, times))
-            sums = np.bincount(np.repeat(at[lo:hi] - a, times) * len(self.latent) + self.item[place],
-                               weights=np.repeat(w[lo:hi], times) * self.value[place], minlength=n * len(self.latent))
-            most[a: a + n] = (sums.reshape(n, -1).max(axis=1)
-                              + self.SMALL * np.bincount(at[lo:hi] - a, weights=w[lo:hi], minlength=n))
-        return np.flatnonzero(most >= COSINE * 0.999)
+            place = np.repeat(self.first[term[lo:hi]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            n = min(step, rows - a)
+            sums = np.bincount(np.repeat(at[lo:hi] - a, times) * self.number + self.part[place],
+                               weights=np.repeat(w[lo:hi], times) * self.value[place], minlength=n * self.number)
+            hit = np.flatnonzero(sums >= COSINE * 0.999)
+            yield hit // self.number + a, hit % self.number
 
-    def cosines(self, at, term, w, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that may reach ``COSINE`` and their cosines with the items."""
-        own = self.reachable(at, term, w, rows)
-        keep = np.isin(at, own)
-        return own, _dot(np.searchsorted(own, at[keep]), term[keep], w[keep], len(own), self.basis) @ self.latent.T
+    def near(self, z: np.ndarray):
+        """(row, part) of the cosines in the latent space that reach the limit."""
+        step = max(1, (1 << 22) // max(self.number, 1))
+        for a in range(0, len(z), step):
+            row, part = np.nonzero(z[a: a + step] @ self.latent.T >= self.limit)
+            yield row + a, part
 
 
 def _search(model):
@@ -358,40 +407,48 @@ def _search(model):
             def look(d, p, g, cosine):
                 """Checks item g around passage p of document d; ``cosine`` gives their cosine, if it is needed."""
                 item, start = m["items"][g], (p - int(base[d])) * STEP
-                lo = int(np.searchsorted(places[d], start - len(item)))
-                hi = int(np.searchsorted(places[d], start + 2 * STEP + len(item)))
+                lo, hi = places[d].searchsorted((start - len(item), start + 2 * STEP + len(item))).tolist()
                 if (d, g, lo, hi) in seen:
                     return
                 seen.add((d, g, lo, hi))
                 near = terms[d][lo:hi]
                 words, share = m["answers"][g]
-                if share[np.isin(words, near)].sum() < ANSWER:
+                at = words.searchsorted(near)
+                at[at == len(words)] = 0
+                seen_words = np.zeros(len(words))
+                seen_words[at[words[at] == near]] = 1.0
+                if seen_words @ share < ANSWER:
                     return
                 common = lcs(item, near)
                 if common >= COVERAGE * len(item):
                     found = (common / len(item), -m["ids"][g], common, len(item), cosine())
                     best[d] = max(best.get(d, found), found)
 
-            all_at, all_t, all_w = at, t, w
+            items = m["parts"]
             # a row's product with a unit vector is at most the length of its own entries
-            keep = (np.bincount(at, weights=w * w, minlength=len(own)) >= COSINE ** 2 * 0.999)[at]
-            rows, at = np.unique(at[keep], return_inverse=True)
-            t, w = t[keep], w[keep]
-            if len(rows):
-                for block, space in enumerate(m["blocks"]):
-                    likely, cosine = space.cosines(at, t, w, len(rows))
-                    for i, j in zip(*np.nonzero(cosine >= COSINE)):
-                        p = int(own[rows[likely[i]]])
-                        look(int(np.searchsorted(base, p, side="right")) - 1, p, int(m["whose"][block * BLOCK + j]),
-                             lambda: float(cosine[i, j]))
+            keep = np.bincount(at, weights=w * w, minlength=len(own)) >= COSINE ** 2 * 0.999
+            at_, rows = at[keep[at]], np.flatnonzero(keep)
+            z = np.zeros((len(own), items.basis.shape[1]), np.float32)
+            z[rows] = unit_rows(_dot(np.searchsorted(rows, at_), t[keep[at]], w[keep[at]], len(rows), items.basis))
+
+            def similar(row: int, part: int) -> float:
+                if not keep[row]:
+                    lo, hi = np.searchsorted(at, [row, row + 1])
+                    z[row] = unit_rows((w[lo:hi] @ items.basis[t[lo:hi]])[None])[0]
+                return float(z[row] @ items.latent[part])
+
+            found = [items.near(z), items.plain(at_, t[keep[at]], w[keep[at]], len(own))]
+            for row, part in (x for pairs in found for x in pairs):
+                doc = np.searchsorted(base, own[row], side="right") - 1
+                for i, j, d in zip(row.tolist(), part.tolist(), doc.tolist()):
+                    look(d, int(own[i]), int(m["whose"][j]), lambda: similar(i, j))
             _, row, place, term, *_ = _batch(batch)
             hit, item = m["runs"].places(row, place, term)
             passage = np.minimum(base[row[hit]] + place[hit] // STEP, base[row[hit] + 1] - 1)
             for p, g in np.unique(np.stack([passage, item], axis=1), axis=0).tolist():
-                lo, hi = np.searchsorted(all_at, np.searchsorted(own, p) + np.array([0, 1]))
+                i = int(np.searchsorted(own, p))
                 look(int(np.searchsorted(base, p, side="right")) - 1, p, g, lambda: max(
-                    float(all_w[lo:hi] @ m["blocks"][j // BLOCK].basis[all_t[lo:hi]] @ m["blocks"][j // BLOCK].latent[j % BLOCK])
-                    for j in range(*np.searchsorted(m["whose"], [g, g + 1]))))
+                    similar(i, j) for j in range(*np.searchsorted(m["whose"], [g, g + 1]))))
             rows = [best.get(d) for d in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([r is not None for r in rows], pa.bool_()),
@@ -402,44 +459,37 @@ def _search(model):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", latent: float = LATENT) -> DataFrame:
     """Per row of ``docs``: id, n_words, contaminated, item_id, common_words, item_words, cosine."""
     spark = docs.sparkSession
     ship_package(spark)
     sc = spark.sparkContext
-    bench = Benchmark([tuple(r) for r in benchmark.select(
-        F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).toLocalIterator()])
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = f"id {kind}, n_words long, contaminated boolean, item_id long, common_words int, item_words int, cosine double"
-    hits = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _hits(sc.broadcast(bench)), f"id {kind}, n_words long, places binary, terms binary"), "hits")
+    listed = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string").alias("text"))
+    if (listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > BASIS_BYTES:
+        raise ValueError(f"the benchmark's texts take more than {BASIS_BYTES} bytes")
+    bench = Benchmark([tuple(r) for r in listed.toLocalIterator()])
+    carried = T.StructType([T.StructField("id", docs.schema[id_col].dataType)])
+
+    def schema(more: str) -> T.StructType:
+        return T.StructType(carried.fields + T.StructType.fromDDL(more).fields)
+
+    hits = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
+        _hits(sc.broadcast(bench)), schema("n_words long, places binary, terms binary")), "hits")
     size = max(len(bench.words), 1)
-    counted = (hits.mapInArrow(_frequencies(size), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
+    # (what an id carries stays out of the passes that don't return it)
+    words = hits.select(F.lit(0).alias("id"), "n_words", "places", "terms")
+    counted = (words.mapInArrow(_frequencies(size), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
     df = np.zeros(size, np.int64)
     total = sum(r["n"] for r in counted if r["term"] < 0)
     for r in counted:
         if r["term"] >= 0:
             df[r["term"]] = r["n"]
-    idf = weights(df, total)
-    parts, blocks = item_parts(bench.items), []
-    for at in range(0, len(parts), BLOCK):
-        items = [words for _, words in parts[at: at + BLOCK]]
-        k = min(size, len(items) + SPARE)
-        sums = (hits.mapInArrow(_sketch(sc.broadcast(idf), k), "part int, salt int, sums binary")
-                .groupBy("part", "salt").applyInArrow(_add(["part", "salt"]), "part int, salt int, sums binary")
-                .groupBy("part").applyInArrow(_add(["part"]), "part int, sums binary"))
-        z = np.zeros((size, k))
-        for r in sums.collect():
-            z[r["part"] * _SEND: r["part"] * _SEND + _SEND] = np.frombuffer(r["sums"], np.float32).reshape(-1, k)
-        own, place, term, w = item_rows(items, idf)
-        mine = _gram(place, term, w, size, k)
-        weight = 100 * max(np.linalg.norm(z), 1.0) / max(np.linalg.norm(mine), 1e-9)
-        basis = np.linalg.qr(z + weight * mine)[0].astype(np.float32)
-        latent = _dot(place, term, w, len(own), basis)
-        latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1)), 1e-6)[:, None]
-        blocks.append(Space(basis, latent))
+    idf, parts = weights(df, total), item_parts(bench.items)
+    rank = max(1, min(RANK, len(bench.items) // 3))
+    basis = latent_space(words, idf, rank) if parts else np.zeros((size, 1), np.float32)
     rarity = np.log((1 + total) / (1 + df))
-    model = {"idf": idf, "blocks": blocks, "ids": bench.ids, "items": bench.items, "runs": Runs(bench.items),
-             "whose": np.array([i for i, _ in parts], np.int64),
+    model = {"idf": idf, "parts": Items([p for _, p in parts], idf, basis, latent), "ids": bench.ids, "items": bench.items,
+             "runs": Runs(bench.items), "whose": np.array([i for i, _ in parts], np.int64),
              "answers": [answer(s, rarity) for s in bench.items]}
+    out = schema("n_words long, contaminated boolean, item_id long, common_words int, item_words int, cosine double")
     return hits.mapInArrow(_search(sc.broadcast(model)), out).withColumnRenamed("id", id_col)

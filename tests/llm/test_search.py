@@ -184,8 +184,7 @@ def test_decontamination_of_the_table(spark):
         assert not r.contaminated or (r.item_id in leaks[r.doc_id] and r.common_words >= r.item_words - 2)
 
 
-def test_paraphrases_and_odd_rows(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK", 2)      # several latent spaces
+def test_paraphrases_and_odd_rows(spark, docs_of):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
     items = [" ".join(word() for _ in range(n)) for n in (12, 30, 60, 25, 18)]
@@ -236,8 +235,7 @@ def test_copies_in_a_third_of_the_rows(spark, docs_of):
     assert _leaks(spark, docs_of, rows, items) == want
 
 
-def test_long_and_very_short_items(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK", 7)
+def test_long_and_very_short_items(spark, docs_of):
     text = _words(4)
     items = [text(n) for n in (2, 1, 500, 300, 150, 20)]
     changed = {i: items[i].split() for i in (3, 4)}
@@ -259,19 +257,119 @@ def test_lcs_against_the_plain_table():
         assert D.lcs(a, b) == t[-1, -1]
 
 
-def test_latent_space_keeps_the_items():
-    """Projection on the basis keeps products with the benchmark's rows, so no candidate gets a smaller cosine."""
+def _topics(seed, docs=240):
+    """Documents of four topics, and items: one of each topic's words, some of several, and some of words that are rare."""
+    rng, text = random.Random(seed), _words(seed)
+    topics = [text(70).split() for _ in range(4)]
+    rare = [text(14) for _ in range(6)]
+    items = [" ".join(rng.sample(t, 14)) for t in topics] + [" ".join(rng.sample(t, 60)) for t in topics[:2]] + rare
+    rows = [(i, " ".join(rng.choice(topics[i % 4]) for _ in range(60))) for i in range(docs)]
+    return rng, topics, items, rare, rows
+
+
+def _passages(text, words):
+    w = text.lower().split()
+    n = max(1, -(-len(w) // 16) - 1) if w else 0
+    return [[words.get(x, -1) for x in w[16 * p: 16 * p + 32]] for p in range(n)]
+
+
+def _dense(rows, items):
+    """TF-IDF passages of all documents over the benchmark's words, in plain Python, and the documents that they are of."""
+    words = {w: i for i, w in enumerate(sorted({w for t in items for w in t.lower().split()}))}
+    found = [(d, p) for d, t in rows for p in _passages(t, words)]
+    df = np.zeros(len(words))
+    for _, p in found:
+        df[sorted(set(p) - {-1})] += 1
+    idf = np.log((1 + len(found)) / (1 + df)) + 1
+    idf = np.maximum(idf, D.FLOOR * idf.max())
+
+    def vector(p, others=True):
+        count = np.bincount([x for x in p if x >= 0], minlength=len(words))
+        v = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0) * idf
+        rest = (len(p) - count.sum()) * np.median(idf) ** 2 if others else 0
+        return v / max(np.sqrt((v * v).sum() + rest), 1e-12)
+
+    return words, idf, np.log((1 + len(found)) / (1 + df)), np.array([vector(p) for _, p in found]), [d for d, _ in found], \
+        np.array([vector([words[x] for x in t.lower().split()], False) for t in items])
+
+
+def test_words_of_the_same_company_are_found_through_the_space_only(spark, docs_of):
+    """Five of fourteen words are replaced by others of their topic, among words that no topic uses: the plain product is
+    under its limit; the cosine in the space isn't."""
+    rng, topics, items, rare, rows = _topics(6)
+    changed = items[0].split()
+    for i in (1, 4, 7, 10, 13):
+        changed[i] = rng.choice([w for w in topics[0] if w not in items[0].split() and any(w in t.split() for t in items[4:6])])
+    filler = rng.sample([w for t in rare for w in t.split()], 18)
+    rows.append((900, " ".join(filler[:9] + changed + filler[9:])))
+    *_, a, of, b = _dense(rows, items)
+    assert max((a[i] @ b[0]) for i, d in enumerate(of) if d == 900) < D.COSINE
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {r.doc_id for r in D.contamination(docs_of(rows), bench, latent=2.0).collect() if r.contaminated} == set()
+    found = {r.doc_id: r for r in D.contamination(docs_of(rows), bench).collect() if r.contaminated}
+    assert found.keys() == {900} and found[900].item_id == 0 and found[900].cosine >= D.LATENT
+
+
+def test_search_against_all_passages(spark, docs_of):
+    """Dense SVD of all passages, cosines of all passages with all items, runs of words, then plain LCS and answer checks."""
+    rng, topics, items, rare, rows = _topics(8, 160)
+    for i in range(60):             # edited items in texts of topics and of rare words
+        t = rng.choice(items).split()
+        for _ in range(rng.choice([0, 2, 4, 5, 6, 8])):
+            t[rng.randrange(len(t))] = rng.choice(rng.choice(topics))
+        rows.append((1000 + i, " ".join([rng.choice(rng.choice([*topics, rare[5].split()])) for _ in range(rng.randint(0, 30))] + t)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.common_words) for r in D.contamination(docs_of(rows), bench).collect() if r.contaminated}
+    words, idf, rarity, a, of, b = _dense(rows, items)
+    v = np.linalg.svd(a)[2][: len(items) // 3].T
+    own = (a * a).sum(axis=1) >= D.COSINE ** 2 * 0.999
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1), 1e-6)[:, None]
+    latent = unit(a @ v) @ unit(b @ v).T
+    sure, maybe = {}, {}
+    start = [sum(x == d for x in of[:i]) for i, d in enumerate(of)]
+    texts = dict(rows)
+    for i, d in enumerate(of):
+        w = [words.get(x, -1) for x in texts[d].split()]
+        for g, t in enumerate(items):
+            item = [words[x] for x in t.split()]
+            run = any(w[k:k + 8] == item[j:j + 8] for k in range(16 * start[i], min(16 * start[i] + 16, len(w) - 7)) for j in range(len(item) - 7))
+            plain = own[i] and a[i] @ b[g] >= D.COSINE * 0.999
+            near = [x for x in w[max(0, 16 * start[i] - len(item)): 16 * start[i] + 32 + len(item)] if x >= 0]
+            share, seen = rarity[sorted(set(item))] + 1e-9, np.isin(sorted(set(item)), near)
+            common = D.lcs(np.array(item), np.array(near))
+            if share[seen].sum() < D.ANSWER * share.sum() or common < D.COVERAGE * len(item):
+                continue
+            hit = (common / len(item), -g, common)
+            if run or plain or own[i] and latent[i, g] >= D.LATENT + 0.01:
+                sure[d] = max(sure.get(d, hit), hit)
+            if run or plain or own[i] and latent[i, g] >= D.LATENT - 0.01:
+                maybe[d] = max(maybe.get(d, hit), hit)
+    assert len(sure) > 30
+    for d in texts:         # the randomised directions differ from the dense ones in the third digit
+        assert got.get(d) in [x and (-x[1], x[2]) for x in (sure.get(d), maybe.get(d))]
+
+
+def test_more_items_need_no_more_passes(spark, docs_of):
+    text = _words(9)
+    docs = docs_of([(i, text(40)) for i in range(30)] + [(99, text(5))])
+    passes = []
+    for n in (5, 600):
+        items = [text(6) for _ in range(n)]
+        group = f"items-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        D.contamination(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+        passes.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert passes[0] == passes[1]
+
+
+def test_pairs_of_entries_add_up_to_the_product():
     rng = np.random.default_rng(5)
     idf = rng.random(300) + 0.5
-    items = [rng.integers(0, 300, 20) for _ in range(10)]
-    own, at, term, w = D.item_rows(items, idf)
-    k = len(items) + D.SPARE
-    z = D._gram(at, term, w, 300, k)
-    dense, column, sign = np.zeros((len(own), 300)), *D._random(300, k)
+    own, at, term, w = D.item_rows([rng.integers(0, 300, 20) for _ in range(10)], idf)
+    z = D._gram(at, term, w, 300, 24)
+    dense, column, sign = np.zeros((len(own), 300)), *D._random(300, 24)
     dense[at, term] = w
-    r = np.zeros((300, k))
+    r = np.zeros((300, 24))
     r[np.arange(300), column] = sign
     assert np.allclose(z, dense.T @ (dense @ r), atol=1e-5)
-    basis = np.linalg.qr(z * 100 + rng.normal(size=z.shape))[0].astype(np.float32)
-    latent = D._dot(at, term, w, len(own), basis)
-    assert np.allclose((latent ** 2).sum(axis=1), 1, atol=0.05)
