@@ -6,9 +6,9 @@ whether the word repeats the one before, whether a line ends).  Each family's
 counts are divided by their sum, so a text's length doesn't scale its score.
 
 Training (FTRL-Proximal with per-coordinate rates and L1) sees at most
-``max_rows`` labelled rows, those with the smallest hash of their doc_id; it is
-one pass over sparse vectors that executors have made, and yields at most 2**18
-weights, which is all that reaches the driver and is sent to the executors.
+``max_rows`` labelled rows, those with the smallest hash of their doc_id; each epoch
+streams the written sparse vectors through one task, which holds the state and a batch
+of them, however long the texts are, and yields at most 2**18 weights, which is all that reaches the driver and is sent to the executors.
 Scoring is one pass of sparse dot products over all documents.
 
 Defined results: a null, empty or blank text scores the intercept alone; rows
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize, ship_package
 from .common import mix64, ngram_hashes, text_chunks, word_bounds, word_hashes
@@ -84,33 +85,45 @@ def _vectors(batches):
                  pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())], names=["o", "label", "c", "v"])
 
 
-def ftrl(rows, epochs: int = EPOCHS):
-    """Weights and intercept from (columns, values, label) rows, in the given order."""
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+class Ftrl:
+    """Sums of adjusted gradients and of their squares, the state that the weights follow from."""
+
+    def __init__(self, z: np.ndarray | None = None, n: np.ndarray | None = None):
+        self.z = np.zeros((1 << BITS) + 1) if z is None else z
+        self.n = np.zeros((1 << BITS) + 1) if n is None else n
+
+    def weight(self, i) -> np.ndarray:
+        z, n = self.z[i], self.n[i]
+        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+    def learn(self, columns: np.ndarray, values: np.ndarray, label: float) -> None:
+        i, x = np.append(columns, 1 << BITS), np.append(values.astype(np.float64), 1.0)
+        w = self.weight(i)
+        g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
+        sigma = (np.sqrt(self.n[i] + g * g) - np.sqrt(self.n[i])) / ALPHA
+        self.z[i] += g - sigma * w
+        self.n[i] += g * g
+
+
+def _epoch(state):
+    """Learns from rows (o, label, c, v) as they come and yields the state."""
+    def run(batches):
+        z, n = state.value
+        model = Ftrl(z.copy(), n.copy())
+        for batch in batches:
+            for y, c, v in zip(batch.column(1).to_numpy(), batch.column(2), batch.column(3)):
+                model.learn(np.frombuffer(c.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32), y)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.z, model.n)], names=["z", "n"])
+    return run
 
-    def weight(i):
-        return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
+def ftrl(rows, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights and intercept from (columns, values, label) rows, in the given order."""
+    model = Ftrl()
     for _ in range(epochs):
-        for c, v, y in rows:
-            i, x = np.append(c, 1 << BITS), np.append(v.astype(np.float64), 1.0)
-            w = weight(i)
-            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
-            sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
-            z[i] += g - sigma * w
-            n[i] += g * g
-    return weight(np.arange((1 << BITS) + 1))
-
-
-def _train(batches):
-    rows = []       # views of the Arrow buffers, no copies
-    for batch in batches:
-        for o, y, c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            rows.append((o, y, np.frombuffer(c.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)))
-    rows.sort(key=lambda r: r[0])
-    w = ftrl([(c, v, y) for _, y, c, v in rows]) if rows else np.zeros(1)
-    at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float64())], names=["i", "w"])
+        for row in rows:
+            model.learn(*row)
+    return model.weight(np.arange((1 << BITS) + 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -127,11 +140,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             .join(F.broadcast(wanted), id_col).dropDuplicates([id_col])
             .select(F.xxhash64(id_col).alias("o"), "label", "text")
             .mapInArrow(_vectors, "o long, label double, c binary, v binary"))
-    trained = materialize(rows, "vectors").coalesce(1).mapInArrow(_train, "i int, w double").collect()
-    w = np.zeros((1 << BITS) + 1)
-    for r in trained:
-        w[r["i"]] = r["w"]
-    return w
+    # an epoch streams the written vectors through one task, in order; the task holds the state and a batch of them
+    vectors = materialize(rows, "vectors").coalesce(1).sortWithinPartitions("o")
+    model = Ftrl()
+    for _ in range(EPOCHS):
+        state = docs.sparkSession.sparkContext.broadcast((model.z, model.n))
+        for r in vectors.mapInArrow(_epoch(state), "z binary, n binary").collect():     # one row of a fixed size
+            model = Ftrl(*(np.frombuffer(r[c], np.float64) for c in ("z", "n")))
+    return model.weight(np.arange((1 << BITS) + 1))
+
+
+def _score(texts, weights: np.ndarray):
+    """(first row, row after the last, scores) of chunks of a column of texts."""
+    for at, end, data, offsets in text_chunks(texts):
+        yield at, end, [1.0 / (1.0 + np.exp(-np.clip(weights[c] @ v + weights[-1], -35, 35))) for c, v in features(data, offsets)]
 
 
 def scores(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,8 +164,7 @@ def scores(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
     def run(batches):
         w = model.value
         for batch in batches:
-            for at, end, data, offsets in text_chunks(batch.column(1)):
-                s = [1.0 / (1.0 + np.exp(-np.clip(w[c] @ v + w[-1], -35, 35))) for c, v in features(data, offsets)]
+            for at, end, s in _score(batch.column(1), w):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(s, pa.float64())],
                                                  names=[id_col, "score"])
 
@@ -151,6 +172,22 @@ def scores(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
     return df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def scored_rows(df: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """(row, score): every row of ``df`` as a struct with its score, without a join."""
+    ship_package(df.sparkSession)
+    model = df.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
+    place = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            row = batch.column(0)
+            for at, end, s in _score(row.field(place), model.value):
+                yield pa.RecordBatch.from_arrays([row.slice(at, end - at), pa.array(s, pa.float64())], names=["row", "score"])
+
+    schema = T.StructType([T.StructField("row", df.schema), T.StructField("score", T.DoubleType())])
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).mapInArrow(run, schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows never learned from: crc32 of the doc_id as text is divisible by 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
