@@ -16,8 +16,7 @@ def quality_stage(spark, docs, sf_dir):
     """Documents that the quality classifier rejects go (score under the threshold)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     weights = quality.fit(docs, labels, ~quality.held_out())
-    rejected = quality.scores(docs, weights).where(F.col("score") < quality.THRESHOLD).select("doc_id")
-    return docs.join(rejected.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return quality.scored_rows(docs, weights).where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def near_dedup_stage(spark, docs, sf_dir):
@@ -28,8 +27,9 @@ def near_dedup_stage(spark, docs, sf_dir):
 def decontaminate_stage(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaking = decontaminate.contamination(docs, benchmark).where("contaminated").select("doc_id")
-    return docs.join(leaking.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    # the row itself is what the search carries, so that its decision meets the row, whatever the doc_id
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return decontaminate.contamination(rows, benchmark, id_col="row").where("not contaminated").select("row.*")
 
 
 def pii_stage(spark, docs, sf_dir):

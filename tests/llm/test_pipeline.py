@@ -51,8 +51,33 @@ def test_null_text_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in C.STAGES:
         docs = materialize(stage(spark, docs, SF), f"odd-{name}")
-    # rows without a doc_id are nobody's kept document
-    assert sorted((r.doc_id, list(r.ids)) for r in docs.collect()) == [(1, []), (2, [])]
+    # rows without a doc_id stay, and of a repeated row one does
+    rows = {r.doc_id: list(r.ids) for r in docs.collect()}
+    model = pieces.pieces(pieces.MODEL)
+    assert docs.count() == 3 and rows == {1: [], 2: [], None: np.frombuffer(model.encode("mail [EMAIL] now"), np.int32).tolist()}
+
+
+def test_filters_judge_rows_and_not_their_ids(spark):
+    """Rows without a doc_id, or that share one, are rejected, leaking, copies or clean by their own text."""
+    clean = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    fine = "the river was calm in the morning and the boats went out to the islands before noon"
+    rows = clean.where("doc_id < 0").unionByName(spark.createDataFrame(
+        [(None, item, "en", "s", 0), (1, item, "en", "s", 0), (1, fine, "en", "s", 0), (None, fine + " again", "en", "s", 0)], clean.schema))
+    left = C.decontaminate_stage(spark, rows, SF)
+    assert left.columns == clean.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, fine), (None, fine + " again")], key=str)
+    # the quality stage: every row alone, with the id of another, or with none, fares alike
+    docs = clean.where(clean.doc_id.isin(list(labels)[:80])).collect()
+    nulls = spark.createDataFrame([(None, *r[1:]) for r in docs] + [(7, *r[1:]) for r in docs], clean.schema).unionByName(clean)
+    kept = C.quality_stage(spark, nulls, SF).collect()
+    by = {}
+    for r in kept:
+        by.setdefault(r.text, set()).add(r.doc_id)
+    for r in docs:
+        assert r.text not in by or {None, 7, r.doc_id} <= by[r.text]
+    assert any(r.text not in by for r in docs) and any(r.text in by for r in docs)
 
 
 @pytest.mark.parametrize("gone", ["logsift.llm", "corpus_pipeline"])
