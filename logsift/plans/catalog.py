@@ -21,7 +21,7 @@ from ..operators import signals as SIG
 from ..operators import tfidf as TF
 from ..operators.features import STRUCTURED, feature_view, with_structured_features
 from ..operators.stats import min_max, minmax_norm, quantiles
-from ..sources.ingest import ingest, list_files
+from ..sources.ingest import ingest
 from ..sources.sinks import write_csv
 from ..sources.sniff import sniff
 from ..sources.text import nonblank_lines, number_rows, read_lines
@@ -128,7 +128,7 @@ def format_sniff(spark, sf):
         "fx4": written(spark, sf, "fx4"),
         "fx5": written(spark, sf, "fx5"),
     }
-    frames = [sniff(spark, list_files(spark, d)).select(F.lit(name).alias("fixture"), "format").distinct()
+    frames = [sniff(spark, d).select(F.lit(name).alias("fixture"), "format").distinct()
               for name, d in dirs.items()]
     return frames[0].union(frames[1]).union(frames[2])
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .parsers import (UNIFIED, bad_csv_lines, bad_json_lines, csv_header, parse_csv_frame, parse_json_lines, parse_raw,
-                      parse_unnamed_csv, read_csv_files, resolves)
-from .sniff import sniff_files
-from .text import nonblank_lines, number_rows, read_lines
+from .parsers import UNIFIED, bad_csv_lines, bad_json_lines, parse_csv_rows, parse_json_lines, parse_raw, read_csv_rows
+from .sniff import sniff
+from .text import MID, nonblank_lines, number_rows, read_lines
 
 LOG_COLUMNS = ["line_no"] + UNIFIED
 FORMATS = ("auto", "raw", "json", "csv")
@@ -25,42 +25,31 @@ def list_files(spark: SparkSession, paths) -> list[str]:
     return sorted(spark.read.text(list(paths)).inputFiles())
 
 
-def grouped_files(spark: SparkSession, paths, format: str) -> tuple[dict[str, list[str]], dict[tuple, list[str]], list[str]]:
-    """Raw and JSON files; CSV files by their header where it names a known column; all other CSV files."""
+def grouped_files(spark: SparkSession, paths, format: str) -> tuple[dict[str, list[str]], DataFrame | None]:
+    """The files of each format, and the layouts of the CSV files' headers, which stay a table."""
     if format not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
-    files = list_files(spark, paths)
-    plain: dict[str, list[str]] = {"raw": [], "json": []}
-    named: dict[tuple, list[str]] = {}
-    unnamed: list[str] = []
-    if format in plain:
-        plain[format] = files
-        return plain, named, unnamed
-    for f, (kind, first) in sniff_files(spark, files).items():
-        if format == "csv" or kind == "csv":
-            header = csv_header(first)
-            if resolves(header):
-                named.setdefault(header, []).append(f)
-            else:
-                unnamed.append(f)
-        else:
-            plain[kind].append(f)
-    return plain, named, unnamed
+    grouped: dict[str, list[str]] = {"raw": [], "json": [], "csv": []}
+    if format in ("raw", "json"):
+        grouped[format] = list_files(spark, paths)
+        return grouped, None
+    heads = sniff(spark, paths)
+    for r in heads.select("path", F.lit("csv").alias("format") if format == "csv" else F.col("format")).orderBy("path").collect():
+        grouped[r["format"]].append(r["path"])
+    return grouped, heads
 
 
 def parsed_frames(spark: SparkSession, paths, format: str = "auto", *, csv_multiline: bool = False) -> list[DataFrame]:
-    """One parsed (unnumbered) frame per format and known CSV header, all in scan order."""
-    plain, named, unnamed = grouped_files(spark, paths, format)
+    """One parsed (unnumbered) frame per format, all in scan order or with their rows' order."""
+    grouped, heads = grouped_files(spark, paths, format)
     frames = []
-    if plain["raw"]:
-        frames.append(parse_raw(nonblank_lines(read_lines(spark, sorted(plain["raw"])))))
-    if plain["json"]:
-        frames.append(parse_json_lines(nonblank_lines(read_lines(spark, sorted(plain["json"])))))
-    for header, fs in sorted(named.items()):
-        frames.append(parse_csv_frame(read_csv_files(spark, sorted(fs), header, multiline=csv_multiline), header))
-    if unnamed:
-        frames.append(parse_unnamed_csv(spark, sorted(unnamed)))
-    return frames
+    if grouped["raw"]:
+        frames.append(parse_raw(nonblank_lines(read_lines(spark, grouped["raw"]))))
+    if grouped["json"]:
+        frames.append(parse_json_lines(nonblank_lines(read_lines(spark, grouped["json"]))))
+    if grouped["csv"]:
+        frames.append(parse_csv_rows(read_csv_rows(spark, grouped["csv"], heads, multiline=csv_multiline)))
+    return [f if MID in f.columns else f.withColumn(MID, F.monotonically_increasing_id()) for f in frames]
 
 
 def ingest(spark: SparkSession, paths, format: str = "auto", *, allow_empty: bool = False,
@@ -70,7 +59,7 @@ def ingest(spark: SparkSession, paths, format: str = "auto", *, allow_empty: boo
     Returns ``line_no, raw_line, timestamp, message, level, http_status,
     response_size, response_time, client_ip, component``.  Raises
     ``EmptyLogError`` when nothing parses, unless ``allow_empty``.
-    ``csv_multiline=True`` reads quoted line ends inside cells, one task per file.
+    ``csv_multiline=True`` reads quoted line ends inside cells, in splits like all else.
     Lines that don't parse are in ``quarantine``.
     """
     frames = parsed_frames(spark, paths, format, csv_multiline=csv_multiline)
@@ -83,13 +72,14 @@ def ingest(spark: SparkSession, paths, format: str = "auto", *, allow_empty: boo
     return spark.createDataFrame([], log_schema_ddl())
 
 
-def quarantine(spark: SparkSession, paths, format: str = "auto") -> DataFrame:
+def quarantine(spark: SparkSession, paths, format: str = "auto", *, csv_multiline: bool = False) -> DataFrame:
     """(path, line, reason) of what ``ingest`` leaves out: malformed NDJSON lines and CSV rows with surplus cells."""
-    plain, named, _ = grouped_files(spark, paths, format)
+    grouped, heads = grouped_files(spark, paths, format)
     frames = [spark.createDataFrame([], "path string, line string, reason string")]
-    if plain["json"]:
-        frames.append(bad_json_lines(nonblank_lines(read_lines(spark, sorted(plain["json"])))))
-    frames += [bad_csv_lines(read_csv_files(spark, sorted(fs), header), header) for header, fs in sorted(named.items())]
+    if grouped["json"]:
+        frames.append(bad_json_lines(nonblank_lines(read_lines(spark, grouped["json"]))))
+    if grouped["csv"]:
+        frames.append(bad_csv_lines(read_csv_rows(spark, grouped["csv"], heads, multiline=csv_multiline, fitting=False)))
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 

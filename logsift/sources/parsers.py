@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
-from .text import BLOCK, PATH
+from .records import csv_records
+from .text import BLOCK, MID, PATH, SENT_SPLITS
 
 UNIFIED = ["raw_line", "timestamp", "message", "level", "http_status",
            "response_size", "response_time", "client_ip", "component"]
@@ -145,14 +146,25 @@ def resolves(header: tuple[str, ...]) -> bool:
     return any(pick_alias(list(header), aliases) for aliases in P.CSV_ALIASES.values())
 
 
-WIDTH, LINE = "_width", "_line"
-# a comma and one cell: quoted with doubled quotes inside, or plain
-_CELL = r',("(?:[^"]|"")*"|[^,]*)'
+def header_layout(header: tuple[str, ...]) -> dict[str, int | None]:
+    """P4 as data: the number of a header's cells and the place of each role's cell (None: no such cell).
+
+    A header that names no known column says nothing about its rows: ``cells`` is None, and rows are never too wide.
+    """
+    places = {r: header.index(c) if (c := pick_alias(list(header), a)) else None for r, a in P.CSV_ALIASES.items()}
+    return {"cells": len(header) if resolves(header) else None} | places
+
+
+LINE, CELLS = "_line", "_cells"
+LAYOUT = ["cells", *P.CSV_ALIASES]
+LAYOUT_SCHEMA = ", ".join(f"{c} int" for c in LAYOUT)
+# a comma and one cell: quoted with doubled quotes inside (what follows its end is left out), or plain
+_CELL = r',("[^"]*+(?:""[^"]*+)*+(?:"|\z)|[^,]*+)'
 
 
 def _cells(line) -> Column:
     plain = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
-    return F.transform(plain, lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"'))
+    return F.transform(plain, lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, r'\A"|"\z', ""), '""', '"'))
                        .otherwise(c))
 
 
@@ -164,29 +176,47 @@ def _lines_without_header(spark, files: list[str]) -> DataFrame:
             .where(F.col(LINE).isNotNull() & (F.trim(LINE) != "")))
 
 
-def read_csv_files(spark, files: list[str], header: tuple[str, ...], *, multiline: bool = False) -> DataFrame:
-    """CSV files that share one header: every cell as a string, the line and its number of cells.
+def _laid_out(rows: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Rows with their cells and their file's layout, which is one row of a few numbers for each file."""
+    if layouts.count() > SENT_SPLITS:       # a shuffled join would lose the rows' order
+        raise ValueError(f"more than {SENT_SPLITS} CSV files in one read")
+    known = layouts.select(F.col("path").alias(PATH), F.struct(*LAYOUT).alias("_layout"))
+    return rows.join(F.broadcast(known), PATH, "left").withColumn(CELLS, _cells(F.col(LINE)))
+
 
-    ``multiline`` also reads line ends inside quoted cells, at the price of one task per file; its rows
-    carry no line, and rows with surplus cells are marked by the reader.
+_FITS = "_layout.cells is null or size(_cells) <= _layout.cells"
+
+
+def read_csv_rows(spark, files: list[str], layouts: DataFrame, *, multiline: bool = False, fitting: bool = True) -> DataFrame:
+    """CSV rows of any headers in one frame: _path, _block, _line, _cells and _layout; those that fit their header, or those
+    with surplus cells.  ``layouts``: path and ``LAYOUT`` of each file.
+
+    ``multiline`` also reads line ends inside quoted cells, in as many tasks as the files have splits.
     """
-    if multiline:
-        schema = ", ".join(f"`{c}` string" for c in header) + f", `{LINE}` string"
-        df = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
-              .option("multiLine", True).option("columnNameOfCorruptRecord", LINE).csv(files))
-        # a malformed row with a last cell has surplus cells; without one it is merely short
-        wide = F.col(LINE).isNotNull() & F.col(f"`{header[-1]}`").isNotNull()
-        return df.select(F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias(BLOCK), LINE,
-                         F.when(wide, len(header) + 1).otherwise(len(header)).alias(WIDTH), *[F.col(f"`{c}`") for c in header])
-    cells = _lines_without_header(spark, files).select(PATH, BLOCK, LINE, _cells(F.col(LINE)).alias("_cells"))
-    return cells.select(PATH, BLOCK, LINE, F.size("_cells").alias(WIDTH),
-                        *[F.nullif(F.get("_cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(header)])
+    wanted = _FITS if fitting else f"not ({_FITS})"
+    if not multiline:
+        return _laid_out(_lines_without_header(spark, files), layouts).where(wanted)
+    records = csv_records(spark, files, lambda df: _laid_out(df, layouts).where(wanted).drop(CELLS, "_layout"))
+    return _laid_out(records, layouts)
+
+
+def bad_csv_lines(rows: DataFrame) -> DataFrame:
+    """Rows of ``read_csv_rows`` with more cells than the header."""
+    return rows.select(F.col(PATH).alias("path"), F.col(LINE).alias("line"), F.lit("more cells than the header").alias("reason"))
 
 
-def bad_csv_lines(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
-    """Rows of ``read_csv_files`` with more cells than the header."""
-    return df.where(F.col(WIDTH) > len(header)).select(
-        F.col(PATH).alias("path"), F.col(LINE).alias("line"), F.lit("more cells than the header").alias("reason"))
+def parse_csv_rows(rows: DataFrame) -> DataFrame:
+    """S3 on the rows of ``read_csv_rows``: roles are looked up in each file's layout, so all files are one plan branch."""
+    def cell(role):
+        return F.nullif(F.get(CELLS, F.col(f"_layout.{role}")), F.lit(""))
+
+    # as many cells as the header has names; short rows get empty ones
+    padded = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_layout.cells"), F.lit(1)) - 1),
+                         lambda i: F.coalesce(F.get(F.col(CELLS), i.cast("int")), F.lit("")))
+    raw = F.array_join(F.when(F.col("_layout.cells").isNull(), F.col(CELLS)).otherwise(padded), " ")
+    row = _row(raw, cell("timestamp"), F.coalesce(cell("message"), F.lit("")), F.upper(F.coalesce(cell("level"), F.lit("INFO"))),
+               S.digits_int(cell("status")), S.safe_float(cell("size")), S.safe_float(cell("time")), _null(), _null())
+    return rows.select(PATH, BLOCK, *([MID] if MID in rows.columns else []), F.inline(F.array(row)))
 
 
 def bad_json_lines(lines: DataFrame) -> DataFrame:
@@ -195,31 +225,3 @@ def bad_json_lines(lines: DataFrame) -> DataFrame:
     good = F.col("line").startswith("{") & F.col("line").endswith("}") & m.isNotNull()
     return lines.where(~F.coalesce(good, F.lit(False))).select(
         F.col(PATH).alias("path"), "line", F.lit("not a JSON object").alias("reason"))
-
-
-def parse_unnamed_csv(spark, files: list[str]) -> DataFrame:
-    """CSV files whose header names no known column, read together: only the joined cells are known."""
-    lines = _lines_without_header(spark, files)
-    row = _row(F.array_join(_cells(F.col(LINE)), " "), _null(), F.lit(""), F.lit("INFO"), _null(), _null(), _null(), _null(), _null())
-    return lines.select(PATH, BLOCK, F.inline(F.array(row)))
-
-
-def parse_csv_frame(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
-    """S3 on the rows of ``read_csv_files``; rows with surplus cells are left to the quarantine."""
-    pick = {role: pick_alias(list(header), aliases) for role, aliases in P.CSV_ALIASES.items()}
-
-    def col(role):
-        return F.col(f"`{pick[role]}`") if pick[role] else None
-
-    raw = F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in header])
-    row = _row(
-        raw,
-        col("timestamp") if pick["timestamp"] else _null(),
-        F.coalesce(col("message"), F.lit("")) if pick["message"] else F.lit(""),
-        F.upper(F.coalesce(col("level"), F.lit("INFO"))) if pick["level"] else F.lit("INFO"),
-        S.digits_int(col("status")) if pick["status"] else _null(),
-        S.safe_float(col("size")) if pick["size"] else _null(),
-        S.safe_float(col("time")) if pick["time"] else _null(),
-        _null(), _null(),
-    )
-    return df.where(F.col(WIDTH) <= len(header)).select(PATH, BLOCK, F.inline(F.array(row)))

@@ -61,11 +61,11 @@ def nonblank_lines(lines: DataFrame) -> DataFrame:
 def number_rows(df: DataFrame, out: str = "line_no") -> tuple[DataFrame, int]:
     """Dense 1-based number in (file, split, position) order, and the number of rows.
 
-    ``df`` must still be in scan order (no shuffle since the read) and carry
-    ``_path`` and ``_block``.
+    ``df`` carries ``_path`` and ``_block``, and either ``_mid``, by which a split's rows follow
+    each other without gaps, or is still in scan order (no shuffle since the read).
     """
     spark = df.sparkSession
-    rows = materialize(df.withColumn(MID, F.monotonically_increasing_id()), "lines")
+    rows = materialize(df if MID in df.columns else df.withColumn(MID, F.monotonically_increasing_id()), "lines")
     # a task can hold several splits, and only its ids tell where each began
     splits = (rows.groupBy(PATH, BLOCK).agg(F.min(MID).alias("_m0"), F.count(F.lit(1)).alias("_n"))
               .repartitionByRange(PATH, BLOCK).withColumn("_part", F.spark_partition_id()))
