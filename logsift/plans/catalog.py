@@ -54,6 +54,8 @@ def written(spark, sf, name: str) -> str:
                      .unionByName(FX.fx2(spark, sf).select((F.col("page_id") * 3 + 1).alias("key"), "line"))
                      .unionByName(FX.fx6(spark, sf).select((F.col("event_id") * 3 + 2).alias("key"), "line")))
             _paths[key] = FX.write_lines(spark, lines, "key", name)
+        elif name == "fx9":
+            _paths[key] = FX.write_csv(spark, FX.fx9(spark, sf), "event_id", name)
         elif name == "fx5":
             _paths[key] = FX.write_csv_lines(spark, FX.fx5(spark, sf), "event_id", name)
         else:
@@ -121,6 +123,12 @@ def csv_parse(spark, sf):
                        "response_size", "response_time")
 
 
+@query("csv_multiline")
+def csv_multiline(spark, sf):
+    logs = ingest(spark, written(spark, sf, "fx9"), csv_multiline=True)
+    return logs.select("line_no", "timestamp", "message", "level", "http_status", "response_size", "response_time")
+
+
 @query("format_sniff")
 def format_sniff(spark, sf):
     dirs = {

@@ -137,6 +137,15 @@ def fx8(spark, sf_dir) -> DataFrame:
     return e.select("event_id", F.concat("t", F.lit(" ["), "lvl", F.lit("] auth: "), message).alias("line"))
 
 
+def fx9(spark, sf_dir) -> DataFrame:
+    """CSV columns whose messages hold a line end, quotes and a comma (event_id, then the columns of CSV_HEADER)."""
+    e = ev(spark, sf_dir)
+    detail = F.concat(msg(), F.lit('\ndetail "'), F.col("k").cast("string"), F.lit('", end'))
+    status = F.when(F.col("k") % 4 != 0, ((F.col("k") % 5 + 1) * 100).cast("string"))
+    cells = [F.col("t"), F.col("lvl"), detail, status, (F.col("k") * 100).cast("string"), F.col("value").cast("string")]
+    return e.select("event_id", *[c.alias(n) for c, n in zip(cells, CSV_HEADER.split(","))])
+
+
 # --- writers -------------------------------------------------------------------
 
 def _files_per_write(df: DataFrame) -> int:
@@ -167,3 +176,11 @@ def write_csv_lines(spark, lines: DataFrame, order_col: str, name: str, header:
      .write.option("header", True).option("sep", "\u0001").option("quoteAll", False)
      .option("escapeQuotes", False).csv(path))
     return path
+
+
+def write_csv(spark, df: DataFrame, order_col: str, name: str) -> str:
+    """Write all columns but ``order_col`` as CSV files with headers; cells are quoted where they must be."""
+    path = scratch_path(spark, name)
+    (df.repartitionByRange(_files_per_write(df), order_col).sortWithinPartitions(order_col).drop(order_col)
+     .write.option("header", True).option("escape", '"').csv(path))
+    return path

@@ -216,6 +216,11 @@ FROM fx2"""
   try_cast({json_first('line', ['duration', 'response_time', 'elapsed', 'latency_ms'], 'NULL')} AS DOUBLE) AS response_time
 FROM fx4 WHERE line <> '' AND json_valid(line)"""
 
+    S["csv_multiline"] = with_(EV) + f"""SELECT row_number() OVER (ORDER BY event_id) AS line_no, t AS timestamp,
+  {MSG}||chr(10)||'detail "'||k||'", end' AS message, lvl AS level,
+  cast(CASE WHEN k%4<>0 THEN (k%5+1)*100 END AS INTEGER) AS http_status, cast(k*100 AS DOUBLE) AS response_size,
+  cast(value AS DOUBLE) AS response_time FROM ev"""
+
     S["csv_parse"] = with_(EV, FX5) + """SELECT row_number() OVER (ORDER BY event_id) AS line_no,
   t||' '||lvl||' '||msg||' '||status_text||' '||(k*100)||' '||value AS raw_line,
   t AS timestamp, msg AS message, upper(lvl) AS level,
