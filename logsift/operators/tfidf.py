@@ -47,8 +47,8 @@ def tokens(text: Column) -> Column:
 
 def grams(text: Column, stop_words=None) -> Column:
     """Unigrams (stop words removed) followed by bigrams of the remaining tokens."""
-    stop = F.lit(list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)).cast("array<string>")
-    uni = F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
+    stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
+    uni = F.filter(tokens(text), lambda t: ~t.isin(stop)) if stop else tokens(text)     # a hash set, not a scan of the list
     return let(uni, _with_bigrams)
 
 
@@ -117,8 +117,8 @@ def tfidf_vector(text: Column, vocab: Vocabulary, stop_words=None) -> Column:
     """
     if vocab.size == 0:
         return F.array(F.lit(0.0))
-    terms, idf = _vocab_arrays(vocab)
-    vg = F.filter(grams(text, stop_words), lambda t: F.array_contains(terms, t))
+    _, idf = _vocab_arrays(vocab)
+    vg = F.filter(grams(text, stop_words), lambda t: t.isin(list(vocab.terms)))
 
     def weights(g):
         counts = F.array(*[F.size(g) - F.size(F.array_remove(g, F.lit(t))) for t in vocab.terms])
