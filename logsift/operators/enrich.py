@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars as S
-from ..session import ship_package
+from ..session import materialize, ship_package
 from .reports import top_n
 
 
@@ -37,17 +37,39 @@ def _apply(fn: Callable[[str], str], max_chars: int | None):
     return run
 
 
+def kept_answers(df: DataFrame, fn: Callable[[str], str], store: str, max_age_s: float | None, max_chars: int | None) -> DataFrame:
+    """(_key, explanation) of the texts ``_key``: those that ``store`` has and are no older than ``max_age_s``, and new ones,
+    which are appended to it.  A failed call's error isn't kept."""
+    spark = df.sparkSession
+    schema = "_key string, explanation string, answered timestamp"
+    spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(store)      # so that there is a folder to read
+    known = spark.read.schema(schema).parquet(store)
+    if max_age_s is not None:
+        known = known.where(F.col("answered") >= F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(max_age_s))))
+    known = known.groupBy("_key").agg(F.max_by("explanation", "answered").alias("explanation"))
+    keys = materialize(df.select("_key").where("_key is not null").distinct().join(known, "_key", "left"), "answers")
+    new = materialize(keys.where("explanation is null").select("_key").mapInPandas(_apply(fn, max_chars), "_key string, explanation string"),
+                      "new-answers")
+    (new.where(~F.col("explanation").startswith("Error: ")).withColumn("answered", F.current_timestamp())
+     .write.mode("append").parquet(store))
+    return keys.where("explanation is not null").unionByName(new)
+
+
 def enrich_distinct(df: DataFrame, col: str, fn: Callable[[str], str], out: str = "explanation",
-                    max_chars: int | None = None) -> DataFrame:
+                    max_chars: int | None = None, store: str | None = None, max_age_s: float | None = None) -> DataFrame:
     """Adds ``out`` = fn(trimmed text), one call per distinct whole text; ``max_chars`` cuts only what ``fn`` sees.
 
+    ``store``: a shared folder that keeps answers for later runs, which call ``fn`` for new texts only.
     Blank texts get their answer without a join; a text that many rows share is a skewed join key, which
     adaptive execution splits on the side of the rows (an answer is one row).
     """
     ship_package(df.sparkSession)
     keyed = df.withColumn("_key", F.nullif(S.strip_unicode(F.coalesce(F.col(col), F.lit(""))), F.lit("")))
-    answers = (keyed.select("_key").where("_key is not null").distinct()
-               .mapInPandas(_apply(fn, max_chars), "_key string, explanation string"))
+    if store is not None:
+        answers = kept_answers(keyed, fn, store, max_age_s, max_chars)
+    else:
+        answers = (keyed.select("_key").where("_key is not null").distinct()
+                   .mapInPandas(_apply(fn, max_chars), "_key string, explanation string"))
     return (keyed.join(answers, "_key", "left")
             .withColumn(out, F.when(F.col("_key").isNull(), F.lit(P.BLANK_EXPLANATION)).otherwise(F.col("explanation")))
             .drop("_key", *(["explanation"] if out != "explanation" else [])))

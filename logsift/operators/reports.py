@@ -100,9 +100,10 @@ def feature_profile(scored: DataFrame, features=None) -> DataFrame:
                 F.round("normal_mean", 6).alias("normal_mean"))
 
 
-def severity_pivot(scored: DataFrame) -> DataFrame:
-    """A4: 'HH:mm' x level counts over the fixed level columns (days fold together)."""
-    t = _timed(scored).select(S.clock_minute("ts_parsed").alias("minute_str"), F.upper("level").alias("level"))
+def severity_pivot(scored: DataFrame, fold_days: bool = True) -> DataFrame:
+    """A4: 'HH:mm' x level counts over the fixed level columns (days fold together, or have minutes of their own)."""
+    minute = S.clock_minute("ts_parsed") if fold_days else F.substring(S.time_text("minute"), 1, 16)
+    t = _timed(scored).select(minute.alias("minute_str"), F.upper("level").alias("level"))
     pv = t.groupBy("minute_str").pivot("level", P.PIVOT_LEVELS).agg(F.count(F.lit(1)))
     return pv.select("minute_str", *[F.coalesce(F.col(l), F.lit(0)).cast("long").alias(l) for l in P.PIVOT_LEVELS])
 

@@ -118,3 +118,39 @@ def test_many_files_with_different_first_lines(spark):
 def test_shared_folder_of_the_context_is_honoured(spark):
     from logsift.session import shared_dir
     assert shared_dir(spark).rstrip("/") in (spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir())
+
+
+def test_answers_are_kept_between_runs(spark, tmp_path):
+    """A second run asks for new texts only; old answers expire, and errors aren't kept."""
+    from logsift.operators.enrich import enrich_distinct
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+
+    def fn(text, calls=str(calls)):
+        import uuid
+        open(f"{calls}/{uuid.uuid4().hex}-{text}", "w").close()
+        if text == "bad":
+            raise ValueError("no")
+        return text.upper()
+
+    def run(texts, **options):
+        df = spark.createDataFrame([(t,) for t in texts], "m string")
+        out = sorted((r.m or "", r.explanation) for r in enrich_distinct(df, "m", fn, store=store, **options).collect())
+        asked = sorted(f.name.split("-")[1] for f in calls.iterdir())
+        [f.unlink() for f in calls.iterdir()]
+        return [e for _, e in out], asked
+
+    first, asked = run(["a", "b", "a ", "bad"])
+    assert first == ["A", "A", "B", "Error: no"] and asked == ["a", "b", "bad"]
+    assert run(["b", "c", "bad"]) == (["B", "Error: no", "C"], ["bad", "c"])
+    assert run(["a", "b", "c"])[1] == []
+    assert run(["a"], max_age_s=0.0)[1] == ["a"]
+
+
+def test_pivot_by_day(spark):
+    from logsift.operators.reports import severity_pivot
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:05", "ERROR"), (2, "2024-01-02 10:00:07", "ERROR"), (3, "2024-01-02 10:00:09", "INFO")],
+                                 "line_no long, timestamp string, level string")
+    assert [(r.minute_str, r.ERROR, r.INFO) for r in severity_pivot(rows).collect()] == [("10:00", 2, 1)]
+    assert sorted((r.minute_str, r.ERROR, r.INFO) for r in severity_pivot(rows, fold_days=False).collect()) == [
+        ("2024-01-01 10:00", 1, 0), ("2024-01-02 10:00", 1, 1)]
