@@ -187,7 +187,8 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     def run(batches):
         m = pieces(model)
-        low, high = min(b for b in m.byte if b is not None), max(b for b in m.byte if b is not None)
+        known = [b for b in m.byte if b is not None]
+        low, high = (min(known), max(known)) if known else (0, -1)       # a model may have no byte pieces
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
