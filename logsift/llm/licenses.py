@@ -1,17 +1,22 @@
 """Licence notices by patience alignment (operator 2).
 
 Words are runs of letters, digits and bytes of other alphabets, lower-cased.
-For each template, windows of twice its length that hold enough of its words
-are taken, the fullest first.  In a window, words that occur once in both the
-text and the template are anchors; their longest increasing subsequence is kept,
-and the gaps between them are aligned in the same way (by a plain longest common
-subsequence where no word is unique).  The share of the template's words that
-are aligned is the coverage; from ``COVERAGE`` on the notice is found, at the
-place of its first to its last aligned word.
-
-The windows lose nothing: coverage needs that many of the template's words in
-reach, and counts of present words rule out the rest for whole batches of
-texts at once.
+For each template, stretches of text are looked for that hold ``COVERAGE`` of its
+words in order, in at most ``STRETCH`` words for each of its own (templates under
+``SHORT`` words, whose words are common in prose, keep ``SHORT_STRETCH``).  In a
+stretch, words that occur once in both the text and the template are anchors;
+their longest increasing subsequence is kept, and the gaps between them are
+aligned in the same way (by a plain longest common subsequence where no word is
+unique, or where crossing anchors would cost aligned words).  The share of the
+template's words that are aligned is the coverage, the place goes from the first to
+the last aligned word.
+
+The search loses nothing.  How many of the template's words a stretch can align is
+bounded by the words both have, copies counted, for all starts at once; what is left
+is read word by word, and for every length of an alignment its latest possible start is
+kept.  So the first end of a stretch with enough aligned words is exact: every such stretch of
+a text overlaps a notice that is found.  Of the stretches that hold this end, the one with
+most aligned words stays, each weighed against ``STRETCH`` words of length.
 
 Defined results: a null or empty text has no notices; several notices, also
 equal ones, in one text are all reported, by place, but of overlapping ones
@@ -21,6 +26,8 @@ alike; further columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +37,17 @@ from ..session import ship_package
 from .common import text_chunks, word_hashes
 
 COVERAGE = 0.8
+STRETCH = 4             # words of text for a word of the template
+SHORT, SHORT_STRETCH = 20, 2
 
 # Public licence notices.
 TEMPLATES = {
+    "agpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero "
+        "General Public License for more details."),
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
@@ -47,10 +62,26 @@ TEMPLATES = {
         "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
         "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
         "distribution."),
+    "bsd-3-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission."),
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "epl-2.0-notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    "gpl-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
+        "License for more details."),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
@@ -61,6 +92,12 @@ TEMPLATES = {
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "lgpl-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "Lesser General Public License for more details."),
     "mit": "Released under the MIT License.",
     "mit-notice": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -96,6 +133,8 @@ class Templates:
         for i, s in enumerate(self.sequences):
             self.member[s, i] = 1
         self.need = [max(1, int(np.ceil(COVERAGE * len(s) - 1e-9))) for s in self.sequences]
+        self.stretch = [SHORT_STRETCH if len(s) < SHORT else STRETCH for s in self.sequences]
+        self.copies = [np.bincount(s, minlength=len(self.words)) for s in self.sequences]
         # aligned words that number ``need`` leave out at most the rest, so at least this many different ones
         self.need_different = [max(1, len(set(s.tolist())) - (len(s) - n)) for s, n in zip(self.sequences, self.need)]
 
@@ -166,31 +205,85 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _reachable(place: np.ndarray, term: np.ndarray, copies: np.ndarray, need: int, span: int) -> np.ndarray:
+    """Which words lie in some stretch of ``span`` words that has ``need`` words of the template, copies counted."""
+    n = len(place)
+    order = np.argsort(term, kind="stable")
+    source = np.arange(n) - copies[term[order]]
+    same = (source >= 0) & (term[order[source]] == term[order])
+    before = np.empty(n, np.int64)          # a stretch that begins here or earlier has enough copies without this word
+    before[order] = np.where(same, place[order[source]], -1)
+    first = np.searchsorted(place, np.maximum(before, place - span) + 1)
+    count = np.cumsum(np.bincount(first, minlength=n + 1)[:n] - np.bincount(np.arange(n) + 1, minlength=n + 1)[:n])
+    starts = np.flatnonzero(count >= need)
+    ends = np.searchsorted(place, place[starts] + span)
+    return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
+
+
+def stretches(place: np.ndarray, term: np.ndarray, sequence: np.ndarray, need: int, stretch: int) -> list[tuple[int, int, int]]:
+    """(first place, last place, longest common subsequence) of the stretches of a text that align ``need`` words.
+
+    ``start[j, l]`` is the latest place from which the words read so far align l of the template's first j words.
+    """
+    size, found = len(sequence), []
+    span = size * stretch
+    rows = {w: np.flatnonzero(sequence == w)[::-1].tolist() for w in set(sequence.tolist())}
+    start = np.full((size + 1, size + 1), -1, np.int64)
+    places, terms = place.tolist(), term.tolist()
+    aligned = np.arange(size + 1)
+    k, best, first_end = 0, None, -1            # best: (value, aligned, first place, last place)
+    while k <= len(places):
+        # the most that a stretch could still be worth which ends here and begins by the first end
+        if best and (k == len(places) or size * stretch - (places[k] - first_end + 1) < best[0]):
+            found.append((best[2], best[3], best[1]))
+            k, best = bisect_left(places, best[3] + 1), None        # read on behind it
+            start[:] = -1
+            continue
+        if k == len(places):
+            break
+        p = places[k]
+        k += 1
+        start[:, 0] = p
+        for j in rows[terms[k - 1]]:        # from the last to the first, so that each sees the state before this word
+            np.maximum(start[j + 1:, 1:], start[j, :-1].copy(), out=start[j + 1:, 1:])
+        low = max(p - span + 1, 0)
+        if start[size, need] < low:
+            continue
+        first_end = first_end if best else p
+        most = int((start[size, 1:] >= low).sum())
+        begin, n = start[size, need: most + 1], aligned[need: most + 1]
+        value = np.where(begin <= first_end, n * stretch - (p - begin + 1), -span)
+        at = len(value) - 1 - int(value[::-1].argmax())
+        if begin[at] <= first_end and (best is None or (value[at], n[at]) > best[:2]):
+            best = (int(value[at]), int(n[at]), int(begin[at]), p)
+    return found
+
+
 def notices(place: np.ndarray, term: np.ndarray, t: Templates, candidates) -> list[tuple[int, int, str, float]]:
     """(first word, word after the last, template, coverage) found among a text's template words, by place."""
     found = []
     for i in candidates:
+        sequence, need, stretch = t.sequences[i], t.need[i], t.stretch[i]
         mine = t.member[term, i] > 0
-        at, words, size = place[mine], term[mine], len(t.sequences[i])
-        while len(at) >= t.need[i]:
-            # the fullest window of twice the template's length
-            count = np.searchsorted(at, at + 2 * size) - np.arange(len(at))
-            lo = int(count.argmax())
-            if count[lo] < t.need[i]:
-                break
-            hi = lo + int(count[lo])
-            pairs = align(words[lo:hi], t.sequences[i])
-            if len(pairs) >= t.need[i]:
-                lo, hi = lo + pairs[0][0], lo + pairs[-1][0] + 1
-                found.append((-len(pairs), -len(pairs) / size, t.names[i], int(at[lo]), int(at[hi - 1]) + 1))
-            else:
-                hi = lo + 1         # nothing begins at this word
-            at, words = np.delete(at, slice(lo, hi)), np.delete(words, slice(lo, hi))
+        at, words = place[mine], term[mine]
+        if len(at) < need:
+            continue
+        near = _reachable(at, words, t.copies[i], need, len(sequence) * stretch)
+        at, words = at[near], words[near]
+        for first, last, most in stretches(at, words, sequence, need, stretch):
+            own = words[np.searchsorted(at, first): np.searchsorted(at, last) + 1]
+            pairs = align(own, sequence)
+            if len(pairs) < most:       # crossing anchors
+                pairs = _common(own, sequence)
+            found.append((-len(pairs), -len(pairs) / len(sequence), t.names[i], first, last + 1))
     kept: list[tuple[int, int, str, float]] = []
+    places: list[int] = []
     for _, coverage, name, a, b in sorted(found):       # where notices overlap, the one with more aligned words
-        if all(b <= x or y <= a for x, y, _, _ in kept):
-            kept.append((a, b, name, -coverage))
-    return sorted(kept)
+        k = bisect_left(places, b)                      # those before begin in front of this one's end
+        if not k or kept[k - 1][1] <= a:
+            places.insert(k, a)
+            kept.insert(k, (a, b, name, -coverage))
+    return kept
 
 
 def license_notices(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

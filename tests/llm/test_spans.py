@@ -259,3 +259,61 @@ def test_pieces(spark, docs_of):
     back = {r.doc_id: r.text for r in P.decoded(ids).collect()}
     assert back == {i: (t or "").replace(P.BLANK, " ") for i, t in rows}
     assert P.encoded(docs_of([])).count() == 0
+
+
+def _lcs_to_all_ends(a, first, b):
+    """Length of a longest common subsequence of b and a[first:e], for each e after first."""
+    row, out = [0] * (len(b) + 1), []
+    for w in a[first:]:
+        new = [0]
+        for j, v in enumerate(b):
+            new.append(row[j] + 1 if w == v else max(row[j + 1], new[j]))
+        row = new
+        out.append(row[-1])
+    return out
+
+
+def test_license_stretches_against_all_windows():
+    rng = np.random.default_rng(3)
+    hits = crossed = 0
+    for case in range(1000):
+        size, filler = int(rng.integers(2, 9)), int(rng.integers(0, 3))
+        t = L.Templates({"t": " ".join(f"w{x}" for x in rng.integers(0, 5, size))})
+        sequence, need, span = t.sequences[0], t.need[0], size * t.stretch[0]
+        text = rng.integers(0, len(t.words) + filler, int(rng.integers(1, 40)))     # numbers past the vocabulary are filler
+        if case % 3 == 0:                                                           # an edited notice within
+            text = np.concatenate([text[:9], np.where(rng.random(size) < 0.1, 99, sequence), text[9:]])
+        place = np.flatnonzero(text < len(t.words))
+        found = L.notices(place, text[place], t, [0])
+        words, b = text.tolist(), sequence.tolist()
+        for s in range(len(words)):
+            for n, common in enumerate(_lcs_to_all_ends(words, s, b)[:span], 1):
+                if common >= need:      # whatever covers enough meets a notice
+                    assert any(s < y and x < s + n for x, y, _, _ in found), (words, b, found, s, n)
+                    hits += 1
+        for x, y, _, coverage in found:
+            assert y - x <= span and round(coverage * size) == _lcs_to_all_ends(words[:y], x, b)[-1] >= need
+            assert words[x] in b and words[y - 1] in b
+            crossed += len(L.align(text[x:y], sequence)) < round(coverage * size)
+        assert all(p[1] <= q[0] for p, q in zip(found, found[1:]))
+    assert hits > 1000 and crossed > 0
+
+
+def test_license_notices_in_hard_places():
+    t = L.Templates(L.TEMPLATES)
+    rng = np.random.default_rng(5)
+    all_of = range(len(t.names))
+    for name, sequence in zip(t.names, t.sequences):        # each template is itself, once, whole
+        assert L.notices(np.arange(len(sequence)), sequence, t, all_of) == [(0, len(sequence), name, 1.0)]
+    mit = t.sequences[t.names.index("mit-notice")]
+    for _ in range(20):     # 15 % of the words replaced, and shuffled words of the same notice before and behind
+        kept = np.sort(rng.choice(len(mit), int(np.ceil(0.85 * len(mit))), replace=False))
+        shuffled = rng.permutation(mit)
+        place = np.concatenate([np.arange(len(mit)), len(mit) + kept, 2 * len(mit) + np.arange(len(mit))])
+        (a, b, name, coverage), = L.notices(place, np.concatenate([shuffled, mit[kept], rng.permutation(mit)]), t, all_of)
+        assert name == "mit-notice" and coverage >= 0.85
+        assert abs(a - len(mit) - kept[0]) <= 8 and abs(b - len(mit) - kept[-1] - 1) <= 8
+    assert L.notices(np.arange(len(mit)) * 3, mit, t, all_of) == [(0, 3 * len(mit) - 2, "mit-notice", 1.0)]     # two fillers a word
+    began = time.perf_counter()
+    assert L.notices(np.arange(100_000), rng.choice(mit, 100_000), t, all_of) == []
+    assert time.perf_counter() - began < 60
