@@ -146,7 +146,7 @@ def _batch(batch):
     terms = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(3)]
     row = np.repeat(np.arange(len(n)), [len(p) for p in places])
     flat = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in (places, terms)]
-    return n, row, *flat, places, terms
+    return n, row, *flat
 
 
 def _counts(n, row, place, term, size: int):
@@ -182,7 +182,7 @@ def _frequencies(size: int):
     def run(batches):
         df, total = np.zeros(size, np.int64), 0
         for batch in _slices(batches):
-            n, row, place, term, *_ = _batch(batch)
+            n, row, place, term = _batch(batch)
             _, terms, _, base = _counts(n, row, place, term, size)
             df += np.bincount(terms, minlength=size)
             total += int(base[-1])
@@ -213,10 +213,10 @@ def _weighted(passage, term, count, idf, others=None):
 
 
 def _rows_of(batch, idf):
-    """The passages of a batch of documents as ``_weighted`` rows, with the batch's arrays."""
-    n, row, place, term, places, terms = _batch(batch)
-    passage, term, count, base = _counts(n, row, place, term, len(idf))
-    return _weighted(passage, term, count, idf, _others(n, base, passage, count, idf)), base, places, terms
+    """The passages of a batch of documents as ``_weighted`` rows, their first numbers, and the batch's arrays."""
+    n, row, place, word = flat = _batch(batch)
+    passage, term, count, base = _counts(n, row, place, word, len(idf))
+    return _weighted(passage, term, count, idf, _others(n, base, passage, count, idf)), base, flat
 
 
 def _dot(at, term, w, rows: int, m: np.ndarray) -> np.ndarray:
@@ -395,34 +395,57 @@ class Items:
             yield row + a, part
 
 
+class Answers:
+    """The items' different words and their shares, and which stretches of documents hold enough of them."""
+
+    def __init__(self, items: list[np.ndarray], rarity: np.ndarray):
+        self.size, self.of = len(rarity), [answer(s, rarity) for s in items]
+
+    def enough(self, term, lo, hi, item) -> np.ndarray:
+        """For each stretch ``term[lo:hi]`` whether it has the share ``ANSWER`` of its item; item by item, in bounded parts."""
+        ok = np.zeros(len(item), bool)
+        order = np.argsort(item, kind="stable")
+        number = np.zeros(self.size, np.int32)      # of a word among the item's, from 1
+        for group in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else []:
+            words, share = self.of[item[group[0]]]
+            number[words] = np.arange(1, len(words) + 1)
+            cost = np.cumsum(hi[group] - lo[group] + len(words))
+            for part in np.split(group, np.flatnonzero(np.diff(cost // (1 << 20))) + 1):
+                times = hi[part] - lo[part]
+                at = np.repeat(lo[part] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                present = np.zeros((len(part), len(words) + 1), bool)
+                present[np.repeat(np.arange(len(part)), times), number[term[at]]] = True
+                ok[part] = present[:, 1:] @ share >= ANSWER
+            number[words] = 0
+        return ok
+
+
 def _search(model):
     """Documents to their best verified match."""
     def run(batches):
         m = model.value
         for batch in _slices(batches):
-            (own, at, t, w), base, places, terms = _rows_of(batch, m["idf"])
+            (own, at, t, w), base, (n, row, place, term) = _rows_of(batch, m["idf"])
             best: dict[int, tuple] = {}
             seen = set()
+            width = int(n.max(initial=0)) + 1
+            places = row * width + place
 
             def look(d, p, g, cosine):
-                """Checks item g around passage p of document d; ``cosine`` gives their cosine, if it is needed."""
-                item, start = m["items"][g], (p - int(base[d])) * STEP
-                lo, hi = places[d].searchsorted((start - len(item), start + 2 * STEP + len(item))).tolist()
-                if (d, g, lo, hi) in seen:
-                    return
-                seen.add((d, g, lo, hi))
-                near = terms[d][lo:hi]
-                words, share = m["answers"][g]
-                at = words.searchsorted(near)
-                at[at == len(words)] = 0
-                seen_words = np.zeros(len(words))
-                seen_words[at[words[at] == near]] = 1.0
-                if seen_words @ share < ANSWER:
-                    return
-                common = lcs(item, near)
-                if common >= COVERAGE * len(item):
-                    found = (common / len(item), -m["ids"][g], common, len(item), cosine())
-                    best[d] = max(best.get(d, found), found)
+                """Checks items g around passages p of documents d (arrays); ``cosine`` of a number gives that one's cosine."""
+                start, length = (p - base[d]) * STEP, m["lengths"][g]
+                lo = np.searchsorted(places, d * width + np.maximum(start - length, 0))
+                hi = np.searchsorted(places, d * width + np.minimum(start + 2 * STEP + length, width - 1))
+                for k in np.flatnonzero(m["answers"].enough(term, lo, hi, g)).tolist():
+                    place_of = int(d[k]), int(g[k]), int(lo[k]), int(hi[k])
+                    if place_of in seen:
+                        continue
+                    seen.add(place_of)
+                    item = m["items"][g[k]]
+                    common = lcs(item, term[lo[k]: hi[k]])
+                    if common >= COVERAGE * len(item):
+                        found = (common / len(item), -m["ids"][g[k]], common, len(item), cosine(k))
+                        best[place_of[0]] = max(best.get(place_of[0], found), found)
 
             items = m["parts"]
             # a row's product with a unit vector is at most the length of its own entries
@@ -438,17 +461,13 @@ def _search(model):
                 return float(z[row] @ items.latent[part])
 
             found = [items.near(z), items.plain(at_, t[keep[at]], w[keep[at]], len(own))]
-            for row, part in (x for pairs in found for x in pairs):
-                doc = np.searchsorted(base, own[row], side="right") - 1
-                for i, j, d in zip(row.tolist(), part.tolist(), doc.tolist()):
-                    look(d, int(own[i]), int(m["whose"][j]), lambda: similar(i, j))
-            _, row, place, term, *_ = _batch(batch)
+            for i, j in (x for pairs in found for x in pairs):
+                look(np.searchsorted(base, own[i], side="right") - 1, own[i], m["whose"][j], lambda k: similar(i[k], j[k]))
             hit, item = m["runs"].places(row, place, term)
             passage = np.minimum(base[row[hit]] + place[hit] // STEP, base[row[hit] + 1] - 1)
-            for p, g in np.unique(np.stack([passage, item], axis=1), axis=0).tolist():
-                i = int(np.searchsorted(own, p))
-                look(int(np.searchsorted(base, p, side="right")) - 1, p, g, lambda: max(
-                    similar(i, j) for j in range(*np.searchsorted(m["whose"], [g, g + 1]))))
+            p, g = np.unique(np.stack([passage, item], axis=1), axis=0).T
+            look(np.searchsorted(base, p, side="right") - 1, p, g, lambda k: max(
+                similar(int(np.searchsorted(own, p[k])), j) for j in range(*np.searchsorted(m["whose"], [g[k], g[k] + 1]))))
             rows = [best.get(d) for d in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([r is not None for r in rows], pa.bool_()),
@@ -490,6 +509,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rarity = np.log((1 + total) / (1 + df))
     model = {"idf": idf, "parts": Items([p for _, p in parts], idf, basis, latent), "ids": bench.ids, "items": bench.items,
              "runs": Runs(bench.items), "whose": np.array([i for i, _ in parts], np.int64),
-             "answers": [answer(s, rarity) for s in bench.items]}
+             "lengths": np.array([len(s) for s in bench.items], np.int64), "answers": Answers(bench.items, rarity)}
     out = schema("n_words long, contaminated boolean, item_id long, common_words int, item_words int, cosine double")
     return hits.mapInArrow(_search(sc.broadcast(model)), out).withColumnRenamed("id", id_col)
