@@ -63,16 +63,26 @@ def anomaly_events(scored: DataFrame) -> DataFrame:
                     F.coalesce(F.col("count"), F.lit(1)).cast("long").alias("minute_count")))
 
 
-def score_histogram(scored: DataFrame, normal_bins: int = P.HIST_BINS_NORMAL,
-                    anomaly_bins: int = P.HIST_BINS_ANOMALY, score_col: str = "anomaly_score") -> DataFrame:
-    """Equal-width bins over [0, 1]; the maximum falls in the last bin."""
+def score_histogram(scored: DataFrame, normal_bins: int = P.HIST_BINS_NORMAL, anomaly_bins: int = P.HIST_BINS_ANOMALY,
+                    score_col: str | None = None, threshold: float | None = None) -> DataFrame:
+    """Equal-width bins over [0, 1]; the maximum falls in the last bin.
+
+    Bins the unrounded ``score``, if the table has it.  With a ``threshold``, each bin says where the threshold
+    line stands and whether it runs through the bin.
+    """
+    score = F.col(score_col or ("score" if "score" in scored.columns else "anomaly_score"))
     nb = F.when(F.col("is_anomaly") == 1, F.lit(anomaly_bins)).otherwise(F.lit(normal_bins))
-    b = F.least(F.greatest(F.floor(F.col(score_col) * nb) + 1, F.lit(1)), nb).cast("int")
-    return (scored.select("is_anomaly", b.alias("bin"), nb.alias("n_bins"))
+
+    def bin_of(x, n):
+        return F.least(F.greatest(F.floor(x * n) + 1, F.lit(1)), n).cast("int")
+
+    line = [] if threshold is None else [
+        F.lit(float(threshold)).alias("threshold"), (F.col("bin") == bin_of(F.lit(float(threshold)), F.col("n_bins"))).alias("at_threshold")]
+    return (scored.select("is_anomaly", bin_of(score, nb).alias("bin"), nb.alias("n_bins"))
             .groupBy("is_anomaly", "bin", "n_bins").agg(F.count(F.lit(1)).alias("count"))
             .select("is_anomaly", "bin",
                     F.round((F.col("bin") - 1) / F.col("n_bins"), 6).alias("lo"),
-                    F.round(F.col("bin") / F.col("n_bins"), 6).alias("hi"), "count"))
+                    F.round(F.col("bin") / F.col("n_bins"), 6).alias("hi"), "count", *line))
 
 
 def level_breakdown(logs: DataFrame) -> DataFrame:

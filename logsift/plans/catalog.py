@@ -238,6 +238,13 @@ def score_histogram(spark, sf):
     return R.score_histogram(FX.fx3(spark, sf))
 
 
+@query("score_histogram_line")
+def score_histogram_line(spark, sf):
+    from ..operators.detect import flag_threshold
+    s = FX.fx3(spark, sf)
+    return R.score_histogram(s, threshold=round(flag_threshold(s, "anomaly_score", 0.05)[0], 9))
+
+
 @query("level_breakdown")
 def level_breakdown(spark, sf):
     return R.level_breakdown(fx1_logs(spark, sf))

@@ -321,6 +321,13 @@ SELECT is_anomaly, cast(least(greatest(floor(anomaly_score * n_bins) + 1, 1), n_
   round(least(greatest(floor(anomaly_score * n_bins) + 1, 1), n_bins) / n_bins, 6) AS hi,
   count(*) AS count FROM b GROUP BY ALL"""
 
+    S["score_histogram_line"] = F3 + """, th AS (SELECT round(CASE WHEN quantile_cont(anomaly_score, 0.95) = max(anomaly_score)
+    THEN quantile_cont(anomaly_score, 0.90) ELSE quantile_cont(anomaly_score, 0.95) END, 9) AS threshold FROM fx3),
+b AS (SELECT is_anomaly, CASE WHEN is_anomaly = 1 THEN 20 ELSE 40 END AS n_bins, anomaly_score FROM fx3),
+h AS (SELECT is_anomaly, n_bins, least(greatest(floor(anomaly_score * n_bins) + 1, 1), n_bins) AS bin, count(*) AS count FROM b GROUP BY ALL)
+SELECT is_anomaly, cast(bin as integer) AS bin, round((bin - 1) / n_bins, 6) AS lo, round(bin / n_bins, 6) AS hi, count, threshold,
+  bin = least(greatest(floor(threshold * n_bins) + 1, 1), n_bins) AS at_threshold FROM h, th"""
+
     S["level_breakdown"] = with_(EV, FX1) + """SELECT lvl AS level, count(*) AS count,
   round(count(*) / (SELECT count(*) FROM fx1), 6) AS share FROM fx1 GROUP BY lvl"""
 

@@ -154,3 +154,12 @@ def test_pivot_by_day(spark):
     assert [(r.minute_str, r.ERROR, r.INFO) for r in severity_pivot(rows).collect()] == [("10:00", 2, 1)]
     assert sorted((r.minute_str, r.ERROR, r.INFO) for r in severity_pivot(rows, fold_days=False).collect()) == [
         ("2024-01-01 10:00", 1, 0), ("2024-01-02 10:00", 1, 1)]
+
+
+def test_histogram_of_unrounded_scores_and_its_line(spark):
+    rows = [(0.02499, 0.025, 0), (0.51, 0.51, 1), (1.0, 1.0, 1), (0.0, 0.0, 0)]
+    df = spark.createDataFrame(rows, "score double, anomaly_score double, is_anomaly int")
+    out = {(r.is_anomaly, r.bin): r for r in R.score_histogram(df, threshold=0.5).collect()}
+    assert {k: r["count"] for k, r in out.items()} == {(0, 1): 2, (1, 11): 1, (1, 20): 1}   # 0.02499 isn't in bin 2
+    assert [k for k, r in out.items() if r.at_threshold] == [(1, 11)] and {r.threshold for r in out.values()} == {0.5}
+    assert R.score_histogram(df, score_col="anomaly_score").where("bin = 2").count() == 1
