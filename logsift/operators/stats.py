@@ -59,7 +59,9 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], accuracy: int
                     few: int = 4_096) -> dict[str, list]:
     """Exact linear-interpolation quantiles of several columns, all found together by the same passes.
 
-    Each wanted rank has an open bracket of values.  A pass (one aggregate over
+    The rows at each column's least value are counted first: ranks among them are found, as in columns
+    that are mostly zero, and are never sketched.
+    Each other rank has an open bracket of values.  A pass (one aggregate over
     the table) sketches the values inside every bracket and counts those below
     it; the next counts the rows below and at the sketch's two values around
     the rank.  The rank then is one of these two values, or lies strictly
@@ -69,13 +71,22 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], accuracy: int
     these are fetched in order.
     """
     cols = list(wanted)
-    first = df.agg(*[F.count(_number(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    first = df.agg(*[f(_number(c)).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("n", F.count), ("m", F.min))]).first()
     size = {c: first[f"n{i}"] for i, c in enumerate(cols)}
     place = {(c, p): (size[c] - 1) * p for c in cols for p in wanted[c] if size[c]}
     ranks = {(c, min(int(math.floor(x)) + d, size[c] - 1)) for (c, _), x in place.items() for d in (0, 1)}
     found: dict[tuple, float] = {}
     # (column, low, high, rows at or below low, rows inside) to the ranks inside; low and high exclusive, None: open
     brackets = {(c, None, None, 0, size[c]): {k for x, k in ranks if x == c} for c in cols if size[c]}
+    large = [(i, b) for i, b in enumerate((c, None, None, 0, size[c]) for c in cols) if b[4] > few]
+    if large:
+        row = df.agg(*[F.count_if(_number(b[0]) == F.lit(first[f"m{i}"])).alias(f"l{i}") for i, b in large]).first()
+        for i, b in large:
+            c, least, n = b[0], first[f"m{i}"], row[f"l{i}"]
+            wanted_ranks = brackets.pop(b)
+            found |= {(c, k): least for k in wanted_ranks if k < n}
+            if rest := {k for k in wanted_ranks if k >= n}:
+                brackets[c, least, None, n, size[c] - n] = rest
 
     def inside(c, low, high) -> Column:
         v = _number(c)

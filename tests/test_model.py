@@ -220,3 +220,33 @@ def test_rates_out_of_range_are_refused(spark, value):
             validate_rate(name, value)
         with pytest.raises(ValueError):
             Detector(**{name: value}).fit(spark.createDataFrame([], "line_no long"))
+
+
+def test_svm_rounds_read_blocks_and_features_are_cosines(spark, monkeypatch):
+    from logsift.operators import ocsvm
+    seen, plain = [], ocsvm._round
+    monkeypatch.setattr(ocsvm, "_round", lambda blocks, *a: seen.append([(f.name, f.dataType.simpleString()) for f in blocks.schema]) or plain(blocks, *a))
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(700, 3)) * 40
+    xs = spark.createDataFrame([(x.tolist(),) for x in X], "x array<double>")
+    gamma = scale_gamma(xs, 3)
+    assert abs(gamma - 1 / (3 * X.var())) < 1e-12
+    model, gap = fit_weights(xs, 3, gamma, nu=0.1, n_features=32)
+    assert gap <= 0.01 and seen and all(s == [("block", "binary")] for s in seen)
+    exact = np.sqrt(2 / 32) * np.cos(X @ model.W + model.b)
+    assert np.abs(model.features(X) - exact).max() < 1e-12 and np.abs(model.products(X) - exact @ model.w).max() < 1e-12
+    assert model.features(X[:0]).shape == (0, 32) and model.products(X[:0]).shape == (0,)
+
+
+def test_quantiles_of_mostly_zero_columns_are_not_sketched(spark, monkeypatch):
+    from logsift.operators import stats
+    calls, plain = [], stats.F.percentile_approx
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda *a: calls.append(a) or plain(*a))
+    rng = np.random.default_rng(6)
+    a, b = np.where(rng.random(600) < 0.9, 0.0, rng.random(600)), rng.random(600)
+    rows = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)] + [(None, float("nan"))], "a double, b double")
+    probs = [0.25, 0.5, 0.75, 0.95]
+    got = stats.exact_quantiles(rows, {"a": probs[:3]}, few=50)
+    assert got["a"] == [0.0] * 3 and not calls
+    got = stats.exact_quantiles(rows, {"a": probs, "b": probs}, few=50)
+    assert np.allclose(got["a"], np.quantile(a, probs)) and np.allclose(got["b"], np.quantile(b, probs))
