@@ -8,9 +8,11 @@ over the vocabulary; a row without vocabulary terms stays all-zero.
 
 Plan shape: tokenising, n-grams, per-row counts and weights are row-local
 higher-order-function expressions (no Python, no shuffle).  The corpus
-statistics are one aggregation keyed by term with map-side partial
+statistics are aggregations keyed by term with map-side partial
 aggregation, so a term present in every row costs one row per partition.  The
-vocabulary is bounded by ``max_features`` and is inlined as literals, so
+vocabulary needs few of them: no bigram occurs more often than either of its
+words, so words are counted first, and then only the terms whose words all reach the
+count of the ``max_features``-th word (with those that share it).  The vocabulary is bounded by ``max_features`` and is inlined as literals, so
 weighting needs no join at all.
 """
 
@@ -22,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import ENGLISH_STOP_WORDS
+from ..session import materialize
 
 # Token pattern, portable between Java regex and RE2.
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
+CANDIDATE_WORDS = 10_000        # most words that are inlined; with more of them every term is counted
 
 
 def let(value: Column, body) -> Column:
@@ -45,11 +49,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RE), F.lit(0))
 
 
+def words(text: Column, stop_words=None) -> Column:
+    """The tokens without stop words."""
+    stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
+    return F.filter(tokens(text), lambda t: ~t.isin(stop)) if stop else tokens(text)     # a hash set, not a scan of the list
+
+
 def grams(text: Column, stop_words=None) -> Column:
     """Unigrams (stop words removed) followed by bigrams of the remaining tokens."""
-    stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
-    uni = F.filter(tokens(text), lambda t: ~t.isin(stop)) if stop else tokens(text)     # a hash set, not a scan of the list
-    return let(uni, _with_bigrams)
+    return let(words(text, stop_words), _with_bigrams)
 
 
 # Every "token token" pair of a space-joined token list, in order: each token
@@ -63,18 +71,44 @@ def _with_bigrams(uni: Column) -> Column:
     return F.concat(uni, bi)
 
 
+def _grams_of(uni: Column, kept: list[str]) -> Column:
+    """The unigrams and bigrams of a word list whose words are all in ``kept``; the others' places stay empty, so none of
+    their neighbours meet."""
+    marked = F.transform(uni, lambda t: F.when(t.isin(kept), t).otherwise(F.lit("")))
+    return let(marked, lambda m: let(F.array_join(m, " "), lambda line: F.concat(
+        F.filter(m, lambda t: t != ""), F.regexp_extract_all(line, F.lit(_BIGRAM_RE), F.lit(1)))))
+
+
 def term_stats(df: DataFrame, text_col: str, stop_words=None, parts: int | None = None) -> DataFrame:
     """(term, tf = total count, df = rows containing it) over all rows."""
+    return _stats(spread(df.select(text_col), parts), grams(F.col(text_col), stop_words))
+
+
+def _stats(df: DataFrame, terms: Column) -> DataFrame:
+    """(term, tf, df) of the rows' lists ``terms``."""
     def entries(g):
         return F.concat(
             F.transform(g, lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
             F.transform(F.array_distinct(g), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"),
                                                                F.lit(1).alias("d"))))
-    return (spread(df.select(text_col), parts).select(F.explode(let(grams(F.col(text_col), stop_words), entries)).alias("e"))
+    return (df.select(F.explode(let(terms, entries)).alias("e"))
             .groupBy(F.col("e.term").alias("term"))
             .agg(F.sum("e.c").cast("long").alias("tf"), F.sum("e.d").cast("long").alias("df")))
 
 
+def frequent_stats(df: DataFrame, text_col: str, max_features: int, stop_words=None, parts: int | None = None) -> DataFrame:
+    """``term_stats`` of the terms that can be among the ``max_features`` most frequent ones."""
+    listed = materialize(spread(df.select(text_col), parts).select(words(F.col(text_col), stop_words).alias("words")), "words")
+    counts = listed.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = materialize(counts, "word-counts")
+    top = counts.orderBy(F.desc("tf")).limit(max_features).agg(F.min("tf").alias("least"), F.count(F.lit(1)).alias("n")).first()
+    least = top["least"] if top["n"] == max_features and max_features else 0
+    kept = [r["term"] for r in counts.where(F.col("tf") >= F.lit(least)).limit(CANDIDATE_WORDS + 1).collect()]
+    if len(kept) > CANDIDATE_WORDS:
+        return _stats(listed, let(F.col("words"), _with_bigrams))
+    return _stats(listed, _grams_of(F.col("words"), kept))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     terms: tuple[str, ...]          # alphabetical (column order)
@@ -90,7 +124,7 @@ def vocabulary_frame(df: DataFrame, text_col: str, max_features: int = 50, stop_
                      parts: int | None = None) -> DataFrame:
     """T5 + idf: the top ``max_features`` terms by total count, ties alphabetical."""
     n_docs = F.lit(df.count())
-    top = term_stats(df, text_col, stop_words, parts).orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
+    top = frequent_stats(df, text_col, max_features, stop_words, parts).orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
     return top.withColumn("n_docs", n_docs).select(
         "term", "tf", "df", "n_docs",
         (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
@@ -109,27 +143,37 @@ def _vocab_arrays(vocab: Vocabulary):
 
 
 def tfidf_vector(text: Column, vocab: Vocabulary, stop_words=None) -> Column:
-    """Dense array<double> of length ``vocab.size`` (one 0.0 if the vocabulary is empty).
-
-    The row's vocabulary grams are computed once; each term's count is
-    ``size(g) - size(array_remove(g, term))`` (native array code, linear in the
-    row); then weights and the L2 norm.
-    """
+    """Dense array<double> of length ``vocab.size`` (one 0.0 if the vocabulary is empty), from the row's few weights."""
     if vocab.size == 0:
         return F.array(F.lit(0.0))
-    _, idf = _vocab_arrays(vocab)
-    vg = F.filter(grams(text, stop_words), lambda t: t.isin(list(vocab.terms)))
+    terms, _ = _vocab_arrays(vocab)
+    found = F.map_from_entries(row_weights(text, vocab, stop_words))
+    return let(found, lambda m: F.transform(terms, lambda t: F.coalesce(m[t], F.lit(0.0))))
+
+
+def row_weights(text: Column, vocab: Vocabulary, stop_words=None) -> Column:
+    """The row's vocabulary terms with their weights, alphabetical: array of (term, weight).
+
+    The row's vocabulary grams are computed once (bigrams only of words that occur in the vocabulary); each of their
+    terms' count is ``size(g) - size(array_remove(g, term))`` (native array code, linear in the row); then the L2 norm.
+    """
+    terms, idf = _vocab_arrays(vocab)
+    parts = sorted({w for t in vocab.terms for w in t.split(" ")})
+    if any(" " in t for t in vocab.terms):
+        g = F.filter(_grams_of(words(text, stop_words), parts), lambda t: t.isin(list(vocab.terms)))
+    else:
+        g = F.filter(words(text, stop_words), lambda t: t.isin(parts))
 
     def weights(g):
-        counts = F.array(*[F.size(g) - F.size(F.array_remove(g, F.lit(t))) for t in vocab.terms])
-        return F.zip_with(counts, idf, lambda c, w: F.when(c > 0, (F.lit(1.0) + F.log(c.cast("double"))) * w)
-                          .otherwise(F.lit(0.0)))
+        return F.transform(F.sort_array(F.array_distinct(g)), lambda t: F.struct(t.alias("term"), (
+            (F.lit(1.0) + F.log((F.size(g) - F.size(F.array_remove(g, t))).cast("double")))
+            * F.element_at(idf, F.array_position(terms, t).cast("int"))).alias("weight")))
 
     def normalise(raw):
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-        return let(norm, lambda n: F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, e: acc + e["weight"] * e["weight"]))
+        return let(norm, lambda n: F.transform(raw, lambda e: F.struct(e["term"].alias("term"), (e["weight"] / n).alias("weight"))))
 
-    return let(let(vg, weights), normalise)
+    return let(let(g, weights), normalise)
 
 
 def with_tfidf(df: DataFrame, text_col: str, vocab: Vocabulary, out: str = "tfidf", stop_words=None) -> DataFrame:
@@ -140,10 +184,7 @@ def with_tfidf(df: DataFrame, text_col: str, vocab: Vocabulary, out: str = "tfid
 def tfidf_long(df: DataFrame, key_col: str, text_col: str, vocab: Vocabulary, stop_words=None,
                parts: int | None = None) -> DataFrame:
     """J2/J6 in long form: (key, term, weight) for every non-zero weight."""
-    terms = F.array(*[F.lit(t) for t in vocab.terms]) if vocab.size else F.array().cast("array<string>")
-    v = with_tfidf(spread(df.select(key_col, text_col), parts), text_col, vocab, "v", stop_words)
-    # Generate barrier: the vector is computed once, not again in inferred filters
-    v = v.select(F.inline(F.array(F.struct(F.col(key_col).alias(key_col), F.col("v").alias("v")))))
-    return (v.select(key_col, F.posexplode("v").alias("pos", "weight"))
-            .where(F.col("weight") > 0)
-            .select(key_col, F.element_at(terms, F.col("pos") + 1).alias("term"), "weight"))
+    rows = spread(df.select(key_col, text_col), parts)
+    if vocab.size == 0:
+        return rows.select(key_col, F.lit("").alias("term"), F.lit(0.0).alias("weight")).where(F.lit(False))
+    return rows.select(key_col, F.inline(row_weights(F.col(text_col), vocab, stop_words)))

@@ -250,3 +250,21 @@ def test_quantiles_of_mostly_zero_columns_are_not_sketched(spark, monkeypatch):
     assert got["a"] == [0.0] * 3 and not calls
     got = stats.exact_quantiles(rows, {"a": probs, "b": probs}, few=50)
     assert np.allclose(got["a"], np.quantile(a, probs)) and np.allclose(got["b"], np.quantile(b, probs))
+
+
+def test_only_terms_that_can_be_frequent_are_counted(spark, monkeypatch):
+    from logsift.operators import tfidf as TF
+    texts = ["alpha beta gamma alpha beta", "alpha beta rare1 alpha", None, "", "the of rare2 beta alpha gamma", "rare3 rare4 alpha beta", "alpha"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = {r["term"]: (r["tf"], r["df"]) for r in TF.term_stats(docs, "text").collect()}
+    some = {r["term"]: (r["tf"], r["df"]) for r in TF.frequent_stats(docs, "text", 3).collect()}
+    assert "rare1" in every and not any("rare" in t for t in some) and all(every[t] == some[t] for t in some)
+
+    def top(k):
+        return [(r["term"], r["tf"], r["df"]) for r in TF.vocabulary_frame(docs, "text", k).collect()]
+
+    for k in (1, 3, 4, 50):
+        assert top(k) == [(t, *every[t]) for t in sorted(every, key=lambda t: (-every[t][0], t))[:k]]
+    monkeypatch.setattr(TF, "CANDIDATE_WORDS", 1)       # too many candidates: every term is counted
+    assert top(4) == [(t, *every[t]) for t in sorted(every, key=lambda t: (-every[t][0], t))[:4]]
+    assert TF.vocabulary_frame(docs, "text", 0).collect() == []
