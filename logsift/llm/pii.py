@@ -225,14 +225,32 @@ def _tree(node) -> str:
             f"{_tree(node.leftChild())}, {_tree(node.rightChild())})")
 
 
+def _evidence(table: DataFrame) -> DataFrame:
+    """The proved proposals of analysed rows, counted by their feature values and label."""
+    return table.select(F.explode("proposals").alias("x")).where("x.base = 1 or x.other = 1").groupBy(
+        *[F.col(f"x.{n}").cast("double").alias(n) for n in FEATURES], F.col("x.base").cast("double").alias("label")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"))
+
+
+_seed_rows: list[tuple] = []
+
+
+def _seed_evidence(spark) -> DataFrame:
+    """``_evidence`` of ``SEEDS``: the same for every table, so it is counted once in a process.
+
+    The analysed seeds are written like a table.  Counted straight from the expressions, the optimizer writes each into its
+    uses, which makes a plan of a megabyte of text that the driver prints again and again.
+    """
+    if not _seed_rows:
+        texts = spark.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("text")).select(F.lit(0).alias("doc_id"), "text")
+        _seed_rows.extend(map(tuple, _evidence(materialize(analysed(texts), "seeds")).collect()))
+    return spark.createDataFrame(_seed_rows, ", ".join(f"`{n}` double" for n in (*FEATURES, "label", "n")))
+
+
 def fit(table: DataFrame) -> tuple[str, dict[str, float]]:
     """The score of a proposal x as SQL, and the threshold of each kind, from analysed rows."""
-    seeds = analysed(table.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("text"))
-                     .select(F.lit(0).alias("doc_id"), "text"))
-    evidence = [t.select(F.explode("proposals").alias("x")).where("x.base = 1 or x.other = 1").groupBy(
-        *[F.col(f"x.{n}").cast("double").alias(n) for n in FEATURES], F.col("x.base").cast("double").alias("label"))
-        .agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("share", F.lit(share))
-        for t, share in ((table, 1.0), (seeds, SEED_SHARE))]
+    evidence = [t.withColumn("share", F.lit(share)) for t, share in (
+        (_evidence(table), 1.0), (_seed_evidence(table.sparkSession), SEED_SHARE))]
     counted = materialize(evidence[0].unionAll(evidence[1]), "proposals").coalesce(1)
     # both classes of each kind weigh the same
     part, whole = Window.partitionBy("kind", "label", "share"), Window.partitionBy("kind", "label")

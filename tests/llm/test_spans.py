@@ -317,3 +317,23 @@ def test_license_notices_in_hard_places():
     began = time.perf_counter()
     assert L.notices(np.arange(100_000), rng.choice(mit, 100_000), t, all_of) == []
     assert time.perf_counter() - began < 60
+
+
+def test_plans_of_the_fit_stay_small(spark, monkeypatch):
+    """Every plan is printed on the driver, some again and again: the largest was half a megabyte of text."""
+    sizes = {}
+    keep = pii.materialize
+
+    def measured(df, name):
+        sizes[name] = len(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(pii, "materialize", measured)
+    monkeypatch.setattr(pii, "_seed_rows", [], raising=False)
+    docs = spark.createDataFrame([(1, "mail a.b@example.com or call +49 30 901820")], "doc_id long, text string")
+    assert pii.personal_data(docs).count() == 1
+    assert "proposals" in sizes and max(sizes.values()) < 100_000, sizes
+    seeds = len(pii._seed_rows)
+    sizes.clear()
+    assert pii.redacted(docs).count() == 1          # the seeds are counted once
+    assert "seeds" not in sizes and len(pii._seed_rows) == seeds > 0
