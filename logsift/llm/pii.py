@@ -28,6 +28,8 @@ alike; further columns are ignored.  Starts and ends count code points, ends exc
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -244,7 +246,9 @@ def _seed_evidence(spark) -> DataFrame:
     if not _seed_rows:
         texts = spark.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("text")).select(F.lit(0).alias("doc_id"), "text")
         _seed_rows.extend(map(tuple, _evidence(materialize(analysed(texts), "seeds")).collect()))
-    return spark.createDataFrame(_seed_rows, ", ".join(f"`{n}` double" for n in (*FEATURES, "label", "n")))
+    fields = ", ".join(f"`{n}`: double" for n in (*FEATURES, "label", "n"))
+    rows = json.dumps([dict(zip((*FEATURES, "label", "n"), r)) for r in _seed_rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<{fields}>>")))     # read in the JVM
 
 
 def fit(table: DataFrame) -> tuple[str, dict[str, float]]:
